@@ -1,0 +1,8 @@
+"""Streaming.
+
+Both analyses are bounded batch jobs over date-partitioned Parquet: there is no
+stream source, watermark, event-time window or keyed state to carry over, so
+this package defines no streaming operator. A new day of search logs is
+processed by running the batch plan on that day's partitions (the date window
+prunes directories), which is idempotent under the partition-overwrite sinks.
+"""
