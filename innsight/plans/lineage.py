@@ -8,11 +8,19 @@ live on executor disks, are never used.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; fails loudly when none is configured."""
+    """The session's checkpoint folder.
+
+    Order: the folder already set on the context, then ``spark.checkpoint.dir``.
+    Only a ``local[...]`` session (tests, single-machine runs) gets a scratch
+    folder of its own when neither is set; on a cluster a missing setting is an
+    error, since a machine-local folder would not survive losing that machine.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -21,6 +29,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if sc.master.startswith("local"):
+        scratch = tempfile.mkdtemp(prefix="innsight-ckpt-")
+        sc.setCheckpointDir(scratch)
+        return scratch
     raise RuntimeError(
         "no checkpoint folder: set spark.checkpoint.dir to a shared (HDFS/S3/...) path"
     )

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from innsight.queries import compset as compset_queries
 from innsight.queries import rates as rate_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +30,36 @@ _RATE_QUERIES = [
     "rate_summary",
 ]
 
+_COMPSET_QUERIES = [
+    "bookings_since",
+    "current_property_names",
+    "bookings_current_name",
+    "star_rating_filter",
+    "star_rating_number",
+    "property_metrics",
+    "property_metrics_by_join",
+    "distinct_cities",
+    "geo_bounds",
+    "geo_clean",
+    "scaled_features",
+    "knn_exact",
+    "knn_exact_salted",
+    "knn_lsh",
+    "haversine_distance",
+    "compset_metrics",
+    "compset_yield_rank",
+    "compset_booking_share",
+    "compset_output",
+]
+
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: getattr(rate_queries, name) for name in _RATE_QUERIES}
+    out.update({name: getattr(compset_queries, name) for name in _COMPSET_QUERIES})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = dict(rate_queries.ORACLE)
-    return out
+    out.update(compset_queries.ORACLE)
+    return {name: out[name] for name in queries() if name in out}

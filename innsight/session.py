@@ -41,7 +41,7 @@ def local_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
         # Local runs only: a cluster must name a shared folder in spark.checkpoint.dir.
         scratch = os.environ.get("INNSIGHT_SCRATCH") or tempfile.mkdtemp(prefix="innsight-ckpt-")
         spark.sparkContext.setCheckpointDir(scratch)
