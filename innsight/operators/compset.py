@@ -79,9 +79,18 @@ def one_row_per_property(props: DataFrame) -> DataFrame:
     return props.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") == 1).drop("_pick")
 
 
-def prepare_points(props: DataFrame, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER) -> DataFrame:
-    """Deduplicated, coordinate-cleaned, feature-scaled properties (``scaled_<feature>`` columns)."""
+def prepare_points(
+    props: DataFrame, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER, materialize: bool = False
+) -> DataFrame:
+    """Deduplicated, coordinate-cleaned, feature-scaled properties (``scaled_<feature>`` columns).
+
+    ``materialize`` cuts the lineage after de-duplication: the cleaning and the
+    scaling read the hotels several times (bounds of x, of y, the rows
+    themselves, the deviations), and each read would otherwise re-run whatever
+    produced ``props`` -- for ``property_metrics`` a pass over all bookings.
+    """
     points = one_row_per_property(props.filter(F.col(CITY).isNotNull()))
+    points = cut_lineage(points, enabled=materialize, label="properties")
     return scale_features(geo_clean(points, lo, hi), FEATURES)
 
 
@@ -162,11 +171,13 @@ def comp_set_report(
 ) -> DataFrame:
     """Competitive-set report for every hotel of every city, from raw bookings.
 
-    ``materialize`` checkpoints the prepared points (one row per hotel) in the
-    session's checkpoint folder: the neighbour search reads them four times and
-    sizes them to choose its join, which would otherwise re-run the bookings
-    aggregation each time.
+    ``materialize`` writes the hotels (one row per city and property) and then
+    the prepared points to the session's checkpoint folder: the cleaning reads
+    the hotels several times, and the neighbour search reads the points four
+    times and sizes them to choose its join; without the cuts each read would
+    re-run the aggregation of all bookings.
     """
-    points = cut_lineage(prepare_points(property_metrics(bookings), lo, hi), enabled=materialize)
+    points = prepare_points(property_metrics(bookings), lo, hi, materialize=materialize)
+    points = cut_lineage(points, enabled=materialize, label="points")
     pairs = comp_set(points, k, method, max_broadcast_rows, **knn_options)
     return report_columns(comp_set_metrics(pairs))

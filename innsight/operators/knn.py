@@ -12,8 +12,11 @@ Spark runs that window as a *partial* ``WindowGroupLimit`` in the task that
 produced the pairs, so at most ``k`` rows per target cross the shuffle.
 
 * When the points fit a checked row bound, the neighbour side is broadcast and
-  the targets stream through in whatever partitioning they have: the pairs of a
-  large group are spread over all tasks, with no exchange of the points.
+  the targets are hash-partitioned on (group, target) into
+  ``max(default parallelism, sum of n² / pairs_per_task)`` partitions: the
+  pairs of a large group are spread evenly over many tasks, no task sorts more
+  than about ``pairs_per_task`` pairs, and since the pairs come out already
+  clustered by (group, target) the top-k window needs no further exchange.
 * Otherwise the join is salted: each group's targets are split into
   ``blocks = ceil(n² / pairs_per_task)`` hash blocks and the neighbour side is
   replicated once per block, so no task holds more than about
@@ -26,6 +29,7 @@ any hash table are the candidates. It trades recall for fewer pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +42,8 @@ NEIGHBOUR_ID = "harp_property_id_no"
 DISTANCE = "knn_distance_metric"
 RANK = "neighbour_rank"
 DEFAULT_K = 10
-# Candidate pairs one task may have to sort in the salted (non-broadcast) plan.
-DEFAULT_PAIRS_PER_TASK = 20_000_000
+# Candidate pairs one task may have to sort.
+DEFAULT_PAIRS_PER_TASK = 4_000_000
 
 
 def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
@@ -76,6 +80,14 @@ def _salted_pairs(
     return t.drop("_blocks").join(n.drop("_blocks"), on=[key, "_salt"]).drop("_salt")
 
 
+def pair_partitions(points: DataFrame, key: str, pairs_per_task: int) -> int:
+    """Partitions for the pair work: the group sizes' sum of squares over ``pairs_per_task``."""
+    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0
+    parallelism = points.sparkSession.sparkContext.defaultParallelism
+    return int(max(parallelism, math.ceil(total / pairs_per_task)))
+
+
 def top_k(pairs: DataFrame, key: str, k: int) -> DataFrame:
     """Keep the ``k`` closest neighbours per (key, target); adds ``neighbour_rank`` (1 = closest)."""
     order = Window.partitionBy(key, "_tid").orderBy(F.col("_d2"), F.col("_nid"))
@@ -110,7 +122,8 @@ def knn_exact(
     points = points.filter(F.col(key).isNotNull())
     targets, neighbours = _sides(points, key, id_col, features)
     if has_at_most(points, max_broadcast_rows):
-        pairs = targets.join(F.broadcast(neighbours), on=key)
+        parts = pair_partitions(points, key, pairs_per_task)
+        pairs = targets.repartition(parts, key, "_tid").join(F.broadcast(neighbours), on=key)
     else:
         pairs = _salted_pairs(targets, neighbours, key, pairs_per_task, max_broadcast_rows)
     pairs = pairs.select(key, "_tid", "_nid", _squared_distance(len(features)).alias("_d2"))

@@ -34,7 +34,7 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(cs.prepare_points(_props(spark, sf_dir)))
+    return cut_lineage(cs.prepare_points(_props(spark, sf_dir), materialize=True), label="points")
 
 
 def _property_view(df: DataFrame) -> DataFrame:
