@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_bounded
+from innsight.plans.lineage import cut_lineage
 
 TARGET_ID = "target_property_harp_ID"
 NEIGHBOUR_ID = "harp_property_id_no"
@@ -44,6 +45,11 @@ RANK = "neighbour_rank"
 DEFAULT_K = 10
 # Candidate pairs one task may have to sort.
 DEFAULT_PAIRS_PER_TASK = 4_000_000
+# Groups up to this size compare every pair; larger ones use the grid search.
+DEFAULT_BRUTE_FORCE_MAX = 10_000
+# Points a 3x3 block of grid cells should hold on average, and grid rounds.
+DEFAULT_GRID_CANDIDATES = 200
+DEFAULT_GRID_ROUNDS = 3
 
 
 def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
@@ -60,32 +66,46 @@ def _squared_distance(n_features: int) -> Column:
     return total
 
 
-def _salted_pairs(
-    targets: DataFrame, neighbours: DataFrame, key: str, pairs_per_task: int, max_broadcast_rows: int
+def _pairs(
+    targets: DataFrame,
+    neighbours: DataFrame,
+    keys: Sequence[str],
+    pairs_per_task: int,
+    max_broadcast_rows: int,
 ) -> DataFrame:
-    """Group-key join with each group's targets split into hash blocks."""
-    sizes = targets.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    """Every (target, neighbour) pair that shares ``keys``, with a bounded number of pairs per task.
+
+    The pair count is measured first (one row per key group). With a neighbour
+    side under the row bound it is broadcast and the targets are hash-partitioned
+    on (group, target) into ``max(parallelism, pairs / pairs_per_task)``
+    partitions; otherwise each key group's targets are salted into
+    ``ceil(n_t * n_n / pairs_per_task)`` blocks, the neighbours are replicated
+    per block, and both sides are partitioned on (keys, block). Explicit
+    partition counts keep AQE from coalescing the (small) inputs of a
+    pair-heavy join into a few tasks.
+    """
+    keys = list(keys)
+    t_sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
+    n_sizes = neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nn"))
+    sizes = t_sizes.join(n_sizes, on=keys)
+    total = sizes.agg(F.sum(F.col("_nt") * F.col("_nn"))).first()[0] or 0
+    parallelism = targets.sparkSession.sparkContext.defaultParallelism
+    parts = int(max(parallelism, math.ceil(total / pairs_per_task)))
+    if has_at_most(neighbours, max_broadcast_rows):
+        # clustered on (group, target) -- keys[0] is the group -- so the top-k
+        # window after the join needs no exchange
+        return targets.repartition(parts, keys[0], "_tid").join(F.broadcast(neighbours), on=keys)
     blocks = sizes.select(
-        key,
-        F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.col("_n") / F.lit(pairs_per_task))))
+        *keys,
+        F.least(F.col("_nt"), F.greatest(F.lit(1), F.ceil(F.col("_nt") * F.col("_nn") / F.lit(pairs_per_task))))
         .cast("int")
         .alias("_blocks"),
     )
-    t = join_bounded(targets, blocks, on=key, max_rows=max_broadcast_rows).withColumn(
-        "_salt", F.pmod(F.xxhash64("_tid"), F.col("_blocks")).cast("int")
-    )
-    n = join_bounded(neighbours, blocks, on=key, max_rows=max_broadcast_rows).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    )
-    return t.drop("_blocks").join(n.drop("_blocks"), on=[key, "_salt"]).drop("_salt")
-
-
-def pair_partitions(points: DataFrame, key: str, pairs_per_task: int) -> int:
-    """Partitions for the pair work: the group sizes' sum of squares over ``pairs_per_task``."""
-    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0
-    parallelism = points.sparkSession.sparkContext.defaultParallelism
-    return int(max(parallelism, math.ceil(total / pairs_per_task)))
+    t = targets.join(blocks, on=keys).withColumn("_salt", F.pmod(F.xxhash64("_tid"), F.col("_blocks")).cast("int"))
+    n = neighbours.join(blocks, on=keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    t = t.drop("_blocks").repartition(parts, *keys, "_salt")
+    n = n.drop("_blocks").repartition(parts, *keys, "_salt")
+    return t.join(n, on=[*keys, "_salt"]).drop("_salt")
 
 
 def top_k(pairs: DataFrame, key: str, k: int) -> DataFrame:
@@ -104,6 +124,97 @@ def _finish(ranked: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _brute_force(targets, neighbours, key, n_features, k, pairs_per_task, max_broadcast_rows) -> DataFrame:
+    pairs = _pairs(targets, neighbours, [key], pairs_per_task, max_broadcast_rows)
+    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"))
+    return top_k(pairs, key, k).select(key, "_tid", "_nid", "_d2", RANK)
+
+
+# --- grid-pruned exact search for large groups -------------------------------
+_OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def _cell(value: Column, low: Column, width: Column) -> Column:
+    return F.floor((value - low) / width).cast("long")
+
+
+def grid_widths(points: DataFrame, key: str, candidates: int) -> DataFrame:
+    """Per group: size ``_n``, grid origin ``_lo0, _lo1`` and cell width ``_h`` on the first two features.
+
+    The width is chosen so that a 3x3 block of cells holds about ``candidates``
+    points if they were spread evenly over the group's bounding box (or along
+    a line, when the box is flat).
+    """
+    s = points.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_n0").alias("_lo0"), F.max("_n0").alias("_hi0"),
+        F.min("_n1").alias("_lo1"), F.max("_n1").alias("_hi1"),
+    )
+    r0, r1 = F.col("_hi0") - F.col("_lo0"), F.col("_hi1") - F.col("_lo1")
+    tiny = F.lit(1e-12)
+    area_h = F.sqrt(F.lit(float(candidates)) * F.greatest(r0, tiny) * F.greatest(r1, tiny) / (9 * F.col("_n")))
+    line_h = F.greatest(r0, r1) * F.lit(float(candidates)) / (3 * F.col("_n"))
+    return s.select(key, "_n", "_lo0", "_lo1", F.greatest(area_h, line_h, F.lit(1e-9)).alias("_h"))
+
+
+def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_per_task, max_broadcast_rows):
+    """Top-k among the 3x3 block of cells around each target, and whether it is provably exact.
+
+    A point outside the block is at least ``margin`` away from the target
+    (distance to the block's edge in the first two features), so when the k-th
+    candidate distance is strictly below the margin no outside point can enter
+    or tie the top k. ``_ok`` also holds when the block saw the whole group.
+    """
+    w = widths.select(key, "_n", "_lo0", "_lo1", (F.col("_h") * scale).alias("_h"))
+    h, lo0, lo1 = F.col("_h"), F.col("_lo0"), F.col("_lo1")
+    t = targets.join(w, on=key).withColumns(
+        {"_cx": _cell(F.col("_t0"), lo0, h), "_cy": _cell(F.col("_t1"), lo1, h)}
+    )
+    margin = F.least(
+        F.col("_t0") - (lo0 + (F.col("_cx") - 1) * h),
+        (lo0 + (F.col("_cx") + 2) * h) - F.col("_t0"),
+        F.col("_t1") - (lo1 + (F.col("_cy") - 1) * h),
+        (lo1 + (F.col("_cy") + 2) * h) - F.col("_t1"),
+    ) - F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_t0")) + F.abs(F.col("_t1")) + h)
+    t = t.select(key, "_tid", *[f"_t{i}" for i in range(n_features)], "_cx", "_cy", margin.alias("_m"), "_n")
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _OFFSETS])
+    n = (
+        neighbours.join(w.drop("_n"), on=key)
+        .withColumns({"_bx": _cell(F.col("_n0"), lo0, h), "_by": _cell(F.col("_n1"), lo1, h)})
+        .withColumn("_off", F.explode(offsets))
+        .select(
+            key, "_nid", *[f"_n{i}" for i in range(n_features)],
+            (F.col("_bx") + F.col("_off.dx")).alias("_cx"), (F.col("_by") + F.col("_off.dy")).alias("_cy"),
+        )
+    )
+    pairs = _pairs(t, n, [key, "_cx", "_cy"], pairs_per_task, max_broadcast_rows)
+    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"), "_m", "_n")
+    ranked = top_k(pairs, key, k)
+    per_target = Window.partitionBy(key, "_tid")
+    kept, dk2 = F.count(F.lit(1)).over(per_target), F.max("_d2").over(per_target)
+    ok = (kept >= F.col("_n")) | ((kept >= k) & (F.col("_m") > 0) & (dk2 < F.col("_m") * F.col("_m")))
+    return ranked.select(key, "_tid", "_nid", "_d2", RANK, ok.alias("_ok"))
+
+
+def _knn_grid(targets, neighbours, key, n_features, k, candidates, rounds, pairs_per_task, max_broadcast_rows):
+    widths = cut_lineage(grid_widths(neighbours, key, candidates), label="knn-grid-widths")
+    results = []
+    remaining = targets
+    for r in range(rounds):
+        ranked = cut_lineage(
+            _grid_round(remaining, neighbours, widths, key, n_features, k, 4.0**r, pairs_per_task, max_broadcast_rows),
+            label=f"knn-grid-{r}",
+        )
+        results.append(ranked.filter(F.col("_ok")).drop("_ok"))
+        failed = ranked.filter(~F.col("_ok")).select(key, "_tid").distinct()
+        if failed.limit(1).count() == 0:
+            return results
+        remaining = targets.join(failed, on=[key, "_tid"], how="left_semi")
+    # targets no round could certify: compare with every point of their group
+    results.append(_brute_force(remaining, neighbours, key, n_features, k, pairs_per_task, max_broadcast_rows))
+    return results
+
+
 def knn_exact(
     points: DataFrame,
     features: Sequence[str],
@@ -112,22 +223,42 @@ def knn_exact(
     id_col: str = NEIGHBOUR_ID,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
+    brute_force_max: int = DEFAULT_BRUTE_FORCE_MAX,
+    grid_candidates: int = DEFAULT_GRID_CANDIDATES,
+    grid_rounds: int = DEFAULT_GRID_ROUNDS,
 ) -> DataFrame:
     """Exact k nearest neighbours of every point within its ``key`` group.
 
     ``points`` must have one row per (``key``, ``id_col``) and non-NULL
-    features. Output: ``key, target_property_harp_ID, harp_property_id_no,
-    knn_distance_metric, neighbour_rank``.
+    features. Groups of at most ``brute_force_max`` points compare every pair;
+    larger groups use the grid search on the first two features (rounds with
+    a 4x wider cell each time) and compare the few targets it cannot certify
+    with their whole group. Output: ``key, target_property_harp_ID,
+    harp_property_id_no, knn_distance_metric, neighbour_rank``.
     """
     points = points.filter(F.col(key).isNotNull())
     targets, neighbours = _sides(points, key, id_col, features)
-    if has_at_most(points, max_broadcast_rows):
-        parts = pair_partitions(points, key, pairs_per_task)
-        pairs = targets.repartition(parts, key, "_tid").join(F.broadcast(neighbours), on=key)
-    else:
-        pairs = _salted_pairs(targets, neighbours, key, pairs_per_task, max_broadcast_rows)
-    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(len(features)).alias("_d2"))
-    return _finish(top_k(pairs, key, k), key)
+    nf = len(features)
+    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if nf < 2 or largest <= brute_force_max:
+        return _finish(_brute_force(targets, neighbours, key, nf, k, pairs_per_task, max_broadcast_rows), key)
+    small = sizes.filter(F.col("_n") <= brute_force_max).select(key)
+    large = sizes.filter(F.col("_n") > brute_force_max).select(key)
+    parts = [
+        _brute_force(
+            targets.join(small, key, "left_semi"), neighbours.join(small, key, "left_semi"),
+            key, nf, k, pairs_per_task, max_broadcast_rows,
+        )
+    ]
+    parts += _knn_grid(
+        targets.join(large, key, "left_semi"), neighbours.join(large, key, "left_semi"),
+        key, nf, k, grid_candidates, grid_rounds, pairs_per_task, max_broadcast_rows,
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _finish(out, key)
 
 
 def knn_lsh(

@@ -44,6 +44,7 @@ _COMPSET_QUERIES = [
     "scaled_features",
     "knn_exact",
     "knn_exact_salted",
+    "knn_exact_grid",
     "knn_lsh",
     "haversine_distance",
     "compset_metrics",

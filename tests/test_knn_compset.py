@@ -163,3 +163,46 @@ def test_null_and_zero_yield_ratios(spark):
     assert got[("z", "z")]["compset_yield_vs_target_property_ratio"] is None  # zero target yield
     assert got[("t", "n")]["compset_share_of_bookings"] == pytest.approx(1 / 3)
     assert ("t", "z") not in got and ("z", "t") not in got
+
+
+def _large_groups(spark):
+    """Three groups the grid search must handle: clustered, all-duplicate-xy, and collinear."""
+    rng = np.random.default_rng(11)
+    groups = {
+        # dense core plus sparse outskirts; coordinates on a 1/4 grid so distances are exact and tie
+        "big": np.concatenate([rng.normal(0, 0.5, (1500, 4)), rng.uniform(-6, 6, (700, 4))]),
+        # every point at the same (x, y): the grid cannot separate them
+        "same_xy": np.column_stack([np.zeros(700), np.zeros(700), rng.normal(0, 1, (700, 2))]),
+        # all on a line in (x, y)
+        "line": np.column_stack([rng.uniform(0, 50, 900), np.zeros(900), rng.normal(0, 1, (900, 2))]),
+    }
+    rows = []
+    for g, pts in groups.items():
+        pts = np.round(pts * 4) / 4
+        rows += [(g, f"{g}_{i:05d}", *map(float, p)) for i, p in enumerate(pts)]
+    schema = "city_code string, harp_property_id_no string, f0 double, f1 double, f2 double, f3 double"
+    return spark.createDataFrame(rows, schema), rows
+
+
+def _numpy_knn(rows, k):
+    out = {}
+    by_group = {}
+    for r in rows:
+        by_group.setdefault(r[0], []).append(r)
+    for g, rs in by_group.items():
+        ids = np.array([r[1] for r in rs])
+        x = np.array([r[2:] for r in rs])
+        order_ids = np.argsort(ids)  # tie-break by id
+        for i, r in enumerate(rs):
+            d2 = ((x - x[i]) ** 2).sum(axis=1)
+            idx = order_ids[np.lexsort((ids[order_ids], d2[order_ids]))][:k]
+            out.update({(g, r[1], ids[j]): rank for rank, j in enumerate(idx, start=1)})
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_knn_grid_equals_brute_force_on_large_groups(spark, rounds):
+    df, rows = _large_groups(spark)
+    got = knn.knn_exact(df, ["f0", "f1", "f2", "f3"], k=10, brute_force_max=600,
+                        grid_candidates=60, grid_rounds=rounds)
+    assert _as_dict(got) == _numpy_knn(rows, 10)
