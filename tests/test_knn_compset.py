@@ -206,3 +206,23 @@ def test_knn_grid_equals_brute_force_on_large_groups(spark, rounds):
     got = knn.knn_exact(df, ["f0", "f1", "f2", "f3"], k=10, brute_force_max=600,
                         grid_candidates=60, grid_rounds=rounds)
     assert _as_dict(got) == _numpy_knn(rows, 10)
+
+
+def test_one_point_per_property_when_names_tie(spark):
+    # p2 has two current names (tie on the latest date): the search gets one point, most bookings first
+    props = properties.property_metrics(_bookings(spark))
+    pts = {r["harp_property_id_no"]: r["hotel_name"] for r in cs.one_row_per_property(props).collect()}
+    assert sorted(pts) == ["p1", "p2", "p3"]
+    assert pts["p2"] == "X"  # equal bookings -> smallest name
+
+
+def test_report_columns_and_vectors(spark):
+    report = cs.comp_set_report(fx.fixture_bookings(spark, SF_SMALL))
+    assert report.columns == [*cs.REPORT_COLUMNS, "city_code"]
+    rows = report.filter(F.col(knn.TARGET_ID) == F.col(knn.NEIGHBOUR_ID)).collect()
+    assert rows
+    for r in rows[:50]:
+        assert r["knn_distance_metric"] == 0.0 and r["distance_km"] == 0.0
+        assert r["features"] == [r["longitude"], r["latitude"], float(r["star_rating_number"]), r["avg_adr"]]
+        assert len(r["scaledFeatures"]) == 4
+        assert r["target_property_name"] == r["hotel_name"]
