@@ -270,6 +270,8 @@ def knn_lsh(
     bucket_length: float = 2.0,
     num_hash_tables: int = 3,
     seed: int = 17,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
 ) -> DataFrame:
     """Approximate k nearest neighbours within ``key`` via random-projection LSH.
 
@@ -297,8 +299,9 @@ def knn_lsh(
                       *[F.col(f"_f{i}").alias(f"_t{i}") for i in range(len(features))])
     n = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_nid"),
                       *[F.col(f"_f{i}").alias(f"_n{i}") for i in range(len(features))])
+    # a crowded bucket is spread like any other pair-heavy group
     pairs = (
-        t.join(n, on=[key, "_table", "_bucket"])
+        _pairs(t, n, [key, "_table", "_bucket"], pairs_per_task, max_broadcast_rows)
         .select(key, "_tid", "_nid", _squared_distance(len(features)).alias("_d2"))
         .dropDuplicates([key, "_tid", "_nid"])
     )
