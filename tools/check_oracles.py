@@ -5,12 +5,15 @@ usage: python tools/check_oracles.py [sf_dir] [name ...]
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
-from innsight import registry
-from innsight.oracle import compare
-from innsight.session import local_session
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from innsight import registry  # noqa: E402
+from innsight.oracle import compare  # noqa: E402
+from innsight.session import local_session  # noqa: E402
 
 
 def main(argv: list[str]) -> int:
