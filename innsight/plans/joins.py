@@ -16,9 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a lookup side we are willing to ship to every executor. A row here is
-# a few short strings (ids, bucket names): 2M rows stay well under 256 MB.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Rows of a side we are willing to build on the driver and ship to every
+# executor. The sides broadcast here are narrow -- a rate id and bucket (~40 B),
+# or a hotel id, city and four doubles (~100 B) -- so 1M rows is at most about
+# 100 MB; anything larger takes a shuffled (salted) plan instead.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
