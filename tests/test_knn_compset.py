@@ -226,3 +226,32 @@ def test_report_columns_and_vectors(spark):
         assert r["features"] == [r["longitude"], r["latitude"], float(r["star_rating_number"]), r["avg_adr"]]
         assert len(r["scaledFeatures"]) == 4
         assert r["target_property_name"] == r["hotel_name"]
+
+
+def _hot_city_points(spark):
+    """Fixture hotels with a third of them moved into one city (the skew case)."""
+    b = fx.fixture_bookings(spark, "/root/testdata/sf0.01")
+    hot = F.when(F.pmod(F.xxhash64("harp_property_id_no"), F.lit(3)) == 0, F.lit("HOT")).otherwise(F.col("city_code"))
+    return cs.prepare_points(properties.property_metrics(b.withColumn("city_code", hot)))
+
+
+def test_hot_city_grid_equals_brute_force_and_spreads_pairs(spark):
+    from innsight.operators.features import FEATURES, scaled_name
+
+    pts = _hot_city_points(spark).cache()
+    sizes = {r["city_code"]: r["count"] for r in pts.groupBy("city_code").count().collect()}
+    assert sizes["HOT"] > 3 * max(v for c, v in sizes.items() if c != "HOT")
+    feats = [scaled_name(f) for f in FEATURES]
+    brute = _as_dict(knn.knn_exact(pts, feats, k=10, brute_force_max=10**9))
+    grid = _as_dict(knn.knn_exact(pts, feats, k=10, brute_force_max=100, grid_candidates=40))
+    assert grid == brute
+    # the hot city's pairs are spread: no partition gets more than ~pairs_per_task pairs
+    t, n = knn._sides(pts.filter("city_code = 'HOT'"), "city_code", "harp_property_id_no", feats)
+    per_task = 20_000
+    for max_broadcast in (10**6, 0):  # broadcast plan, salted plan
+        pairs = knn._pairs(t, n, ["city_code"], per_task, max_broadcast)
+        counts = pairs.rdd.glom().map(len).collect()
+        assert sum(counts) == sizes["HOT"] ** 2
+        assert len(counts) >= sizes["HOT"] ** 2 // per_task
+        assert max(counts) <= 4 * per_task
+    pts.unpersist()
