@@ -70,12 +70,14 @@ TARGET_ATTRIBUTES = {
 
 
 def one_row_per_property(props: DataFrame) -> DataFrame:
-    """One row per (city, property): the one with most bookings, then the smallest name.
+    """One row per (city, property): most bookings, then smallest name, chain, x, y.
 
     A property can have several current names (ties on the latest date) or
     locations; the neighbour search needs one point per property.
     """
-    order = Window.partitionBy(CITY, PROPERTY_ID).orderBy(F.col("num_bookings").desc(), F.col("hotel_name"))
+    order = Window.partitionBy(CITY, PROPERTY_ID).orderBy(
+        F.col("num_bookings").desc(), "hotel_name", "hotel_chain_name", "x", "y"
+    )
     return props.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") == 1).drop("_pick")
 
 

@@ -210,7 +210,8 @@ pm as (select harp_property_id_no, hotel_name, hotel_chain_name, city_code, x, y
        from bc where star_rating is not null and length(star_rating) > 1 group by all),
 props as (select * exclude (q) from (
             select *, row_number() over (partition by city_code, harp_property_id_no
-                                         order by num_bookings desc, hotel_name) q from pm) where q = 1),
+                                         order by num_bookings desc, hotel_name, hotel_chain_name, x, y) q
+            from pm) where q = 1),
 valid as (select * from props where x between -180 and 180 and y between -90 and 90),
 bx as (select city_code, percentile_disc(0.03) within group (order by x) x_lo,
               percentile_disc(0.97) within group (order by x) x_hi
