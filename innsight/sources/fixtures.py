@@ -47,8 +47,11 @@ def search_log_from_events(events: DataFrame, window: SearchWindow | None = None
     into the Parquet scan (the stand-in for directory pruning on a real log).
     """
     if window is not None:
-        start, end = window.timestamp_bounds()
-        events = events.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+        # bounds as literals of the column's own type, written as text, so the
+        # range means the same wall-clock days whatever the session time zone
+        ts_type = events.schema["ts"].dataType.simpleString()
+        start, end = (F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast(ts_type) for t in window.timestamp_bounds())
+        events = events.filter((F.col("ts") >= start) & (F.col("ts") < end))
     k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int")
     none = F.lit(None)
     rank_label = F.lit(RATE_SORTED_RANK_LABEL)
