@@ -60,9 +60,10 @@ def run_comp_sets(
     table: str | None = None,
     k: int = 10,
     method: str = "exact",
+    vectors: bool = False,
 ) -> None:
     """Competitive sets of every city (Parquet by city), optionally a CSV dump and a table."""
-    report = comp_set_report(bookings, k=k, method=method)
+    report = comp_set_report(bookings, k=k, method=method, vectors=vectors)
     write_partitioned(report, output_path, [CITY])
     written = read_partitioned(spark, output_path, report.schema)
     if csv_path:
@@ -96,12 +97,18 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--table")
     c.add_argument("--k", type=int, default=10)
     c.add_argument("--method", choices=["exact", "lsh"], default="exact")
+    c.add_argument("--vectors", action="store_true", help="write features as ML vectors, not arrays")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"innsight-{args.job}").getOrCreate()
+    # string columns written as plain BINARY by some producers read as strings
+    spark = (
+        SparkSession.builder.appName(f"innsight-{args.job}")
+        .config("spark.sql.parquet.binaryAsString", "true")
+        .getOrCreate()
+    )
     try:
         if args.job == "rate-frequency":
             parts = (args.year, args.month, args.first_day, args.last_day)
@@ -117,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
                 bookings = read_bookings_sql_file(spark, args.bookings_sql_file)
             if args.since:
                 bookings = bookings_since(bookings, args.since)
-            run_comp_sets(spark, bookings, args.output, args.csv, args.table, args.k, args.method)
+            run_comp_sets(spark, bookings, args.output, args.csv, args.table, args.k, args.method, args.vectors)
     finally:
         spark.stop()
     return 0

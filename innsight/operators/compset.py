@@ -153,10 +153,19 @@ def comp_set_metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
-def report_columns(df: DataFrame) -> DataFrame:
-    """The report's 26 columns, then ``city_code``."""
+def report_columns(df: DataFrame, vectors: bool = False) -> DataFrame:
+    """The report's 26 columns, then ``city_code``.
+
+    ``features`` / ``scaledFeatures`` are ``array<double>``, or Spark ML dense
+    vectors with ``vectors=True`` (converted by the JVM-side ``array_to_vector``).
+    """
     df = with_distance_km(df, "y", "x", "target_property_latitude", "target_property_longitude")
-    df = df.withColumns(feature_arrays(FEATURES)).withColumnsRenamed({"x": "longitude", "y": "latitude"})
+    arrays = feature_arrays(FEATURES)
+    if vectors:
+        from pyspark.ml.functions import array_to_vector
+
+        arrays = {name: array_to_vector(col) for name, col in arrays.items()}
+    df = df.withColumns(arrays).withColumnsRenamed({"x": "longitude", "y": "latitude"})
     return df.select(*REPORT_COLUMNS, CITY)
 
 
@@ -168,6 +177,7 @@ def comp_set_report(
     hi: float = DEFAULT_UPPER,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     materialize: bool = True,
+    vectors: bool = False,
     **knn_options,
 ) -> DataFrame:
     """Competitive-set report for every hotel of every city, from raw bookings.
@@ -181,4 +191,4 @@ def comp_set_report(
     points = prepare_points(property_metrics(bookings), lo, hi, materialize=materialize)
     points = cut_lineage(points, enabled=materialize, label="points")
     pairs = comp_set(points, k, method, max_broadcast_rows, **knn_options)
-    return report_columns(comp_set_metrics(pairs))
+    return report_columns(comp_set_metrics(pairs), vectors=vectors)

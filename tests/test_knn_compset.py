@@ -255,3 +255,12 @@ def test_hot_city_grid_equals_brute_force_and_spreads_pairs(spark):
         assert len(counts) >= sizes["HOT"] ** 2 // per_task
         assert max(counts) <= 4 * per_task
     pts.unpersist()
+
+
+def test_report_with_ml_vectors(spark):
+    from pyspark.ml.linalg import DenseVector
+
+    report = cs.comp_set_report(fx.fixture_bookings(spark, SF_SMALL), vectors=True)
+    r = report.first()
+    assert isinstance(r["features"], DenseVector) and isinstance(r["scaledFeatures"], DenseVector)
+    assert r["features"][0] == r["longitude"]
