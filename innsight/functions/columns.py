@@ -13,18 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values (must equal the search-log producer's label ids) ---------
-# Label id/type of the rank a rate had in the sorted response.
-RATE_SORTED_RANK_LABEL = "CWT_RATE_SORTED_RANK"
-# Label id/type of the rate type.
-RATE_TYPE_LABEL = "CWT_RATE_TYPE"
-# Bucket given to rates missing from the rate lookup.
-UNMATCHED_RATE_BUCKET = "OTHER"
-# Inclusive rank range flagged as "top 3".
-TOP_RANK_FIRST, TOP_RANK_LAST = 1, 3
-# Mean Earth radius used for great-circle distances, in km.
-EARTH_RADIUS_KM = 6371.0
-# ---------------------------------------------------------------------------
+from innsight.fixed_values import (  # noqa: F401  (re-exported)
+    EARTH_RADIUS_KM,
+    RATE_SORTED_RANK_LABEL,
+    RATE_TYPE_LABEL,
+    TOP_RANK_FIRST,
+    TOP_RANK_LAST,
+    UNMATCHED_RATE_BUCKET,
+)
 
 
 def _col(c: str | Column) -> Column:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from innsight.fixed_values import REPORT_COLUMNS
 from innsight.functions.columns import safe_ratio
 from innsight.operators.features import FEATURES, feature_arrays, scale_features, scaled_name
 from innsight.operators.geo import DEFAULT_LOWER, DEFAULT_UPPER, geo_clean, with_distance_km
@@ -30,35 +31,6 @@ from innsight.plans.lineage import cut_lineage
 
 CITY = "city_code"
 
-# Column order of the competitive-set report (city_code is the partition column).
-REPORT_COLUMNS = [
-    "target_property_harp_ID",
-    "target_property_name",
-    "target_property_longitude",
-    "target_property_latitude",
-    "target_property_yield",
-    "target_property_num_bookings",
-    "harp_property_id_no",
-    "hotel_name",
-    "hotel_chain_name",
-    "longitude",
-    "latitude",
-    "star_rating",
-    "star_rating_number",
-    "num_bookings",
-    "avg_yield",
-    "avg_adr",
-    "features",
-    "scaledFeatures",
-    "knn_distance_metric",
-    "distance_km",
-    "compset_yield_vs_target_property_diff",
-    "compset_yield_vs_target_property_ratio",
-    "compset_yield_performance_rank",
-    "compset_share_of_bookings",
-    "compset_bookings_wrt_target_property_ratio",
-    "compset_share_of_bookings_rank",
-]
 
 TARGET_ATTRIBUTES = {
     "hotel_name": "target_property_name",

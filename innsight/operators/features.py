@@ -23,9 +23,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.fixed_values import FEATURES
 
 CITY = "city_code"
-FEATURES = ["x", "y", "star_rating_number", "avg_adr"]
 
 
 def scaled_name(feature: str) -> str:

@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.fixed_values import PERCENTILE_LOWER, PERCENTILE_UPPER
 from innsight.functions.columns import haversine_km, valid_coordinates
 
 CITY = "city_code"
-# Percentile limits of the source job's tail trimming.
-DEFAULT_LOWER, DEFAULT_UPPER = 0.03, 0.97
+DEFAULT_LOWER, DEFAULT_UPPER = PERCENTILE_LOWER, PERCENTILE_UPPER
 
 
 def _percentile_disc(col: str, p: float) -> Column:

@@ -35,6 +35,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innsight.fixed_values import COMP_SET_SIZE
 from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_bounded
 from innsight.plans.lineage import cut_lineage
 
@@ -42,7 +43,7 @@ TARGET_ID = "target_property_harp_ID"
 NEIGHBOUR_ID = "harp_property_id_no"
 DISTANCE = "knn_distance_metric"
 RANK = "neighbour_rank"
-DEFAULT_K = 10
+DEFAULT_K = COMP_SET_SIZE
 # Candidate pairs one task may have to sort.
 DEFAULT_PAIRS_PER_TASK = 4_000_000
 # Groups up to this size compare every pair; larger ones use the grid search.
