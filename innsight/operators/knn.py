@@ -155,7 +155,7 @@ def grid_widths(points: DataFrame, key: str, candidates: int) -> DataFrame:
     tiny = F.lit(1e-12)
     area_h = F.sqrt(F.lit(float(candidates)) * F.greatest(r0, tiny) * F.greatest(r1, tiny) / (9 * F.col("_n")))
     line_h = F.greatest(r0, r1) * F.lit(float(candidates)) / (3 * F.col("_n"))
-    return s.select(key, "_n", "_lo0", "_lo1", F.greatest(area_h, line_h, F.lit(1e-9)).alias("_h"))
+    return s.select(key, "_n", "_lo0", "_lo1", "_hi0", "_hi1", F.greatest(area_h, line_h, F.lit(1e-9)).alias("_h"))
 
 
 def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_per_task, max_broadcast_rows):
@@ -164,23 +164,32 @@ def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_pe
     A point outside the block is at least ``margin`` away from the target
     (distance to the block's edge in the first two features), so when the k-th
     candidate distance is strictly below the margin no outside point can enter
-    or tie the top k. ``_ok`` also holds when the block saw the whole group.
+    or tie the top k. ``_ok`` also holds when the block spans every cell of the
+    group (cell indices compared as integers, so no rounding is involved).
     """
-    w = widths.select(key, "_n", "_lo0", "_lo1", (F.col("_h") * scale).alias("_h"))
+    w = widths.select(key, "_n", "_lo0", "_lo1", "_hi0", "_hi1", (F.col("_h") * scale).alias("_h"))
     h, lo0, lo1 = F.col("_h"), F.col("_lo0"), F.col("_lo1")
     t = targets.join(w, on=key).withColumns(
         {"_cx": _cell(F.col("_t0"), lo0, h), "_cy": _cell(F.col("_t1"), lo1, h)}
     )
+    # the block spans every cell of the group, so every point is a candidate
+    covers_all = (
+        (F.col("_cx") <= 1) & (F.col("_cx") + 1 >= _cell(F.col("_hi0"), lo0, h))
+        & (F.col("_cy") <= 1) & (F.col("_cy") + 1 >= _cell(F.col("_hi1"), lo1, h))
+    )
     margin = F.least(
         F.col("_t0") - (lo0 + (F.col("_cx") - 1) * h),
         (lo0 + (F.col("_cx") + 2) * h) - F.col("_t0"),
         F.col("_t1") - (lo1 + (F.col("_cy") - 1) * h),
         (lo1 + (F.col("_cy") + 2) * h) - F.col("_t1"),
     ) - F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_t0")) + F.abs(F.col("_t1")) + h)
-    t = t.select(key, "_tid", *[f"_t{i}" for i in range(n_features)], "_cx", "_cy", margin.alias("_m"), "_n")
+    t = t.select(
+        key, "_tid", *[f"_t{i}" for i in range(n_features)], "_cx", "_cy", margin.alias("_m"), "_n",
+        covers_all.alias("_all"),
+    )
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _OFFSETS])
     n = (
-        neighbours.join(w.drop("_n"), on=key)
+        neighbours.join(w.drop("_n", "_hi0", "_hi1"), on=key)
         .withColumns({"_bx": _cell(F.col("_n0"), lo0, h), "_by": _cell(F.col("_n1"), lo1, h)})
         .withColumn("_off", F.explode(offsets))
         .select(
@@ -189,11 +198,15 @@ def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_pe
         )
     )
     pairs = _pairs(t, n, [key, "_cx", "_cy"], pairs_per_task, max_broadcast_rows)
-    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"), "_m", "_n")
+    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"), "_m", "_n", "_all")
     ranked = top_k(pairs, key, k)
     per_target = Window.partitionBy(key, "_tid")
     kept, dk2 = F.count(F.lit(1)).over(per_target), F.max("_d2").over(per_target)
-    ok = (kept >= F.col("_n")) | ((kept >= k) & (F.col("_m") > 0) & (dk2 < F.col("_m") * F.col("_m")))
+    ok = (
+        F.col("_all")
+        | (kept >= F.col("_n"))
+        | ((kept >= k) & (F.col("_m") > 0) & (dk2 < F.col("_m") * F.col("_m")))
+    )
     return ranked.select(key, "_tid", "_nid", "_d2", RANK, ok.alias("_ok"))
 
 
