@@ -132,3 +132,31 @@ def test_rate_frequency_plan_has_two_exchanges_and_no_python(spark):
 def test_property_metrics_scans_bookings_once(spark):
     plan = plan_text(properties.property_metrics(fx.fixture_bookings(spark, SF_SMALL)), "simple")
     assert plan.count("FileScan parquet") == 2  # orders and customer, once each
+
+
+def test_bookings_from_table_and_sql_file(spark, tmp_out):
+    from innsight.sources import read_bookings_sql_file, read_bookings_table
+
+    fx.fixture_bookings(spark, SF_SMALL).createOrReplaceTempView("bookings_fixture")
+    sql_path = os.path.join(tmp_out, "stage1.sql")
+    with open(sql_path, "w") as fh:
+        fh.write("SELECT * FROM bookings_fixture WHERE created_date >= DATE'1998-01-01'")
+    from_sql = read_bookings_sql_file(spark, sql_path)
+    expected = properties.bookings_since(read_bookings_table(spark, "bookings_fixture"), "1998-01-01")
+    assert from_sql.exceptAll(expected).count() == 0 and expected.exceptAll(from_sql).count() == 0
+    assert from_sql.count() > 0
+    # the SQL source stays lazy: its filter reaches the Parquet scan
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan_text(from_sql)
+    spark.catalog.dropTempView("bookings_fixture")
+
+
+def test_job_command_line_parses():
+    args = jobs._parser().parse_args(
+        ["comp-sets", "--bookings-sql-file", "s.sql", "--since", "2018-05-01", "--output", "o", "--k", "5"]
+    )
+    assert (args.job, args.bookings_sql_file, args.since, args.k, args.method) == ("comp-sets", "s.sql", "2018-05-01", 5, "exact")
+    args = jobs._parser().parse_args(
+        ["rate-frequency", "--search-log", "l", "--lookup", "u", "--year", "2019", "--month", "5",
+         "--first-day", "24", "--last-day", "30", "--output", "o"]
+    )
+    assert (args.year, args.month, args.first_day, args.last_day) == (2019, 5, 24, 30)
