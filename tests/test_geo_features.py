@@ -98,3 +98,22 @@ def test_scaling_zero_variance_single_row_and_null(spark):
     assert [got["p1"][feat.scaled_name(f)] for f in feat.FEATURES] == [0.0, 0.0, 0.0, 0.0]
     assert got["p2"]["scaled_x"] == 0.0 and got["p2"]["scaled_avg_adr"] == 0.0
     assert got["p3"]["scaled_y"] == pytest.approx(4.0 / math.sqrt(2.0))
+
+
+def test_bounds_equal_per_city_quantile_loop_on_fixture(spark):
+    """The one-pass bounds equal the source job's per-city ``approxQuantile(..., 0)`` loop."""
+    from innsight.operators import compset as cs
+    from innsight.operators import properties
+    from innsight.sources import fixtures as fx
+
+    props = cs.one_row_per_property(properties.property_metrics(fx.fixture_bookings(spark, "/root/testdata/sf0.001")))
+    props = props.cache()
+    ours = {r["city_code"]: (r["x_lo"], r["x_hi"], r["y_lo"], r["y_hi"]) for r in geo.geo_bounds(props).collect()}
+    cities = [r[0] for r in props.select("city_code").distinct().collect()]
+    assert len(cities) > 10
+    for city in cities:  # test-only driver loop: the reference shape being checked against
+        valid = props.filter((F.col("city_code") == city) & F.expr("x between -180 and 180 and y between -90 and 90"))
+        qx = valid.select("x").distinct().approxQuantile("x", [0.03, 0.97], 0.0)
+        qy = valid.select("y").distinct().approxQuantile("y", [0.03, 0.97], 0.0)
+        assert ours[city] == (qx[0], qx[1], qy[0], qy[1]), city
+    props.unpersist()
