@@ -79,3 +79,19 @@ def test_rate_frequency_counts_distinct_rates(spark):
     assert got == sorted([("CNR", "BAR", 1, 2), ("OTHER", None, 0, 1), ("OTHER", "BAR", 0, 1)], key=repr)
     summary = {(r[T], r["top3_rate_flag"]): r["total_responses"] for r in rates.rate_summary(freq).collect()}
     assert summary == {("BAR", 1): 2, ("BAR", 0): 1, (None, 0): 1}
+
+
+def test_rate_frequency_equals_explode_pivot_path_on_fixture(spark):
+    """The flagship (array form) equals the source job's explode + pivot + count path."""
+    from pyspark.sql import functions as F
+
+    from innsight.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.01"
+    log, lookup = fx.fixture_search_log(spark, sf), fx.fixture_rate_lookup(spark, sf)
+    unique = rates.distinct_rates(rates.attach_rate_bucket(rates.select_window(log, fx.FIXTURE_WINDOW), lookup))
+    pivoted = lab.pivot_labels(lab.explode_labels(unique), rates.RATE_ROW_KEYS)
+    textbook = lab.with_top3_flag(pivoted).groupBy(*rates.FREQUENCY_KEYS).agg(F.count(F.lit(1)).alias("responses"))
+    ours = rates.rate_frequency(log, lookup, fx.FIXTURE_WINDOW)
+    assert ours.count() == textbook.count() > 0
+    assert ours.exceptAll(textbook.select(*ours.columns)).count() == 0
