@@ -41,7 +41,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="innsight-bench-")
     spark = local_session(
         cores=cpus,
-        shuffle_partitions=max(8, 2 * int(cpus)),
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * int(cpus)))),
         app_name="innsight-bench",
         extra_conf={
             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
