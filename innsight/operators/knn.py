@@ -48,9 +48,9 @@ DEFAULT_K = COMP_SET_SIZE
 DEFAULT_PAIRS_PER_TASK = 4_000_000
 # Groups up to this size compare every pair; larger ones use the grid search.
 DEFAULT_BRUTE_FORCE_MAX = 10_000
-# Points a 3x3 block of grid cells should hold on average, and grid rounds.
+# Points a 3x3 block of grid cells should hold on average, and the most grid rounds.
 DEFAULT_GRID_CANDIDATES = 200
-DEFAULT_GRID_ROUNDS = 3
+DEFAULT_GRID_ROUNDS = 6
 
 
 def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
@@ -210,11 +210,21 @@ def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_pe
     return ranked.select(key, "_tid", "_nid", "_d2", RANK, ok.alias("_ok"))
 
 
-def _knn_grid(targets, neighbours, key, n_features, k, candidates, rounds, pairs_per_task, max_broadcast_rows):
+def _knn_grid(
+    targets, neighbours, key, n_features, k, candidates, rounds, largest, pairs_per_task, max_broadcast_rows
+):
+    """Grid rounds, each with 4x wider cells (16x the block's points) for the targets not yet certified.
+
+    Widening stops after ``rounds`` rounds, or once a block would hold about as
+    many points as the largest group -- then comparing the remaining targets
+    with their whole group is cheaper than replicating every point again.
+    """
     widths = cut_lineage(grid_widths(neighbours, key, candidates), label="knn-grid-widths")
     results = []
     remaining = targets
     for r in range(rounds):
+        if r > 0 and candidates * 16**r >= largest:
+            break
         ranked = cut_lineage(
             _grid_round(remaining, neighbours, widths, key, n_features, k, 4.0**r, pairs_per_task, max_broadcast_rows),
             label=f"knn-grid-{r}",
@@ -246,8 +256,8 @@ def knn_exact(
     ``points`` must have one row per (``key``, ``id_col``) and non-NULL
     features. Groups of at most ``brute_force_max`` points compare every pair;
     larger groups use the grid search on the first two features (rounds with
-    a 4x wider cell each time) and compare the few targets it cannot certify
-    with their whole group. Output: ``key, target_property_harp_ID,
+    a 4x wider cell each time, while a block stays smaller than the largest
+    group) and compare the few targets it cannot certify with their whole group. Output: ``key, target_property_harp_ID,
     harp_property_id_no, knn_distance_metric, neighbour_rank``.
     """
     points = points.filter(F.col(key).isNotNull())
@@ -267,7 +277,7 @@ def knn_exact(
     ]
     parts += _knn_grid(
         targets.join(large, key, "left_semi"), neighbours.join(large, key, "left_semi"),
-        key, nf, k, grid_candidates, grid_rounds, pairs_per_task, max_broadcast_rows,
+        key, nf, k, grid_candidates, grid_rounds, largest, pairs_per_task, max_broadcast_rows,
     )
     out = parts[0]
     for p in parts[1:]:
