@@ -22,6 +22,15 @@ produced the pairs, so at most ``k`` rows per target cross the shuffle.
   replicated once per block, so no task holds more than about
   ``pairs_per_task`` pairs however large a group is.
 
+Groups larger than ``brute_force_max`` never pair all their points: each
+point is assigned a cell of a grid over the features (width per group, so a
+block of 3^d cells holds about ``grid_candidates`` points) and copied into the
+3^d cells around it; a target meets only the points of its block. Its top k is
+*certified* when the k-th distance is strictly below the distance to the
+block's nearest face (no outside point can enter or tie) or the block spans
+the whole group. Uncertified targets go to another round with 2x wider cells;
+the rounds end once every target is certified, which widening guarantees.
+
 ``knn_lsh`` is the approximate variant: random-projection LSH buckets (Spark
 ML's ``BucketedRandomProjectionLSH``) keyed by group; pairs sharing a bucket in
 any hash table are the candidates. It trades recall for fewer pairs.
@@ -29,6 +38,7 @@ any hash table are the candidates. It trades recall for fewer pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -46,11 +56,14 @@ RANK = "neighbour_rank"
 DEFAULT_K = COMP_SET_SIZE
 # Candidate pairs one task may have to sort.
 DEFAULT_PAIRS_PER_TASK = 4_000_000
-# Groups up to this size compare every pair; larger ones use the grid search.
-DEFAULT_BRUTE_FORCE_MAX = 10_000
-# Points a 3x3 block of grid cells should hold on average, and the most grid rounds.
+# Groups up to this size compare every pair (at most 1M pairs per group, a
+# constant); larger ones use the grid search, which never pairs a whole group.
+DEFAULT_BRUTE_FORCE_MAX = 1_000
+# Grid: points a block of 3^d cells should hold on average, features gridded
+# (d, so 3^d copies of each point), and a guard on the number of rounds.
 DEFAULT_GRID_CANDIDATES = 200
-DEFAULT_GRID_ROUNDS = 6
+DEFAULT_GRID_DIMS = 4
+DEFAULT_GRID_ROUNDS = 16
 
 
 def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
@@ -132,72 +145,74 @@ def _brute_force(targets, neighbours, key, n_features, k, pairs_per_task, max_br
 
 
 # --- grid-pruned exact search for large groups -------------------------------
-_OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
 def _cell(value: Column, low: Column, width: Column) -> Column:
     return F.floor((value - low) / width).cast("long")
 
 
-def grid_widths(points: DataFrame, key: str, candidates: int) -> DataFrame:
-    """Per group: size ``_n``, grid origin ``_lo0, _lo1`` and cell width ``_h`` on the first two features.
+def grid_widths(points: DataFrame, key: str, dims: int, candidates: int) -> DataFrame:
+    """Per group: size ``_n``, bounding box ``_lo<i>, _hi<i>`` and cell width ``_h`` over the first ``dims`` features.
 
-    The width is chosen so that a 3x3 block of cells holds about ``candidates``
-    points if they were spread evenly over the group's bounding box (or along
-    a line, when the box is flat).
+    The width is chosen so that a block of 3^d cells would hold about
+    ``candidates`` points if they were spread evenly over the box, counting
+    only the dimensions in which the group actually varies (d of them).
     """
     s = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min("_n0").alias("_lo0"), F.max("_n0").alias("_hi0"),
-        F.min("_n1").alias("_lo1"), F.max("_n1").alias("_hi1"),
+        *[F.min(f"_n{i}").alias(f"_lo{i}") for i in range(dims)],
+        *[F.max(f"_n{i}").alias(f"_hi{i}") for i in range(dims)],
     )
-    r0, r1 = F.col("_hi0") - F.col("_lo0"), F.col("_hi1") - F.col("_lo1")
-    tiny = F.lit(1e-12)
-    area_h = F.sqrt(F.lit(float(candidates)) * F.greatest(r0, tiny) * F.greatest(r1, tiny) / (9 * F.col("_n")))
-    line_h = F.greatest(r0, r1) * F.lit(float(candidates)) / (3 * F.col("_n"))
-    return s.select(key, "_n", "_lo0", "_lo1", "_hi0", "_hi1", F.greatest(area_h, line_h, F.lit(1e-9)).alias("_h"))
-
-
-def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_per_task, max_broadcast_rows):
-    """Top-k among the 3x3 block of cells around each target, and whether it is provably exact.
-
-    A point outside the block is at least ``margin`` away from the target
-    (distance to the block's edge in the first two features), so when the k-th
-    candidate distance is strictly below the margin no outside point can enter
-    or tie the top k. ``_ok`` also holds when the block spans every cell of the
-    group (cell indices compared as integers, so no rounding is involved).
+    spread = [F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(dims)]
+    active = [r > F.lit(1e-9) for r in spread]
+    d_eff = sum((a.cast("int") for a in active), F.lit(0))
+    log_volume = sum((F.when(a, F.log(r)).otherwise(F.lit(0.0)) for a, r in zip(active, spread)), F.lit(0.0))
+    log_h = (F.log(F.lit(float(candidates))) + log_volume - d_eff * math.log(3.0) - F.log(F.col("_n"))) / d_eff
+    h = F.when(d_eff > 0, F.greatest(F.exp(log_h), F.lit(1e-9))).otherwise(F.lit(1.0))
+    return s.select(key, "_n", *[f"_lo{i}" for i in range(dims)], *[f"_hi{i}" for i in range(dims)], h.alias("_h"))
+
+
+def _grid_round(targets, neighbours, widths, key, n_features, dims, k, scale, pairs_per_task, max_broadcast_rows):
+    """Top-k among the 3^d block of cells around each target, and whether it is provably exact.
+
+    A point outside the block differs from the target by at least ``margin`` in
+    one gridded feature (the distance to the block's nearest face), so when the
+    k-th candidate distance is strictly below the margin no outside point can
+    enter or tie the top k. ``_ok`` also holds when the block spans every cell
+    of the group (cell indices compared as integers, so no rounding is
+    involved) -- which is bound to happen as the cells widen.
     """
-    w = widths.select(key, "_n", "_lo0", "_lo1", "_hi0", "_hi1", (F.col("_h") * scale).alias("_h"))
-    h, lo0, lo1 = F.col("_h"), F.col("_lo0"), F.col("_lo1")
-    t = targets.join(w, on=key).withColumns(
-        {"_cx": _cell(F.col("_t0"), lo0, h), "_cy": _cell(F.col("_t1"), lo1, h)}
-    )
-    # the block spans every cell of the group, so every point is a candidate
-    covers_all = (
-        (F.col("_cx") <= 1) & (F.col("_cx") + 1 >= _cell(F.col("_hi0"), lo0, h))
-        & (F.col("_cy") <= 1) & (F.col("_cy") + 1 >= _cell(F.col("_hi1"), lo1, h))
-    )
-    margin = F.least(
-        F.col("_t0") - (lo0 + (F.col("_cx") - 1) * h),
-        (lo0 + (F.col("_cx") + 2) * h) - F.col("_t0"),
-        F.col("_t1") - (lo1 + (F.col("_cy") - 1) * h),
-        (lo1 + (F.col("_cy") + 2) * h) - F.col("_t1"),
-    ) - F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_t0")) + F.abs(F.col("_t1")) + h)
+    lo = [F.col(f"_lo{i}") for i in range(dims)]
+    h = F.col("_h")
+    w = widths.select(key, "_n", *[f"_lo{i}" for i in range(dims)], *[f"_hi{i}" for i in range(dims)],
+                      (F.col("_h") * scale).alias("_h"))
+    t = targets.join(w, on=key).withColumns({f"_c{i}": _cell(F.col(f"_t{i}"), lo[i], h) for i in range(dims)})
+    cell = [F.col(f"_c{i}") for i in range(dims)]
+    covers_all = F.lit(True)
+    faces = []
+    for i in range(dims):
+        covers_all = covers_all & (cell[i] <= 1) & (cell[i] + 1 >= _cell(F.col(f"_hi{i}"), lo[i], h))
+        faces += [F.col(f"_t{i}") - (lo[i] + (cell[i] - 1) * h), (lo[i] + (cell[i] + 2) * h) - F.col(f"_t{i}")]
+    scale_sum = sum((F.abs(F.col(f"_t{i}")) for i in range(dims)), F.lit(1.0)) + h
+    margin = F.least(*faces) - F.lit(1e-9) * scale_sum
     t = t.select(
-        key, "_tid", *[f"_t{i}" for i in range(n_features)], "_cx", "_cy", margin.alias("_m"), "_n",
-        covers_all.alias("_all"),
+        key, "_tid", *[f"_t{i}" for i in range(n_features)], *[f"_c{i}" for i in range(dims)],
+        margin.alias("_m"), "_n", covers_all.alias("_all"),
+    )
+    offsets = F.array(
+        *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(combo)])
+          for combo in itertools.product((-1, 0, 1), repeat=dims)]
     )
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _OFFSETS])
     n = (
-        neighbours.join(w.drop("_n", "_hi0", "_hi1"), on=key)
-        .withColumns({"_bx": _cell(F.col("_n0"), lo0, h), "_by": _cell(F.col("_n1"), lo1, h)})
+        neighbours.join(w.drop("_n", *[f"_hi{i}" for i in range(dims)]), on=key)
+        .withColumns({f"_b{i}": _cell(F.col(f"_n{i}"), lo[i], h) for i in range(dims)})
         .withColumn("_off", F.explode(offsets))
         .select(
             key, "_nid", *[f"_n{i}" for i in range(n_features)],
-            (F.col("_bx") + F.col("_off.dx")).alias("_cx"), (F.col("_by") + F.col("_off.dy")).alias("_cy"),
+            *[(F.col(f"_b{i}") + F.col(f"_off.o{i}")).alias(f"_c{i}") for i in range(dims)],
         )
     )
-    pairs = _pairs(t, n, [key, "_cx", "_cy"], pairs_per_task, max_broadcast_rows)
+    pairs = _pairs(t, n, [key, *[f"_c{i}" for i in range(dims)]], pairs_per_task, max_broadcast_rows)
     pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"), "_m", "_n", "_all")
     ranked = top_k(pairs, key, k)
     per_target = Window.partitionBy(key, "_tid")
@@ -210,23 +225,22 @@ def _grid_round(targets, neighbours, widths, key, n_features, k, scale, pairs_pe
     return ranked.select(key, "_tid", "_nid", "_d2", RANK, ok.alias("_ok"))
 
 
-def _knn_grid(
-    targets, neighbours, key, n_features, k, candidates, rounds, largest, pairs_per_task, max_broadcast_rows
-):
-    """Grid rounds, each with 4x wider cells (16x the block's points) for the targets not yet certified.
+def _knn_grid(targets, neighbours, key, n_features, dims, k, candidates, max_rounds, pairs_per_task,
+              max_broadcast_rows):
+    """Grid rounds with 2x wider cells each time (2^d times the block's points), for uncertified targets.
 
-    Widening stops after ``rounds`` rounds, or once a block would hold about as
-    many points as the largest group -- then comparing the remaining targets
-    with their whole group is cheaper than replicating every point again.
+    Every round certifies at least the targets whose block spans their whole
+    group, and widening gets there, so the loop ends with every target
+    certified; ``max_rounds`` is only a guard (its leftovers, if any, are
+    compared with their whole group).
     """
-    widths = cut_lineage(grid_widths(neighbours, key, candidates), label="knn-grid-widths")
+    widths = cut_lineage(grid_widths(neighbours, key, dims, candidates), label="knn-grid-widths")
     results = []
-    remaining = targets
-    for r in range(rounds):
-        if r > 0 and candidates * 16**r >= largest:
-            break
+    remaining, pool = targets, neighbours
+    for r in range(max_rounds):
         ranked = cut_lineage(
-            _grid_round(remaining, neighbours, widths, key, n_features, k, 4.0**r, pairs_per_task, max_broadcast_rows),
+            _grid_round(remaining, pool, widths, key, n_features, dims, k, 2.0**r, pairs_per_task,
+                        max_broadcast_rows),
             label=f"knn-grid-{r}",
         )
         results.append(ranked.filter(F.col("_ok")).drop("_ok"))
@@ -234,8 +248,9 @@ def _knn_grid(
         if failed.limit(1).count() == 0:
             return results
         remaining = targets.join(failed, on=[key, "_tid"], how="left_semi")
-    # targets no round could certify: compare with every point of their group
-    results.append(_brute_force(remaining, neighbours, key, n_features, k, pairs_per_task, max_broadcast_rows))
+        # only groups that still have uncertified targets are replicated again
+        pool = neighbours.join(failed.select(key).distinct(), on=key, how="left_semi")
+    results.append(_brute_force(remaining, pool, key, n_features, k, pairs_per_task, max_broadcast_rows))
     return results
 
 
@@ -250,22 +265,23 @@ def knn_exact(
     brute_force_max: int = DEFAULT_BRUTE_FORCE_MAX,
     grid_candidates: int = DEFAULT_GRID_CANDIDATES,
     grid_rounds: int = DEFAULT_GRID_ROUNDS,
+    grid_dims: int = DEFAULT_GRID_DIMS,
 ) -> DataFrame:
     """Exact k nearest neighbours of every point within its ``key`` group.
 
     ``points`` must have one row per (``key``, ``id_col``) and non-NULL
     features. Groups of at most ``brute_force_max`` points compare every pair;
-    larger groups use the grid search on the first two features (rounds with
-    a 4x wider cell each time, while a block stays smaller than the largest
-    group) and compare the few targets it cannot certify with their whole group. Output: ``key, target_property_harp_ID,
-    harp_property_id_no, knn_distance_metric, neighbour_rank``.
+    larger groups use the grid search over the first ``grid_dims`` features,
+    widening the cells of uncertified targets round by round. Output:
+    ``key, target_property_harp_ID, harp_property_id_no, knn_distance_metric,
+    neighbour_rank``.
     """
     points = points.filter(F.col(key).isNotNull())
     targets, neighbours = _sides(points, key, id_col, features)
     nf = len(features)
     sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if nf < 2 or largest <= brute_force_max:
+    if largest <= brute_force_max:
         return _finish(_brute_force(targets, neighbours, key, nf, k, pairs_per_task, max_broadcast_rows), key)
     small = sizes.filter(F.col("_n") <= brute_force_max).select(key)
     large = sizes.filter(F.col("_n") > brute_force_max).select(key)
@@ -277,7 +293,7 @@ def knn_exact(
     ]
     parts += _knn_grid(
         targets.join(large, key, "left_semi"), neighbours.join(large, key, "left_semi"),
-        key, nf, k, grid_candidates, grid_rounds, largest, pairs_per_task, max_broadcast_rows,
+        key, nf, min(nf, grid_dims), k, grid_candidates, grid_rounds, pairs_per_task, max_broadcast_rows,
     )
     out = parts[0]
     for p in parts[1:]:
