@@ -32,8 +32,9 @@ the whole group. Uncertified targets go to another round with 2x wider cells;
 the rounds end once every target is certified, which widening guarantees.
 
 ``knn_lsh`` is the approximate variant: random-projection LSH buckets (Spark
-ML's ``BucketedRandomProjectionLSH``) keyed by group; pairs sharing a bucket in
-any hash table are the candidates. It trades recall for fewer pairs.
+ML's ``BucketedRandomProjectionLSH``, several projections per bucket, bucket
+width set per group) keyed by group; pairs sharing a bucket in any hash table
+are the candidates. It trades recall for fewer pairs.
 """
 
 from __future__ import annotations
@@ -64,6 +65,9 @@ DEFAULT_BRUTE_FORCE_MAX = 1_000
 DEFAULT_GRID_CANDIDATES = 200
 DEFAULT_GRID_DIMS = 4
 DEFAULT_GRID_ROUNDS = 16
+# LSH: points a bucket should hold on average, and hash tables.
+DEFAULT_LSH_CANDIDATES = 50
+DEFAULT_LSH_TABLES = 4
 
 
 def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
@@ -307,42 +311,67 @@ def knn_lsh(
     k: int = DEFAULT_K,
     key: str = "city_code",
     id_col: str = NEIGHBOUR_ID,
-    bucket_length: float = 2.0,
-    num_hash_tables: int = 3,
+    bucket_candidates: int = DEFAULT_LSH_CANDIDATES,
+    num_hash_tables: int = DEFAULT_LSH_TABLES,
+    max_projections: int = 24,
     seed: int = 17,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
 ) -> DataFrame:
     """Approximate k nearest neighbours within ``key`` via random-projection LSH.
 
-    Candidates are the points of the same group sharing a bucket with the target
-    in at least one hash table (the target always shares its own). Same output
-    columns as ``knn_exact``; a target may get fewer than ``k`` neighbours.
+    Spark ML's ``BucketedRandomProjectionLSH`` hashes each point with
+    ``num_hash_tables * max_projections`` random projections; a table's bucket
+    is the first ``m`` of its projections together (an AND of hashes, the
+    tables an OR), with the bucket width and ``m`` set per group so that a
+    bucket holds about ``bucket_candidates`` points whatever the group's size
+    -- a large group is cut into many small buckets instead of being paired
+    whole. Candidates are the points sharing a bucket with the target in
+    at least one table (the target always shares its own). Same output columns
+    as ``knn_exact``; a target may get fewer than ``k`` neighbours.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    nf = len(features)
     points = points.filter(F.col(key).isNotNull())
-    vec = points.select(
+    base = points.select(key, F.col(id_col).alias("_id"), *[F.col(f).cast("double").alias(f"_n{i}") for i, f in enumerate(features)])
+    # Per group: a projection onto a random unit direction has variance about
+    # (sum of feature variances) / d; buckets two of its deviations wide, and
+    # m = log2(n / bucket_candidates) projections per bucket, leave about
+    # ``bucket_candidates`` points in a bucket whatever the group's size.
+    spread = base.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_size"),
+        sum((F.coalesce(F.var_samp(f"_n{i}"), F.lit(0.0)) for i in range(nf)), F.lit(0.0)).alias("_var"),
+    )
+    width = F.lit(2.0) * F.sqrt(F.col("_var") / nf)
+    per_bucket = F.ceil(F.log2(F.col("_size") / F.lit(float(bucket_candidates))))
+    spread = spread.select(
         key,
-        F.col(id_col).alias("_id"),
-        *[F.col(f).alias(f"_f{i}") for i, f in enumerate(features)],
-        array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("_vec"),
+        F.when(width > 0, width).otherwise(F.lit(1.0)).alias("_w"),
+        F.least(F.lit(max_projections), F.greatest(F.lit(1), per_bucket)).cast("int").alias("_m"),
     )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=bucket_length, numHashTables=num_hash_tables, seed=seed
+    vec = base.join(spread, on=key).withColumn(
+        "_vec", array_to_vector(F.array(*[F.col(f"_n{i}") / F.col("_w") for i in range(nf)]))
+    )
+    model = BucketedRandomProjectionLSH(
+        inputCol="_vec", outputCol="_hashes", bucketLength=1.0, numHashTables=num_hash_tables * max_projections,
+        seed=seed,
     ).fit(vec)
-    hashed = lsh.transform(vec).select(
-        key, "_id", *[f"_f{i}" for i in range(len(features))], F.posexplode("_hashes").alias("_table", "_h")
-    ).withColumn("_bucket", vector_to_array("_h")[0]).drop("_h")
+    values = F.transform("_hashes", lambda h: vector_to_array(h)[0])
+    buckets = F.array(
+        *[F.struct(F.lit(j).alias("_table"), F.slice(values, j * max_projections + 1, F.col("_m")).alias("_bucket"))
+          for j in range(num_hash_tables)]
+    )
+    hashed = model.transform(vec).select(key, "_id", *[f"_n{i}" for i in range(nf)], F.explode(buckets).alias("_b"))
+    hashed = hashed.select(key, "_id", *[f"_n{i}" for i in range(nf)], "_b._table", "_b._bucket")
     t = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_tid"),
-                      *[F.col(f"_f{i}").alias(f"_t{i}") for i in range(len(features))])
-    n = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_nid"),
-                      *[F.col(f"_f{i}").alias(f"_n{i}") for i in range(len(features))])
+                      *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)])
+    n = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_nid"), *[f"_n{i}" for i in range(nf)])
     # a crowded bucket is spread like any other pair-heavy group
     pairs = (
         _pairs(t, n, [key, "_table", "_bucket"], pairs_per_task, max_broadcast_rows)
-        .select(key, "_tid", "_nid", _squared_distance(len(features)).alias("_d2"))
+        .select(key, "_tid", "_nid", _squared_distance(nf).alias("_d2"))
         .dropDuplicates([key, "_tid", "_nid"])
     )
     return _finish(top_k(pairs, key, k), key)

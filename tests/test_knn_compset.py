@@ -73,7 +73,7 @@ def test_knn_lsh_recall_on_embeddings(spark):
     )
     feats = [f"f{i}" for i in range(dims)]
     exact = _as_dict(knn.knn_exact(pts, feats, k=10))
-    approx = _as_dict(knn.knn_lsh(pts, feats, k=10, bucket_length=0.5, num_hash_tables=6))
+    approx = _as_dict(knn.knn_lsh(pts, feats, k=10, bucket_candidates=20, num_hash_tables=6))
     hit = len(set(exact) & set(approx)) / len(exact)
     assert hit > 0.5
     assert set(approx) <= {(c, t, n) for (c, t, n) in approx if (c, t, t) in approx}  # target finds itself
@@ -264,3 +264,24 @@ def test_report_with_ml_vectors(spark):
     r = report.first()
     assert isinstance(r["features"], DenseVector) and isinstance(r["scaledFeatures"], DenseVector)
     assert r["features"][0] == r["longitude"]
+
+
+def test_knn_lsh_buckets_stay_small_on_a_large_group(spark, monkeypatch):
+    df, _ = _large_groups(spark)
+    big = df.filter("city_code = 'big'")
+    feats = ["f0", "f1", "f2", "f3"]
+    seen = {}
+    real_pairs = knn._pairs
+
+    def counting_pairs(t, n, keys, per_task, max_broadcast):
+        out = real_pairs(t, n, keys, per_task, max_broadcast)
+        seen["pairs"] = out.count()
+        return out
+
+    monkeypatch.setattr(knn, "_pairs", counting_pairs)
+    approx = _as_dict(knn.knn_lsh(big, feats, k=10))
+    monkeypatch.undo()
+    n = big.count()
+    assert seen["pairs"] < 0.1 * n * n * knn.DEFAULT_LSH_TABLES  # far from all pairs
+    exact = _as_dict(knn.knn_exact(big, feats, k=10, brute_force_max=10**9))
+    assert len(set(exact) & set(approx)) / len(exact) > 0.7
