@@ -6,20 +6,22 @@ coordinate values among the city's rows with valid coordinates, taken for
 ``x`` and ``y`` independently, and a row is kept when both of its coordinates
 lie inside them (inclusive).
 
-All cities are handled in one pass: the bounds are a grouped aggregate keyed by
-``city_code`` (partial aggregation; the exact percentile keeps one count per
-distinct value, so its buffer is bounded by the city's number of distinct
-coordinates, never by its number of bookings), then joined back to the rows.
-A city without any valid coordinate has no bounds row and so keeps no rows.
+All cities are handled together: the bounds come from an exact rank
+selection over the distinct coordinates (``select_ranks``) that ranks small
+cities directly and narrows large ones by histogram bins, so no task holds
+more than a bounded number of one city's values, and are joined back to the
+rows. A city without any valid coordinate has no bounds row and so keeps no
+rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import PERCENTILE_LOWER, PERCENTILE_UPPER
 from innsight.functions.columns import haversine_km, valid_coordinates
+from innsight.plans.lineage import cut_lineage
 
 CITY = "city_code"
 DEFAULT_LOWER, DEFAULT_UPPER = PERCENTILE_LOWER, PERCENTILE_UPPER
@@ -29,6 +31,67 @@ def _percentile_disc(col: str, p: float) -> Column:
     return F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY `{col}`)")
 
 
+def disc_rank(p: float, n: Column) -> Column:
+    """1-based position of the discrete ``p`` percentile among ``n`` sorted values: ``max(1, ceil(p * n))``."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("long")
+
+
+def select_ranks(
+    values: DataFrame, targets: DataFrame, keys: list[str], bins: int = 1024, small: int = 50_000,
+    max_levels: int = 64,
+) -> DataFrame:
+    """The value at a given rank of each group's sorted distinct values, without gathering a group.
+
+    ``values``: ``keys + [_v]``, distinct. ``targets``: ``keys + [_which, _rank]``
+    (1-based ranks). Returns ``keys + [_which, _v]``.
+
+    A group with at most ``small`` values is ranked directly (``row_number``).
+    A larger one is cut into ``bins`` equal-width bins of its current range:
+    per-bin counts (an aggregate) and their running total (a window over at
+    most ``bins`` rows) locate the bin holding the rank, and the search
+    continues inside it with the rank made local -- so no task ever holds more
+    than ``small`` values of one group, however large the group.
+    """
+    state = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).join(targets, on=keys)
+    state = state.select(*keys, "_which", "_rank", "_lo", "_hi")
+    done = []
+    for level in range(max_levels + 1):
+        state = cut_lineage(state, label="rank-select")
+        cand = values.join(state, on=keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        group = [*keys, "_which"]
+        sizes = cand.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        big = sizes.filter(F.col("_size") > small).select(*group)
+        final = cand.join(big, on=group, how="left_anti") if level < max_levels else cand
+        order = Window.partitionBy(*group).orderBy("_v")
+        done.append(
+            final.withColumn("_pos", F.row_number().over(order))
+            .filter(F.col("_pos") == F.col("_rank"))
+            .select(*group, "_v")
+        )
+        if level == max_levels or big.limit(1).count() == 0:
+            break
+        # refine the large groups: bin their current range, keep the bin holding the rank
+        rest = cand.join(big, on=group, how="left_semi")
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        binned = rest.withColumn(
+            "_bin", F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width)).cast("int")
+        )
+        per_bin = binned.groupBy(*group, "_rank", "_bin").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")
+        )
+        running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        per_bin = per_bin.withColumn("_upto", F.sum("_c").over(running))
+        hit = per_bin.filter((F.col("_upto") - F.col("_c") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+        state = hit.select(
+            *group, (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"),
+            F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
+        )
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def coordinate_bounds(
     props: DataFrame, col: str, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER
 ) -> DataFrame:
@@ -36,13 +99,26 @@ def coordinate_bounds(
 
     Only rows with valid coordinates (longitude in [-180, 180], latitude in
     [-90, 90]) and a city count. Columns: ``city_code, {col}_lo, {col}_hi``.
+    Equal to ``percentile_disc`` over the distinct values (the value at
+    position ``max(1, ceil(p * n))``), computed by ``select_ranks`` so that a
+    city's coordinates are never gathered into one task.
     """
     valid = props.filter(valid_coordinates("x", "y") & F.col(CITY).isNotNull())
-    return (
-        valid.select(CITY, col)
-        .distinct()
-        .groupBy(CITY)
-        .agg(_percentile_disc(col, lo).alias(f"{col}_lo"), _percentile_disc(col, hi).alias(f"{col}_hi"))
+    values = valid.select(CITY, F.col(col).alias("_v")).distinct()
+    n = values.groupBy(CITY).agg(F.count(F.lit(1)).alias("_n"))
+    targets = n.select(
+        CITY,
+        F.explode(
+            F.array(
+                F.struct(F.lit("lo").alias("_which"), disc_rank(lo, F.col("_n")).alias("_rank")),
+                F.struct(F.lit("hi").alias("_which"), disc_rank(hi, F.col("_n")).alias("_rank")),
+            )
+        ).alias("_t"),
+    ).select(CITY, "_t._which", "_t._rank")
+    picked = select_ranks(values, targets, [CITY])
+    return picked.groupBy(CITY).agg(
+        F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias(f"{col}_lo"),
+        F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias(f"{col}_hi"),
     )
 
 

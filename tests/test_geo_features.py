@@ -117,3 +117,24 @@ def test_bounds_equal_per_city_quantile_loop_on_fixture(spark):
         qy = valid.select("y").distinct().approxQuantile("y", [0.03, 0.97], 0.0)
         assert ours[city] == (qx[0], qx[1], qy[0], qy[1]), city
     props.unpersist()
+
+
+@pytest.mark.parametrize("bins,small", [(4, 10), (16, 50)])
+def test_select_ranks_refinement_equals_sorting(spark, bins, small):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {
+        "heavy": np.unique(np.concatenate([rng.standard_cauchy(3000), [1e9, -1e9]])),  # tails stretch the bins
+        "tight": np.unique(rng.normal(0, 1e-6, 800)),
+        "tiny": np.array([3.0]),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    values = spark.createDataFrame(rows, "city_code string, _v double")
+    wanted = []
+    for g, vs in groups.items():
+        for j, r in enumerate({1, len(vs), max(1, len(vs) // 3), max(1, (len(vs) * 97) // 100)}):
+            wanted.append((g, f"t{j}", int(r), float(np.sort(vs)[r - 1])))
+    targets = spark.createDataFrame([(g, w, r) for g, w, r, _ in wanted], "city_code string, _which string, _rank long")
+    got = {(r["city_code"], r["_which"]): r["_v"] for r in geo.select_ranks(values, targets, ["city_code"], bins, small).collect()}
+    assert got == {(g, w): v for g, w, _, v in wanted}
