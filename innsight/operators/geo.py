@@ -52,13 +52,20 @@ def select_ranks(
     continues inside it with the rank made local -- so no task ever holds more
     than ``small`` values of one group, however large the group.
     """
+    # one write: every level below reads the values again
+    values = cut_lineage(values, label="rank-values")
+    group = [*keys, "_which"]
+    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
+    if largest <= small:  # every group is ranked directly
+        order = Window.partitionBy(*group).orderBy("_v")
+        ranked = values.join(targets, on=keys).withColumn("_pos", F.row_number().over(order))
+        return ranked.filter(F.col("_pos") == F.col("_rank")).select(*group, "_v")
     state = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).join(targets, on=keys)
     state = state.select(*keys, "_which", "_rank", "_lo", "_hi")
     done = []
     for level in range(max_levels + 1):
         state = cut_lineage(state, label="rank-select")
         cand = values.join(state, on=keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        group = [*keys, "_which"]
         sizes = cand.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
         big = sizes.filter(F.col("_size") > small).select(*group)
         final = cand.join(big, on=group, how="left_anti") if level < max_levels else cand
@@ -92,6 +99,35 @@ def select_ranks(
     return out
 
 
+def _bounds(props: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:
+    valid = props.filter(valid_coordinates("x", "y") & F.col(CITY).isNotNull())
+    # one selection for all coordinates: (city, coordinate) is the group
+    values = None
+    for c in cols:
+        part = valid.select(CITY, F.lit(c).alias("_dim"), F.col(c).cast("double").alias("_v"))
+        values = part if values is None else values.unionByName(part)
+    values = values.distinct()
+    keys = [CITY, "_dim"]
+    n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    targets = n.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.lit("lo").alias("_which"), disc_rank(lo, F.col("_n")).alias("_rank")),
+                F.struct(F.lit("hi").alias("_which"), disc_rank(hi, F.col("_n")).alias("_rank")),
+            )
+        ).alias("_t"),
+    ).select(*keys, "_t._which", "_t._rank")
+    picked = select_ranks(values, targets, keys)
+    return picked.groupBy(CITY).agg(
+        *[
+            F.max(F.when((F.col("_dim") == c) & (F.col("_which") == w), F.col("_v"))).alias(f"{c}_{w}")
+            for c in cols
+            for w in ("lo", "hi")
+        ]
+    )
+
+
 def coordinate_bounds(
     props: DataFrame, col: str, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER
 ) -> DataFrame:
@@ -103,28 +139,15 @@ def coordinate_bounds(
     position ``max(1, ceil(p * n))``), computed by ``select_ranks`` so that a
     city's coordinates are never gathered into one task.
     """
-    valid = props.filter(valid_coordinates("x", "y") & F.col(CITY).isNotNull())
-    values = valid.select(CITY, F.col(col).alias("_v")).distinct()
-    n = values.groupBy(CITY).agg(F.count(F.lit(1)).alias("_n"))
-    targets = n.select(
-        CITY,
-        F.explode(
-            F.array(
-                F.struct(F.lit("lo").alias("_which"), disc_rank(lo, F.col("_n")).alias("_rank")),
-                F.struct(F.lit("hi").alias("_which"), disc_rank(hi, F.col("_n")).alias("_rank")),
-            )
-        ).alias("_t"),
-    ).select(CITY, "_t._which", "_t._rank")
-    picked = select_ranks(values, targets, [CITY])
-    return picked.groupBy(CITY).agg(
-        F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias(f"{col}_lo"),
-        F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias(f"{col}_hi"),
-    )
+    return _bounds(props, [col], lo, hi)
 
 
 def geo_bounds(props: DataFrame, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER) -> DataFrame:
-    """Per city: ``x_lo, x_hi, y_lo, y_hi`` (one row per city with a valid coordinate)."""
-    return coordinate_bounds(props, "x", lo, hi).join(coordinate_bounds(props, "y", lo, hi), on=CITY)
+    """Per city: ``x_lo, x_hi, y_lo, y_hi`` (one row per city with a valid coordinate).
+
+    The two coordinates are ranked independently, in one selection.
+    """
+    return _bounds(props, ["x", "y"], lo, hi)
 
 
 def geo_clean(

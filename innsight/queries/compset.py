@@ -86,16 +86,19 @@ def distinct_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _props(spark, sf_dir).select(CITY).distinct()
 
 
+def _hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (city, property), materialized as ``prepare_points`` does."""
+    return cut_lineage(cs.one_row_per_property(_props(spark, sf_dir)), label="properties")
+
+
 def geo_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 + F5: per city, the 3% / 97% discrete percentiles of distinct valid x and y."""
-    points = cs.one_row_per_property(_props(spark, sf_dir))
-    return geo.geo_bounds(points)
+    return geo.geo_bounds(_hotels(spark, sf_dir))
 
 
 def geo_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 (F6, F7, J5): properties inside their city's coordinate bounds."""
-    points = cs.one_row_per_property(_props(spark, sf_dir))
-    return _property_view(geo.geo_clean(points))
+    return _property_view(geo.geo_clean(_hotels(spark, sf_dir)))
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
