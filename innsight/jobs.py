@@ -22,6 +22,7 @@ from innsight.operators.compset import comp_set_report
 from innsight.operators.knn import NEIGHBOUR_ID, TARGET_ID
 from innsight.operators.properties import bookings_since
 from innsight.operators.rates import SUMMARY_KEYS, rate_frequency, rate_summary
+from innsight.plans.lineage import release_cuts
 from innsight.sinks.writers import read_partitioned, save_partitioned_table, write_partitioned, write_single_csv
 from innsight.sources.bookings import (
     read_bookings_parquet,
@@ -125,6 +126,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.since:
                 bookings = bookings_since(bookings, args.since)
             run_comp_sets(spark, bookings, args.output, args.csv, args.table, args.k, args.method, args.vectors)
+        release_cuts(spark)  # intermediate lineage cuts are no longer read
     finally:
         spark.stop()
     return 0

@@ -1,7 +1,7 @@
 """Physical-plan helpers: size-checked broadcast joins, reliable lineage cuts, plan text."""
 
 from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_bounded
-from innsight.plans.lineage import checkpoint_dir, cut_lineage
+from innsight.plans.lineage import checkpoint_dir, cut_lineage, release_cuts
 
 __all__ = [
     "DEFAULT_MAX_BROADCAST_ROWS",
@@ -9,4 +9,5 @@ __all__ = [
     "cut_lineage",
     "has_at_most",
     "join_bounded",
+    "release_cuts",
 ]

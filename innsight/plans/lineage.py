@@ -17,6 +17,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# folders written by cut_lineage in this process, for release_cuts
+_CUTS: list[str] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -50,4 +53,20 @@ def cut_lineage(df: DataFrame, enabled: bool = True, label: str = "cut") -> Data
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/innsight-{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _CUTS.append(path)
     return spark.read.parquet(path)
+
+
+def release_cuts(spark: SparkSession) -> int:
+    """Delete the folders written by ``cut_lineage`` in this process; call once every output is written.
+
+    Uses the Hadoop FileSystem of each path, so it works for HDFS, S3 and local
+    folders alike. Returns the number of folders removed.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

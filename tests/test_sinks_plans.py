@@ -160,3 +160,18 @@ def test_job_command_line_parses():
          "--first-day", "24", "--last-day", "30", "--output", "o"]
     )
     assert (args.year, args.month, args.first_day, args.last_day) == (2019, 5, 24, 30)
+
+
+def test_lineage_cut_is_written_and_released(spark):
+    from innsight.plans import lineage
+
+    df = spark.range(100).withColumn("sq", F.col("id") * F.col("id"))
+    cut = lineage.cut_lineage(df, label="test")
+    path = lineage._CUTS[-1]
+    assert path.startswith(lineage.checkpoint_dir(spark).rstrip("/"))
+    assert "FileScan parquet" in plan_text(cut, "simple")  # re-read from the files, not recomputed
+    assert cut.agg(F.sum("sq")).first()[0] == sum(i * i for i in range(100))
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    assert lineage.release_cuts(spark) >= 1
+    assert not os.path.exists(local)
