@@ -27,10 +27,6 @@ CITY = "city_code"
 DEFAULT_LOWER, DEFAULT_UPPER = PERCENTILE_LOWER, PERCENTILE_UPPER
 
 
-def _percentile_disc(col: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY `{col}`)")
-
-
 def disc_rank(p: float, n: Column) -> Column:
     """1-based position of the discrete ``p`` percentile among ``n`` sorted values: ``max(1, ceil(p * n))``."""
     return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("long")
