@@ -95,3 +95,14 @@ def test_rate_frequency_equals_explode_pivot_path_on_fixture(spark):
     ours = rates.rate_frequency(log, lookup, fx.FIXTURE_WINDOW)
     assert ours.count() == textbook.count() > 0
     assert ours.exceptAll(textbook.select(*ours.columns)).count() == 0
+
+
+def test_rate_frequency_with_lineage_cut_is_unchanged(spark):
+    from innsight.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    log, lookup = fx.fixture_search_log(spark, sf), fx.fixture_rate_lookup(spark, sf)
+    plain = rates.rate_frequency(log, lookup, fx.FIXTURE_WINDOW)
+    cut = rates.rate_frequency(log, lookup, fx.FIXTURE_WINDOW, checkpoint=True)
+    assert cut.count() == plain.count() > 0
+    assert cut.exceptAll(plain).count() == 0
