@@ -6,21 +6,26 @@ itself included, as in the source job -- or all of them when the group has
 fewer than ``k``. Equal distances are ordered by neighbour id, so the result is
 deterministic.
 
-Plan. Candidate pairs come from an equi-join on the group key and a top-k
-window ``row_number() <= k`` over (group, target) ordered by (distance², id).
-Spark runs that window as a *partial* ``WindowGroupLimit`` in the task that
-produced the pairs, so at most ``k`` rows per target cross the shuffle.
-
-* When the points fit a checked row bound, the neighbour side is broadcast and
-  the targets are hash-partitioned on (group, target) into
-  ``max(default parallelism, sum of n² / pairs_per_task)`` partitions: the
-  pairs of a large group are spread evenly over many tasks, no task sorts more
-  than about ``pairs_per_task`` pairs, and since the pairs come out already
-  clustered by (group, target) the top-k window needs no further exchange.
-* Otherwise the join is salted: each group's targets are split into
-  ``blocks = ceil(n² / pairs_per_task)`` hash blocks and the neighbour side is
-  replicated once per block, so no task holds more than about
-  ``pairs_per_task`` pairs however large a group is.
+Plan. Candidate pairs come from an equi-join (``_pairs``) and a top-k window
+``row_number() <= k`` over (group, target) ordered by (distance², id), which
+Spark runs as a ``WindowGroupLimit``. ``_pairs`` first measures the pair count
+per join key, then:
+
+* when the neighbour side fits a checked row bound, broadcasts it and
+  hash-partitions the targets on (group, target) into
+  ``max(default parallelism, pairs / pairs_per_task)`` partitions: the pairs
+  of a large group are spread evenly over many tasks, and since they come out
+  clustered by (group, target) the top-k window needs no further exchange;
+* otherwise salts the join: each key's targets are split into
+  ``ceil(n_t * n_n / pairs_per_task)`` hash blocks, the neighbours are
+  replicated once per block and both sides are partitioned on (key, block),
+  so no task holds more than about ``pairs_per_task`` pairs however large a
+  key is; a partial top-k then keeps at most ``k`` rows per target per task
+  before the shuffle.
+
+Groups of at most ``brute_force_max`` points are joined on the group key,
+i.e. every pair of the group is compared -- a constant amount of work per
+group.
 
 Groups larger than ``brute_force_max`` never pair all their points: each
 point is assigned a cell of a grid over the features (width per group, so a
