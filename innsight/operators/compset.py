@@ -26,7 +26,7 @@ from innsight.operators.features import FEATURES, feature_arrays, scale_features
 from innsight.operators.geo import DEFAULT_LOWER, DEFAULT_UPPER, geo_clean, with_distance_km
 from innsight.operators.knn import DEFAULT_K, NEIGHBOUR_ID, TARGET_ID, attach, knn_exact, knn_lsh
 from innsight.operators.properties import PROPERTY_ID, property_metrics
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS
+from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
 from innsight.plans.lineage import cut_lineage
 
 CITY = "city_code"
@@ -86,8 +86,9 @@ def comp_set(
     knn_options.setdefault("max_broadcast_rows", max_broadcast_rows)
     pairs = search(points, scaled, k=k, key=CITY, id_col=PROPERTY_ID, **knn_options)
     neighbour_cols = {c: c for c in points.columns if c not in (CITY, PROPERTY_ID)}
-    pairs = attach(pairs, points, NEIGHBOUR_ID, neighbour_cols, CITY, PROPERTY_ID, max_broadcast_rows)
-    return attach(pairs, points, TARGET_ID, TARGET_ATTRIBUTES, CITY, PROPERTY_ID, max_broadcast_rows)
+    small = has_at_most(points, max_broadcast_rows)  # one check for both attribute joins
+    pairs = attach(pairs, points, NEIGHBOUR_ID, neighbour_cols, CITY, PROPERTY_ID, max_broadcast_rows, small)
+    return attach(pairs, points, TARGET_ID, TARGET_ATTRIBUTES, CITY, PROPERTY_ID, max_broadcast_rows, small)
 
 
 def comp_set_metrics(pairs: DataFrame) -> DataFrame:

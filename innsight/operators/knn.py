@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import COMP_SET_SIZE
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_bounded
+from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
 from innsight.plans.lineage import cut_lineage
 
 TARGET_ID = "target_property_harp_ID"
@@ -111,10 +111,15 @@ def _pairs(
     t_sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
     n_sizes = neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nn"))
     sizes = t_sizes.join(n_sizes, on=keys)
-    total = sizes.agg(F.sum(F.col("_nt") * F.col("_nn"))).first()[0] or 0
+    # one job measures both the pairs and the neighbour side's rows
+    measured = t_sizes.join(n_sizes, on=keys, how="full_outer").agg(
+        F.sum(F.coalesce(F.col("_nt"), F.lit(0)) * F.coalesce(F.col("_nn"), F.lit(0))).alias("_pairs"),
+        F.sum(F.coalesce(F.col("_nn"), F.lit(0))).alias("_rows"),
+    ).first()
+    total, neighbour_rows = measured["_pairs"] or 0, measured["_rows"] or 0
     parallelism = targets.sparkSession.sparkContext.defaultParallelism
     parts = int(max(parallelism, math.ceil(total / pairs_per_task)))
-    if has_at_most(neighbours, max_broadcast_rows):
+    if neighbour_rows <= max_broadcast_rows:
         # clustered on (group, target) -- keys[0] is the group -- so the top-k
         # window after the join needs no exchange
         return targets.repartition(parts, keys[0], "_tid").join(F.broadcast(neighbours), on=keys)
@@ -390,7 +395,8 @@ def attach(
     key: str = "city_code",
     id_col: str = NEIGHBOUR_ID,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Join point attributes onto ``pairs`` by (``key``, ``on_col``); ``columns`` maps source -> output name."""
     side = points.select(key, F.col(id_col).alias(on_col), *[F.col(s).alias(o) for s, o in columns.items()])
-    return join_bounded(pairs, side, on=[key, on_col], how="inner", max_rows=max_broadcast_rows)
+    return join_bounded(pairs, side, on=[key, on_col], how="inner", max_rows=max_broadcast_rows, broadcast=broadcast)

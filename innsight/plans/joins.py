@@ -38,12 +38,16 @@ def join_bounded(
     on: str | Sequence[str] | Column,
     how: str = "inner",
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small``, broadcasting ``small`` only behind a row-count check.
 
-    When the check fails the planner picks the strategy (a shuffled join, with
+    ``broadcast`` passes an outcome of the check already known to the caller
+    (e.g. for a side joined twice). When the check fails the planner picks the strategy (a shuffled join, with
     AQE splitting skewed partitions and converting to broadcast if the measured
     side turns out small).
     """
-    side = F.broadcast(small) if has_at_most(small, max_rows) else small
+    if broadcast is None:  # not known yet: check
+        broadcast = has_at_most(small, max_rows)
+    side = F.broadcast(small) if broadcast else small
     return big.join(side, on=on, how=how)
