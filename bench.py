@@ -37,11 +37,12 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    n_cpus = (os.cpu_count() or 8) if cpus == "*" else int(cpus)
     names = sys.argv[1:] or HEADLINE
     scratch = tempfile.mkdtemp(prefix="innsight-bench-")
     spark = local_session(
         cores=cpus,
-        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * int(cpus)))),
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * n_cpus))),
         app_name="innsight-bench",
         extra_conf={
             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
