@@ -175,3 +175,13 @@ def test_lineage_cut_is_written_and_released(spark):
     assert os.path.isdir(local)
     assert lineage.release_cuts(spark) >= 1
     assert not os.path.exists(local)
+
+
+def test_comp_set_after_points_has_one_shuffle(spark):
+    from innsight.plans.lineage import cut_lineage
+
+    points = cut_lineage(cs.prepare_points(properties.property_metrics(fx.fixture_bookings(spark, SF_SMALL))))
+    plan = plan_text(cs.report_columns(cs.comp_set_metrics(cs.comp_set(points))), "simple")
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]  # the targets, on (city, target)
+    assert plan.count("BroadcastHashJoin") == 3  # neighbours, their attributes, the target's
