@@ -10,8 +10,10 @@ Two analyses, both expressed as lazy DataFrame plans:
 
 Subpackages: ``sources`` (readers and fixture adapters), ``operators`` (the
 DataFrame -> DataFrame building blocks), ``functions`` (column expressions),
-``plans`` (join-strategy and lineage helpers), ``sinks`` (writers) and
-``streaming`` (see its docstring).
+``plans`` (size-checked joins, lineage cuts, plan text), ``sinks`` (writers)
+and ``streaming`` (see its docstring). ``fixed_values`` holds the values that
+must equal the source jobs'; ``jobs`` runs both analyses end to end from
+``spark-submit``; ``registry`` lists the queries checked against DuckDB.
 """
 
 __version__ = "0.1.0"
