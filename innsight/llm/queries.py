@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from innsight.llm import exact_dedup, mixing
+from innsight.llm import exact_dedup, licenses, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op8_near_dedup": near_dedup.OP8_SQL,
+    }
