@@ -59,13 +59,10 @@ def source_weights(sizes: DataFrame) -> DataFrame:
         .withColumn("part", F.spark_partition_id()),
         "sources",
     )
-    parts = sources.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # one row per partition of the shuffle above: a fixed bound
-    earlier = (
-        parts.alias("a")
-        .join(F.broadcast(parts.alias("b")), F.col("b.part") < F.col("a.part"), "left")
-        .groupBy(F.col("a.part").alias("part"))
-        .agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("earlier"))
+    # one row per partition of the shuffle above: few rows, in one window
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sources.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
     )
     rank = F.row_number().over(Window.partitionBy("part").orderBy("source")) - 1 + F.col("earlier")
     return sources.join(F.broadcast(earlier), "part").select(
