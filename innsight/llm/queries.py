@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from innsight.llm import exact_dedup, language, licenses, mixing, near_dedup
+from innsight.llm import bpe, exact_dedup, language, licenses, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_bpe": bpe.op4_bpe,
         "op5_language_id": language.op5_language_id,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op4_bpe": bpe.op4_bpe,
         "op5_language_id": language.op5_language_id,
         "op7_mixing": mixing.OP7_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
