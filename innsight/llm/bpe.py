@@ -309,14 +309,15 @@ def with_ids(df: DataFrame, path: str, text_col: str = "text", into: str = "ids"
         values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(values))
 
-    return df.withColumn(into, encode(column(df, text_col)))
+    # so marked, Spark does not inline it into every column derived from the ids
+    return df.withColumn(into, encode.asNondeterministic()(column(df, text_col)))
 
 
 def offset_table(names: list[str]) -> pa.Array:
     """All tokens in one buffer with the offset of each."""
     texts = [n.encode() for n in names]
-    offsets = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(names), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(texts)))
+    offsets = np.cumsum([0, *map(len, texts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(names), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(texts)))
 
 
 def with_decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -327,10 +328,8 @@ def with_decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "de
     def decode(ids: pa.Array) -> pa.Array:
         table = _in_worker(shared, "offsets", lambda v: offset_table(v.names))
         ids = ids.fill_null([]) if ids.null_count else ids
-        lists = pa.LargeListArray.from_arrays(
-            pc.subtract(ids.offsets, ids.offsets[0]).cast(pa.int64()), table.take(ids.flatten())
-        )
-        return pc.binary_join(lists, " ").cast(pa.string())
+        lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), table.take(ids.flatten()))
+        return pc.binary_join(lists, " ")
 
     return df.withColumn(into, decode(column(df, ids_col)))
 
