@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from innsight.llm import bpe, exact_dedup, language, licenses, mixing, near_dedup
+from innsight.llm import bpe, exact_dedup, language, licenses, mixing, near_dedup, pii
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_language_id": language.op5_language_id,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op10_pii": pii.op10_pii,
     }
 
 
