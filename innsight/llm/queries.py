@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from innsight.llm import bpe, exact_dedup, language, licenses, mixing, near_dedup, pii
+from innsight.llm import bpe, exact_dedup, language, licenses, lz_fingerprint, mixing, near_dedup, pii
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": language.op5_language_id,
+        "op6_fingerprint": lz_fingerprint.op6_fingerprint,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_pii": pii.op10_pii,
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": language.op5_language_id,
+        "op6_fingerprint": lz_fingerprint.op6_fingerprint,
         "op7_mixing": mixing.OP7_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
     }
