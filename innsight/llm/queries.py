@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from innsight.llm import bpe, exact_dedup, language, licenses, lz_fingerprint, mixing, near_dedup, pii
+from innsight.llm import bpe, exact_dedup, language, licenses, lz_fingerprint, mixing, near_dedup, pii, quality
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op2_quality": quality.op2_quality,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": language.op5_language_id,
