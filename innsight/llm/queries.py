@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from innsight.llm import bpe, exact_dedup, language, licenses, lz_fingerprint, mixing, near_dedup, pii, quality
+from innsight.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    language,
+    licenses,
+    lz_fingerprint,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+)
 
 
 def queries() -> dict:
@@ -15,6 +26,7 @@ def queries() -> dict:
         "op6_fingerprint": lz_fingerprint.op6_fingerprint,
         "op7_mixing": mixing.op7_mixing,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_html_text": html_text.op9_html_text,
         "op10_pii": pii.op10_pii,
     }
 
