@@ -341,11 +341,14 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return with_decoded(out, path, ids, free_name(out, "decoded"))
 
 
-def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row."""
+def digests(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row, with the ids too if wanted."""
     both = encode_decode(df.select(column(df, id_col).alias(id_col), column(df, text_col).alias("text")), path)
     return both.select(
         id_col,
+        *["ids"] * keep_ids,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

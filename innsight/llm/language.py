@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm.tables import column, crc_remainder, materialize, read_table, worker_state
+from innsight.llm.tables import column, crc_remainder, free_name, materialize, read_table, worker_state
 
 MAX_GRAM = 4
 MIN_SHARE = 2e-5  # smallest share of a word or n-gram in some language
@@ -219,6 +219,17 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", into: str
     return df.withColumn(into, identify(column(df, text_col)))
 
 
+def keep_identified(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose text has a language, a missing language filled in.
+
+    Fitted on the rows of ``df`` that have one.
+    """
+    found = free_name(df, "language")
+    identified = with_language(df, fit(df, text_col, lang_col, id_col), text_col, found)
+    kept = identified.filter(F.col(found)["lang"] != UNDETERMINED)
+    return kept.withColumn(lang_col, F.coalesce(column(kept, lang_col), F.col(found)["lang"])).drop(found)
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     held_out = crc_remainder(F.col("doc_id"), 4) == 2

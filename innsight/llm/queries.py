@@ -34,9 +34,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.OP3_SQL,
-        "op4_bpe": bpe.op4_bpe,
-        "op5_language_id": language.op5_language_id,
-        "op6_fingerprint": lz_fingerprint.op6_fingerprint,
         "op7_mixing": mixing.OP7_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
     }
