@@ -13,9 +13,9 @@ made after the full sets were compared.
    samples differ, and so the similarity; it is the more precise the higher the
    similarity. Bucket mates whose estimate is below the threshold by more than
    ``MARGIN`` (over five standard deviations) are not compared further.
-4. What passes links classes to blocks. A bucket gives a spanning forest of its
-   passing pairs, never all of them; blocks are connected components, so any two
-   classes that must be compared are in one block.
+4. What passes links classes to blocks. A bucket gives one link per member, to
+   the smallest of the members joined with it, never all pairs; blocks are
+   connected components, so any two classes that must be compared are in one.
 5. Inside a block, classes not yet joined are compared on their full sets, and
    the confirmed links give the components of the result.
 
@@ -190,18 +190,17 @@ def tile_pairs(members: Column, row: Column) -> Column:
     )
 
 
-def join_forest(
-    same_side: np.ndarray | None, near, confirm, size: int
-) -> list[tuple[int, int]]:
-    """Spanning forest of a group's links: pairs (i, j) that join two parts not yet joined.
+def join_parts(ids: np.ndarray, same_side: np.ndarray | None, near, confirm) -> list[tuple[int, int]]:
+    """Links of the parts of a group: each row with the smallest id of its part, as (smallest, id).
 
     ``near(i, js)`` keeps those of the rows js that may link with row i,
-    ``confirm(i, j)`` decides. ``same_side`` (for two different tiles) names each
-    row's tile; only rows of different tiles are compared, as each tile also
-    meets itself.
+    ``confirm(i, j)`` decides; rows already in one part are not compared.
+    ``same_side`` (for two different tiles) names each row's tile; only rows of
+    different tiles are compared, as each tile also meets itself. Linking to the
+    smallest id makes the buckets of one group give the same links.
     """
+    size = len(ids)
     part = np.arange(size)
-    links = []
     for i in range(size - 1):
         js = np.arange(i + 1, size)
         js = js[part[js] != part[i]]
@@ -209,9 +208,10 @@ def join_forest(
             js = js[same_side[js] != same_side[i]]
         for j in near(i, js) if len(js) else ():
             if part[j] != part[i] and confirm(i, j):
-                links.append((i, int(j)))
                 part[part == part[j]] = part[i]
-    return links
+    smallest = np.full(size, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, part, ids)
+    return [(int(s), int(i)) for s, i in zip(smallest[part], ids, strict=True) if s != i]
 
 
 def _sketch_rows(sketches: list[bytes]) -> np.ndarray:
@@ -253,16 +253,16 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo > 2:
                     own = sketches[lo:hi]
-                    forest = join_forest(
+                    links = join_parts(
+                        ids[lo:hi],
                         _tile_of(table.slice(lo, hi - lo)),
                         lambda i, js, own=own: js[_differing_bits(own, i, js) <= most],
                         lambda i, j: True,
-                        hi - lo,
                     )
-                    if forest:
-                        pairs = np.array(forest) + lo
-                        a.append(ids[pairs[:, 0]])
-                        b.append(ids[pairs[:, 1]])
+                    if links:
+                        pairs = np.array(links)
+                        a.append(pairs[:, 0])
+                        b.append(pairs[:, 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
             )
@@ -310,7 +310,7 @@ def confirmed_links(
     ).select("component", "t.lo", "t.hi", "t.own", "node", "sketch", "shingles")
     keys = ["component", "lo", "hi"]
 
-    def confirm_group(group: pa.Table) -> tuple[np.ndarray, list]:
+    def confirm_group(group: pa.Table) -> list[tuple[int, int]]:
         own = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
         sketches = _sketch_rows(group.column("sketch").to_pylist())
         length = np.array([len(s) for s in own])
@@ -326,17 +326,19 @@ def confirmed_links(
             shared = int((both[1:] == both[:-1]).sum())
             return 100 * shared >= percent * (len(both) - shared)
 
-        return group.column("node").to_numpy(), join_forest(_tile_of(group), near, confirm, len(own))
+        return join_parts(group.column("node").to_numpy(), _tile_of(group), near, confirm)
 
     def confirm_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, keys):
             bounds = group_bounds(table, keys)
-            a, b = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                ids, forest = confirm_group(table.slice(lo, hi - lo))
-                a += [ids[i] for i, _ in forest]
-                b += [ids[j] for _, j in forest]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            links = [
+                link
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)
+                for link in confirm_group(table.slice(lo, hi - lo))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
 
     return (
         tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm_all, "a long, b long")
