@@ -13,13 +13,13 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from innsight import registry  # noqa: E402
+from innsight.plans.lineage import job_cuts  # noqa: E402
 from innsight.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -39,15 +39,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     n_cpus = (os.cpu_count() or 8) if cpus == "*" else int(cpus)
     names = sys.argv[1:] or HEADLINE
-    scratch = tempfile.mkdtemp(prefix="innsight-bench-")
     spark = local_session(
         cores=cpus,
         shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * n_cpus))),
         app_name="innsight-bench",
-        extra_conf={
-            "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
-            "spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
-        },
     )
     queries = registry.queries()
     # warm-up: JVM, Parquet footers, codegen caches
@@ -55,7 +50,8 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in names:
         t0 = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with job_cuts():
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)

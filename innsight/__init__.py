@@ -1,6 +1,6 @@
 """innsight: lodging-rate and competitive-set analytics on Spark DataFrames.
 
-Two analyses, both expressed as lazy DataFrame plans:
+Two analyses, both expressed as DataFrame plans:
 
 * rate frequency (``operators.rates``): how often each rate bucket, rate type and
   top-3 flag is returned per search session and hotel, and a daily summary;
@@ -10,8 +10,8 @@ Two analyses, both expressed as lazy DataFrame plans:
 
 Subpackages: ``sources`` (readers and fixture adapters), ``operators`` (the
 DataFrame -> DataFrame building blocks), ``functions`` (column expressions),
-``plans`` (size-checked joins, lineage cuts, plan text), ``sinks`` (writers)
-and ``streaming`` (see its docstring). ``fixed_values`` holds the values that
+``plans`` (size-checked joins, lineage cuts, plan text) and ``sinks`` (writers).
+``fixed_values`` holds the values that
 must equal the source jobs'; ``jobs`` runs both analyses end to end from
 ``spark-submit``; ``registry`` lists the queries checked against DuckDB.
 """

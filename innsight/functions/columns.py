@@ -27,6 +27,15 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def label_qualifies(label: Column, only_one: Column) -> Column:
+    """Whether a label counts; ``only_one`` tells whether it is its rate's only label."""
+    return (
+        (label["id"].isNull() & only_one)
+        | ((label["id"] == RATE_SORTED_RANK_LABEL) & (label["type"] == RATE_SORTED_RANK_LABEL))
+        | ((label["id"] == RATE_TYPE_LABEL) & (label["type"] == RATE_TYPE_LABEL))
+    )
+
+
 def qualifying_labels(labels: str | Column) -> Column:
     """The labels of a rate that count for the rank / type analysis.
 
@@ -36,16 +45,7 @@ def qualifying_labels(labels: str | Column) -> Column:
     a null id. An empty array gives an empty result and a null array NULL.
     """
     arr = _col(labels)
-    only_one = F.size(arr) == 1
-
-    def keep(e: Column) -> Column:
-        return (
-            (e["id"].isNull() & only_one)
-            | ((e["id"] == RATE_SORTED_RANK_LABEL) & (e["type"] == RATE_SORTED_RANK_LABEL))
-            | ((e["id"] == RATE_TYPE_LABEL) & (e["type"] == RATE_TYPE_LABEL))
-        )
-
-    return F.filter(arr, keep)
+    return F.filter(arr, lambda e: label_qualifies(e, F.size(arr) == 1))
 
 
 def label_value(qualified: str | Column, label_id: str) -> Column:

@@ -1,11 +1,11 @@
 """Competitive sets: each hotel's k nearest hotels in its city, with metrics.
 
-End to end (``comp_set_report``), one lazy plan and no per-city loop:
+End to end (``comp_set_report``), without a per-city loop:
 
-    bookings -> property_metrics          (one row per property name, C8)
-             -> one_row_per_property      (one row per city and property)
+    bookings -> property_metrics          (one row per property name and location, C8)
              -> geo_clean                 (per-city coordinate tails trimmed)
              -> scale_features            (per-city std scaling)
+             -> one_row_per_property      (one row per city and property)
              -> knn_exact                 (k nearest in the city, target included)
              -> comp_set_metrics          (yield / booking comparisons and ranks)
              -> distance_km, final columns
@@ -26,7 +26,6 @@ from innsight.operators.features import FEATURES, feature_arrays, scale_features
 from innsight.operators.geo import DEFAULT_LOWER, DEFAULT_UPPER, geo_clean, with_distance_km
 from innsight.operators.knn import DEFAULT_K, NEIGHBOUR_ID, TARGET_ID, attach, knn_exact, knn_lsh
 from innsight.operators.properties import PROPERTY_ID, property_metrics
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
 from innsight.plans.lineage import cut_lineage
 
 CITY = "city_code"
@@ -56,25 +55,22 @@ def one_row_per_property(props: DataFrame) -> DataFrame:
 def prepare_points(
     props: DataFrame, lo: float = DEFAULT_LOWER, hi: float = DEFAULT_UPPER, materialize: bool = False
 ) -> DataFrame:
-    """Deduplicated, coordinate-cleaned, feature-scaled properties (``scaled_<feature>`` columns).
+    """Coordinate-cleaned, feature-scaled properties, then one row per property (``scaled_<feature>`` columns).
+
+    Bounds and deviations are taken over all property rows, as in the source
+    job; only the search needs one row per property, so of a hotel with several
+    locations the best one among the *clean* rows stays.
 
-    ``materialize`` cuts the lineage after de-duplication: the cleaning and the
-    scaling read the hotels several times (bounds of x, of y, the rows
-    themselves, the deviations), and each read would otherwise re-run whatever
-    produced ``props`` -- for ``property_metrics`` a pass over all bookings.
+    ``materialize`` cuts the lineage first: the cleaning and the scaling read
+    the properties several times (bounds, the rows themselves, the deviations),
+    and each read would otherwise re-run whatever produced ``props`` -- for
+    ``property_metrics`` a pass over all bookings.
     """
-    points = one_row_per_property(props.filter(F.col(CITY).isNotNull()))
-    points = cut_lineage(points, enabled=materialize, label="properties")
-    return scale_features(geo_clean(points, lo, hi), FEATURES)
+    props = cut_lineage(props.filter(F.col(CITY).isNotNull()), enabled=materialize, label="properties")
+    return one_row_per_property(scale_features(geo_clean(props, lo, hi), FEATURES))
 
 
-def comp_set(
-    points: DataFrame,
-    k: int = DEFAULT_K,
-    method: str = "exact",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    **knn_options,
-) -> DataFrame:
+def comp_set(points: DataFrame, k: int = DEFAULT_K, method: str = "exact", **knn_options) -> DataFrame:
     """Target x neighbour pairs with the neighbour's attributes and the target's.
 
     ``method`` is ``"exact"`` or ``"lsh"`` (approximate). Output columns:
@@ -83,12 +79,10 @@ def comp_set(
     """
     scaled = [scaled_name(f) for f in FEATURES]
     search = knn_exact if method == "exact" else knn_lsh
-    knn_options.setdefault("max_broadcast_rows", max_broadcast_rows)
     pairs = search(points, scaled, k=k, key=CITY, id_col=PROPERTY_ID, **knn_options)
     neighbour_cols = {c: c for c in points.columns if c not in (CITY, PROPERTY_ID)}
-    small = has_at_most(points, max_broadcast_rows)  # one check for both attribute joins
-    pairs = attach(pairs, points, NEIGHBOUR_ID, neighbour_cols, CITY, PROPERTY_ID, max_broadcast_rows, small)
-    return attach(pairs, points, TARGET_ID, TARGET_ATTRIBUTES, CITY, PROPERTY_ID, max_broadcast_rows, small)
+    pairs = attach(pairs, points, NEIGHBOUR_ID, neighbour_cols, CITY, PROPERTY_ID)
+    return attach(pairs, points, TARGET_ID, TARGET_ATTRIBUTES, CITY, PROPERTY_ID)
 
 
 def comp_set_metrics(pairs: DataFrame) -> DataFrame:
@@ -148,20 +142,25 @@ def comp_set_report(
     method: str = "exact",
     lo: float = DEFAULT_LOWER,
     hi: float = DEFAULT_UPPER,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     materialize: bool = True,
     vectors: bool = False,
     **knn_options,
 ) -> DataFrame:
     """Competitive-set report for every hotel of every city, from raw bookings.
 
-    ``materialize`` writes the hotels (one row per city and property) and then
-    the prepared points to the session's checkpoint folder: the cleaning reads
-    the hotels several times, and the neighbour search reads the points four
-    times and sizes them to choose its join; without the cuts each read would
-    re-run the aggregation of all bookings.
+    ``materialize`` writes the property rows and then the prepared points to the
+    session's checkpoint folder: both are read several times, and without the
+    cuts each read would re-run the aggregation of all bookings. The neighbour
+    search always writes the levels of its tree. So jobs run while the report is
+    built; what is returned is lazy from the search on.
     """
     points = prepare_points(property_metrics(bookings), lo, hi, materialize=materialize)
     points = cut_lineage(points, enabled=materialize, label="points")
-    pairs = comp_set(points, k, method, max_broadcast_rows, **knn_options)
-    return report_columns(comp_set_metrics(pairs), vectors=vectors)
+    return comp_set_report_of_points(points, k, method, vectors, **knn_options)
+
+
+def comp_set_report_of_points(
+    points: DataFrame, k: int = DEFAULT_K, method: str = "exact", vectors: bool = False, **knn_options
+) -> DataFrame:
+    """The report from prepared points (``prepare_points``), which are read several times."""
+    return report_columns(comp_set_metrics(comp_set(points, k, method, **knn_options)), vectors=vectors)

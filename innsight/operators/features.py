@@ -9,7 +9,8 @@ city -- scales to 0.0.
 Here the deviations are one grouped aggregate keyed by ``city_code`` (partial
 aggregation, one row per city) joined back to the rows, so there is no model
 fit per city and no driver loop. A row with a NULL feature cannot be assembled
-into a vector, so it is left out before the deviations are taken.
+into a vector, so it is left out before the deviations are taken;
+``left_out_rows`` counts such rows per city, and the job reports them.
 
 Scaled features are kept as plain double columns (``scaled_<feature>``), which
 keeps the distance arithmetic inside whole-stage codegen; ``features`` /
@@ -40,6 +41,12 @@ def complete_features(df: DataFrame, features: Sequence[str] = FEATURES) -> Colu
     return cond
 
 
+def left_out_rows(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Per city, how many rows there are and how many lack a feature and so are not scaled."""
+    incomplete = F.sum((~complete_features(df, features)).cast("long"))
+    return df.groupBy(CITY).agg(F.count(F.lit(1)).alias("property_rows"), incomplete.alias("left_out"))
+
+
 def feature_deviations(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Per city, the sample standard deviation of each feature (``_sd_<feature>``)."""
     return df.groupBy(CITY).agg(

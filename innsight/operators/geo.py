@@ -7,10 +7,9 @@ coordinate values among the city's rows with valid coordinates, taken for
 lie inside them (inclusive).
 
 All cities are handled together: the bounds come from an exact rank
-selection over the distinct coordinates (``select_ranks``) that ranks small
-cities directly and narrows large ones by histogram bins, so no task holds
-more than a bounded number of one city's values, and are joined back to the
-rows. A city without any valid coordinate has no bounds row and so keeps no
+selection over the distinct coordinates (``select_ranks``), which ranks a city
+piece by piece so that none is gathered into one task, and are joined back to
+the rows. A city without any valid coordinate has no bounds row and so keeps no
 rows.
 """
 
@@ -32,67 +31,28 @@ def disc_rank(p: float, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("long")
 
 
-def select_ranks(
-    values: DataFrame, targets: DataFrame, keys: list[str], bins: int = 1024, small: int = 50_000,
-    max_levels: int = 64,
-) -> DataFrame:
+def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """The value at a given rank of each group's sorted distinct values, without gathering a group.
 
     ``values``: ``keys + [_v]``, distinct. ``targets``: ``keys + [_which, _rank]``
     (1-based ranks). Returns ``keys + [_which, _v]``.
 
-    A group with at most ``small`` values is ranked directly (``row_number``).
-    A larger one is cut into ``bins`` equal-width bins of its current range:
-    per-bin counts (an aggregate) and their running total (a window over at
-    most ``bins`` rows) locate the bin holding the rank, and the search
-    continues inside it with the rank made local -- so no task ever holds more
-    than ``small`` values of one group, however large the group.
+    The values are range-partitioned by group and value and written, so each
+    partition holds a consecutive piece of the order. A value's rank is its
+    place in its piece plus the sizes of the group's earlier pieces. The same
+    plan serves every size: a group of any size is ranked piece by piece, and
+    what meets per group is one number per piece.
     """
-    # one write: every level below reads the values again
-    values = cut_lineage(values, label="rank-values")
-    group = [*keys, "_which"]
-    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
-    if largest <= small:  # every group is ranked directly
-        order = Window.partitionBy(*group).orderBy("_v")
-        ranked = values.join(targets, on=keys).withColumn("_pos", F.row_number().over(order))
-        return ranked.filter(F.col("_pos") == F.col("_rank")).select(*group, "_v")
-    state = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).join(targets, on=keys)
-    state = state.select(*keys, "_which", "_rank", "_lo", "_hi")
-    done = []
-    for level in range(max_levels + 1):
-        state = cut_lineage(state, label="rank-select")
-        cand = values.join(state, on=keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        sizes = cand.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-        big = sizes.filter(F.col("_size") > small).select(*group)
-        final = cand.join(big, on=group, how="left_anti") if level < max_levels else cand
-        order = Window.partitionBy(*group).orderBy("_v")
-        done.append(
-            final.withColumn("_pos", F.row_number().over(order))
-            .filter(F.col("_pos") == F.col("_rank"))
-            .select(*group, "_v")
-        )
-        if level == max_levels or big.limit(1).count() == 0:
-            break
-        # refine the large groups: bin their current range, keep the bin holding the rank
-        rest = cand.join(big, on=group, how="left_semi")
-        width = (F.col("_hi") - F.col("_lo")) / bins
-        binned = rest.withColumn(
-            "_bin", F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width)).cast("int")
-        )
-        per_bin = binned.groupBy(*group, "_rank", "_bin").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")
-        )
-        running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per_bin = per_bin.withColumn("_upto", F.sum("_c").over(running))
-        hit = per_bin.filter((F.col("_upto") - F.col("_c") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
-        state = hit.select(
-            *group, (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"),
-            F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-        )
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    pieces = cut_lineage(
+        values.repartitionByRange(*keys, "_v").withColumn("_piece", F.spark_partition_id()), label="rank-values"
+    )
+    sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_v"))
+    ranked = pieces.withColumn("_place", place).join(offsets, [*keys, "_piece"])
+    ranked = ranked.select(*keys, "_v", (F.col("_place") + F.col("_before")).alias("_rank"))
+    return ranked.join(targets, [*keys, "_rank"]).select(*keys, "_which", "_v")
 
 
 def _bounds(props: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:

@@ -6,53 +6,42 @@ itself included, as in the source job -- or all of them when the group has
 fewer than ``k``. Equal distances are ordered by neighbour id, so the result is
 deterministic.
 
-Plan. Candidate pairs come from an equi-join (``_pairs``) and a top-k window
-``row_number() <= k`` over (group, target) ordered by (distance², id), which
-Spark runs as a ``WindowGroupLimit``. ``_pairs`` first measures the pair count
-per join key, then:
-
-* when the neighbour side fits a checked row bound, broadcasts it and
-  hash-partitions the targets on (group, target) into
-  ``max(default parallelism, pairs / pairs_per_task)`` partitions: the pairs
-  of a large group are spread evenly over many tasks, and since they come out
-  clustered by (group, target) the top-k window needs no further exchange;
-* otherwise salts the join: each key's targets are split into
-  ``ceil(n_t * n_n / pairs_per_task)`` hash blocks, the neighbours are
-  replicated once per block and both sides are partitioned on (key, block),
-  so no task holds more than about ``pairs_per_task`` pairs however large a
-  key is; a partial top-k then keeps at most ``k`` rows per target per task
-  before the shuffle.
-
-Groups of at most ``brute_force_max`` points are joined on the group key,
-i.e. every pair of the group is compared -- a constant amount of work per
-group.
-
-Groups larger than ``brute_force_max`` never pair all their points: each
-point is assigned a cell of a grid over the features (width per group, so a
-block of 3^d cells holds about ``grid_candidates`` points) and copied into the
-3^d cells around it; a target meets only the points of its block. Its top k is
-*certified* when the k-th distance is strictly below the distance to the
-block's nearest face (no outside point can enter or tie) or the block spans
-the whole group. Uncertified targets go to another round with 2x wider cells;
-the rounds end once every target is certified, which widening guarantees.
-
-``knn_lsh`` is the approximate variant: random-projection LSH buckets (Spark
-ML's ``BucketedRandomProjectionLSH``, several projections per bucket, bucket
-width set per group) keyed by group; pairs sharing a bucket in any hash table
-are the candidates. It trades recall for fewer pairs.
+One plan for all sizes, a tree of boxes per group:
+
+1. Points with equal features have equal neighbours, and of any number of them
+   only the ``k`` smallest ids can be among a target's ``k`` nearest. So each
+   distinct vector is searched once, against a pool of at most ``k`` points per
+   vector; a place with a million equal points costs ``k`` rows.
+2. The pool is split level by level: a cell of more than ``leaf_size`` points
+   is cut into up to eight at quantiles of its widest feature, until none is
+   left. Cells follow the data, so a dense core gets small cells and no cell
+   grows with the group. The loop ends because every cut separates the smallest
+   value from the largest, and equal vectors are never more than ``k`` points.
+3. A target's own leaf, and the smallest cell around it that holds ``k``
+   points, bound the distance of its k-th neighbour. Walking down the tree, a
+   cell is entered only if its box reaches inside that bound.
+4. Only the leaves so reached are joined with the target, the nearest few first,
+   as they shorten the reach; the top-k window (a ``WindowGroupLimit``) keeps
+   ``k`` per target before the shuffle.
+
+All steps are joins and aggregates keyed by (group, cell); what is copied are
+targets, never the neighbours.
+
+``knn_lsh`` is the approximate search: random projections (Spark ML's
+``BucketedRandomProjectionLSH``), as many per bucket as the group's size asks
+for. Targets whose buckets hold too few candidates are searched exactly, so
+every target has min(k, n) neighbours.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import COMP_SET_SIZE
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
 from innsight.plans.lineage import cut_lineage
 
 TARGET_ID = "target_property_harp_ID"
@@ -60,25 +49,13 @@ NEIGHBOUR_ID = "harp_property_id_no"
 DISTANCE = "knn_distance_metric"
 RANK = "neighbour_rank"
 DEFAULT_K = COMP_SET_SIZE
-# Candidate pairs one task may have to sort.
-DEFAULT_PAIRS_PER_TASK = 4_000_000
-# Groups up to this size compare every pair (at most 1M pairs per group, a
-# constant); larger ones use the grid search, which never pairs a whole group.
-DEFAULT_BRUTE_FORCE_MAX = 1_000
-# Grid: points a block of 3^d cells should hold on average, features gridded
-# (d, so 3^d copies of each point), and a guard on the number of rounds.
-DEFAULT_GRID_CANDIDATES = 200
-DEFAULT_GRID_DIMS = 4
-DEFAULT_GRID_ROUNDS = 16
+FAN_OUT = 8  # children of a cell, at octiles
+LEAVES_PER_K = 3  # a leaf holds at most this many times k points
+FIRST_LEAVES = 5  # nearest other leaves looked into before the rest
 # LSH: points a bucket should hold on average, and hash tables.
 DEFAULT_LSH_CANDIDATES = 50
 DEFAULT_LSH_TABLES = 4
-
-
-def _sides(points: DataFrame, key: str, id_col: str, features: Sequence[str]):
-    t = points.select(key, F.col(id_col).alias("_tid"), *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)])
-    n = points.select(key, F.col(id_col).alias("_nid"), *[F.col(f).alias(f"_n{i}") for i, f in enumerate(features)])
-    return t, n
+ROOT = "r"
 
 
 def _squared_distance(n_features: int) -> Column:
@@ -89,183 +66,208 @@ def _squared_distance(n_features: int) -> Column:
     return total
 
 
-def _pairs(
-    targets: DataFrame,
-    neighbours: DataFrame,
-    keys: Sequence[str],
-    pairs_per_task: int,
-    max_broadcast_rows: int,
-) -> DataFrame:
-    """Every (target, neighbour) pair that shares ``keys``, with a bounded number of pairs per task.
-
-    The pair count is measured first (one row per key group). With a neighbour
-    side under the row bound it is broadcast and the targets are hash-partitioned
-    on (group, target) into ``max(parallelism, pairs / pairs_per_task)``
-    partitions; otherwise each key group's targets are salted into
-    ``ceil(n_t * n_n / pairs_per_task)`` blocks, the neighbours are replicated
-    per block, and both sides are partitioned on (keys, block). Explicit
-    partition counts keep AQE from coalescing the (small) inputs of a
-    pair-heavy join into a few tasks.
-    """
-    keys = list(keys)
-    t_sizes = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
-    n_sizes = neighbours.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nn"))
-    sizes = t_sizes.join(n_sizes, on=keys)
-    # one job measures both the pairs and the neighbour side's rows
-    measured = t_sizes.join(n_sizes, on=keys, how="full_outer").agg(
-        F.sum(F.coalesce(F.col("_nt"), F.lit(0)) * F.coalesce(F.col("_nn"), F.lit(0))).alias("_pairs"),
-        F.sum(F.coalesce(F.col("_nn"), F.lit(0))).alias("_rows"),
-    ).first()
-    total, neighbour_rows = measured["_pairs"] or 0, measured["_rows"] or 0
-    parallelism = targets.sparkSession.sparkContext.defaultParallelism
-    parts = int(max(parallelism, math.ceil(total / pairs_per_task)))
-    if neighbour_rows <= max_broadcast_rows:
-        # clustered on (group, target) -- keys[0] is the group -- so the top-k
-        # window after the join needs no exchange
-        return targets.repartition(parts, keys[0], "_tid").join(F.broadcast(neighbours), on=keys)
-    blocks = sizes.select(
-        *keys,
-        F.least(F.col("_nt"), F.greatest(F.lit(1), F.ceil(F.col("_nt") * F.col("_nn") / F.lit(pairs_per_task))))
-        .cast("int")
-        .alias("_blocks"),
-    )
-    t = targets.join(blocks, on=keys).withColumn("_salt", F.pmod(F.xxhash64("_tid"), F.col("_blocks")).cast("int"))
-    n = neighbours.join(blocks, on=keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    t = t.drop("_blocks").repartition(parts, *keys, "_salt")
-    n = n.drop("_blocks").repartition(parts, *keys, "_salt")
-    return t.join(n, on=[*keys, "_salt"]).drop("_salt")
-
-
 def top_k(pairs: DataFrame, key: str, k: int) -> DataFrame:
     """Keep the ``k`` closest neighbours per (key, target); adds ``neighbour_rank`` (1 = closest)."""
     order = Window.partitionBy(key, "_tid").orderBy(F.col("_d2"), F.col("_nid"))
     return pairs.withColumn(RANK, F.row_number().over(order)).filter(F.col(RANK) <= k)
 
 
-def _finish(ranked: DataFrame, key: str) -> DataFrame:
-    return ranked.select(
+def neighbour_pool(points: DataFrame, key: str, id_col: str, features: Sequence[str], k: int) -> DataFrame:
+    """(key, _nid, _n<i>, _place): per distinct vector the points with the ``k`` smallest ids, _place 1 for the first.
+
+    The limit works in each task before the shuffle, so many equal points do not meet.
+    """
+    vector = [f"_n{i}" for i in range(len(features))]
+    rows = points.select(
         key,
-        F.col("_tid").alias(TARGET_ID),
-        F.col("_nid").alias(NEIGHBOUR_ID),
-        F.sqrt("_d2").alias(DISTANCE),
-        RANK,
+        F.col(id_col).alias("_nid"),
+        # -0.0 and 0.0 are one value, as in joins
+        *[(F.col(f).cast("double") + F.lit(0.0)).alias(v) for f, v in zip(features, vector)],
     )
+    place = F.row_number().over(Window.partitionBy(key, *vector).orderBy("_nid"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= k)
 
 
-def _brute_force(targets, neighbours, key, n_features, k, pairs_per_task, max_broadcast_rows) -> DataFrame:
-    pairs = _pairs(targets, neighbours, [key], pairs_per_task, max_broadcast_rows)
-    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"))
-    return top_k(pairs, key, k).select(key, "_tid", "_nid", "_d2", RANK)
+@dataclass
+class CellTree:
+    """Leaves and boxes of every group's pool."""
 
+    pool: DataFrame  # key, _cell (leaf), _nid, _n<i>, _place
+    nodes: DataFrame  # key, _cell, _parent, _n, _lo<i>, _hi<i>, _leaf
+    depth: int
 
-# --- grid-pruned exact search for large groups -------------------------------
 
+def _child(value: Column, cuts: Column, children: Column, low: Column) -> Column:
+    """Number of the child a value falls in.
 
-def _cell(value: Column, low: Column, width: Column) -> Column:
-    return F.floor((value - low) / width).cast("long")
+    Child c of f begins above octile 8 c / f; values equal to the smallest are
+    always apart from the largest.
+    """
+    above = F.lit(0)
+    for c in range(1, FAN_OUT):
+        edge = F.element_at(cuts, F.round(F.lit(float(FAN_OUT * c)) / children).cast("int"))
+        above = above + F.when((F.lit(c) < children) & (value > edge), 1).otherwise(0)
+    return above + F.when(value > low, 1).otherwise(0)
 
 
-def grid_widths(points: DataFrame, key: str, dims: int, candidates: int) -> DataFrame:
-    """Per group: size ``_n``, bounding box ``_lo<i>, _hi<i>`` and cell width ``_h`` over the first ``dims`` features.
+def cell_tree(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> CellTree:
+    """Split each group's pool into cells of at most ``leaf_size`` points.
 
-    The width is chosen so that a block of 3^d cells would hold about
-    ``candidates`` points if they were spread evenly over the box, counting
-    only the dimensions in which the group actually varies (d of them).
+    A level is one aggregate for the boxes and one for the octiles of the cells
+    still too large; both hold one row per cell. Every level is written, as the
+    next one reads it several times.
     """
-    s = points.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.min(f"_n{i}").alias(f"_lo{i}") for i in range(dims)],
-        *[F.max(f"_n{i}").alias(f"_hi{i}") for i in range(dims)],
-    )
-    spread = [F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(dims)]
-    active = [r > F.lit(1e-9) for r in spread]
-    d_eff = sum((a.cast("int") for a in active), F.lit(0))
-    log_volume = sum((F.when(a, F.log(r)).otherwise(F.lit(0.0)) for a, r in zip(active, spread)), F.lit(0.0))
-    log_h = (F.log(F.lit(float(candidates))) + log_volume - d_eff * math.log(3.0) - F.log(F.col("_n"))) / d_eff
-    h = F.when(d_eff > 0, F.greatest(F.exp(log_h), F.lit(1e-9))).otherwise(F.lit(1.0))
-    return s.select(key, "_n", *[f"_lo{i}" for i in range(dims)], *[f"_hi{i}" for i in range(dims)], h.alias("_h"))
-
-
-def _grid_round(targets, neighbours, widths, key, n_features, dims, k, scale, pairs_per_task, max_broadcast_rows):
-    """Top-k among the 3^d block of cells around each target, and whether it is provably exact.
-
-    A point outside the block differs from the target by at least ``margin`` in
-    one gridded feature (the distance to the block's nearest face), so when the
-    k-th candidate distance is strictly below the margin no outside point can
-    enter or tie the top k. ``_ok`` also holds when the block spans every cell
-    of the group (cell indices compared as integers, so no rounding is
-    involved) -- which is bound to happen as the cells widen.
+    low, high = [[f"_{s}{i}" for i in range(n_features)] for s in ("lo", "hi")]
+    open_cells = cut_lineage(pool.withColumn("_cell", F.lit(ROOT)), label="knn-cells")
+    done, boxes, depth = None, [], 0
+    parent = F.lit(None).cast("string")
+    while True:
+        box = open_cells.groupBy(key, "_cell").agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.min(f"_n{i}").alias(low[i]) for i in range(n_features)],
+            *[F.max(f"_n{i}").alias(high[i]) for i in range(n_features)],
+        )
+        box = cut_lineage(
+            box.withColumn("_parent", parent).withColumn("_leaf", F.col("_n") <= leaf_size), label="knn-boxes"
+        )
+        boxes.append(box)
+        large = box.filter(~F.col("_leaf"))
+        if large.isEmpty():
+            break
+        leaves = open_cells.join(box.filter("_leaf").select(key, "_cell"), [key, "_cell"], "left_semi")
+        done = leaves if done is None else done.unionByName(leaves)
+        spread = [F.col(h) - F.col(lo) for lo, h in zip(low, high)]
+        widest = F.array_position(F.array(*spread), F.greatest(F.lit(float("-inf")), *spread))
+        large = large.select(
+            key,
+            "_cell",
+            widest.cast("int").alias("_dim"),
+            F.element_at(F.array(*[F.col(c) for c in low]), widest.cast("int")).alias("_low"),
+            F.least(F.lit(FAN_OUT), F.greatest(F.lit(2), F.ceil(2 * F.col("_n") / F.lit(leaf_size)))).cast("int").alias("_children"),
+        )
+        split = open_cells.join(large, [key, "_cell"]).withColumn(
+            "_v", F.element_at(F.array(*[F.col(f"_n{i}") for i in range(n_features)]), F.col("_dim"))
+        )
+        octiles = split.groupBy(key, "_cell").agg(
+            F.percentile_approx("_v", [c / FAN_OUT for c in range(1, FAN_OUT + 1)], 1000).alias("_cuts")
+        )
+        child = _child(F.col("_v"), F.col("_cuts"), F.col("_children"), F.col("_low"))
+        open_cells = cut_lineage(
+            split.join(octiles, [key, "_cell"])
+            .withColumn("_cell", F.concat("_cell", F.hex(child)))
+            .select(*open_cells.columns),
+            label="knn-cells",
+        )
+        # a cell's name is its parent's and one more sign
+        parent = F.expr("left(_cell, length(_cell) - 1)")
+        depth += 1
+    done = open_cells if done is None else done.unionByName(open_cells)
+    nodes = boxes[0]
+    for box in boxes[1:]:
+        nodes = nodes.unionByName(box)
+    return CellTree(done, nodes, depth)
+
+
+def _box_distances(n_features: int) -> tuple[Column, Column]:
+    """Squared distances from a target to the nearest and the farthest point of a box."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for i in range(n_features):
+        t, lo, hi = F.col(f"_t{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        outside = F.greatest(lo - t, t - hi, F.lit(0.0))
+        near = near + outside * outside
+        across = F.greatest(F.abs(t - lo), F.abs(t - hi))
+        far = far + across * across
+    return near, far
+
+
+def _visits(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(own, visits): the k nearest of each target's own leaf, and the other leaves it must look into.
+
+    ``targets``: rows of the tree's pool. A target reaches as far as the k-th
+    point of its leaf, or the far corner of the smallest cell around it that
+    holds k points, whichever is nearer; that is widened by a little more than
+    the rounding of distances.
     """
-    lo = [F.col(f"_lo{i}") for i in range(dims)]
-    h = F.col("_h")
-    w = widths.select(key, "_n", *[f"_lo{i}" for i in range(dims)], *[f"_hi{i}" for i in range(dims)],
-                      (F.col("_h") * scale).alias("_h"))
-    t = targets.join(w, on=key).withColumns({f"_c{i}": _cell(F.col(f"_t{i}"), lo[i], h) for i in range(dims)})
-    cell = [F.col(f"_c{i}") for i in range(dims)]
-    covers_all = F.lit(True)
-    faces = []
-    for i in range(dims):
-        covers_all = covers_all & (cell[i] <= 1) & (cell[i] + 1 >= _cell(F.col(f"_hi{i}"), lo[i], h))
-        faces += [F.col(f"_t{i}") - (lo[i] + (cell[i] - 1) * h), (lo[i] + (cell[i] + 2) * h) - F.col(f"_t{i}")]
-    scale_sum = sum((F.abs(F.col(f"_t{i}")) for i in range(dims)), F.lit(1.0)) + h
-    margin = F.least(*faces) - F.lit(1e-9) * scale_sum
-    t = t.select(
-        key, "_tid", *[f"_t{i}" for i in range(n_features)], *[f"_c{i}" for i in range(dims)],
-        margin.alias("_m"), "_n", covers_all.alias("_all"),
+    vector = [F.col(f"_n{i}").alias(f"_t{i}") for i in range(n_features)]
+    t = targets.select(key, "_cell", F.col("_nid").alias("_tid"), *vector)
+    kept = [key, "_tid", *[f"_t{i}" for i in range(n_features)]]
+    near, far = _box_distances(n_features)
+    own = top_k(
+        t.join(tree.pool, [key, "_cell"]).select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2")), key, k
     )
-    offsets = F.array(
-        *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(combo)])
-          for combo in itertools.product((-1, 0, 1), repeat=dims)]
+    own = cut_lineage(own, label="knn-own-leaf")
+    kth = own.groupBy(key, "_tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d2")).alias("_kth"))
+    # the cells around a target are the beginnings of its leaf's name
+    around = F.transform(F.sequence(F.lit(1), F.length("_cell")), lambda i: F.left(F.col("_cell"), i))
+    around = t.withColumn("_cell", F.explode(around)).join(tree.nodes, [key, "_cell"]).filter(F.col("_n") >= k)
+    far = around.groupBy(key, "_tid").agg(F.min(far).alias("_far"))
+    reach = F.coalesce(F.least(F.col("_kth"), F.col("_far")), F.lit(float("inf")))
+    root = tree.nodes.filter(F.col("_parent").isNull()).select(key, "_leaf")
+    frontier = (
+        t.join(kth, [key, "_tid"])
+        .join(far, [key, "_tid"], "left")
+        .select(*kept, F.col("_cell").alias("_own"), (reach * (1 + 1e-9) + 1e-12).alias("_reach"), F.lit(ROOT).alias("_at"))
     )
-    n = (
-        neighbours.join(w.drop("_n", *[f"_hi{i}" for i in range(dims)]), on=key)
-        .withColumns({f"_b{i}": _cell(F.col(f"_n{i}"), lo[i], h) for i in range(dims)})
-        .withColumn("_off", F.explode(offsets))
-        .select(
-            key, "_nid", *[f"_n{i}" for i in range(n_features)],
-            *[(F.col(f"_b{i}") + F.col(f"_off.o{i}")).alias(f"_c{i}") for i in range(dims)],
-        )
-    )
-    pairs = _pairs(t, n, [key, *[f"_c{i}" for i in range(dims)]], pairs_per_task, max_broadcast_rows)
-    pairs = pairs.select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"), "_m", "_n", "_all")
-    ranked = top_k(pairs, key, k)
-    per_target = Window.partitionBy(key, "_tid")
-    kept, dk2 = F.count(F.lit(1)).over(per_target), F.max("_d2").over(per_target)
-    ok = (
-        F.col("_all")
-        | (kept >= F.col("_n"))
-        | ((kept >= k) & (F.col("_m") > 0) & (dk2 < F.col("_m") * F.col("_m")))
+    frontier = cut_lineage(frontier, label="knn-frontier").join(root, key).withColumn("_near", F.lit(0.0))
+    visits = None
+    for level in range(tree.depth + 1):
+        leaves = frontier.filter(F.col("_leaf") & (F.col("_at") != F.col("_own")))
+        leaves = leaves.select(*kept, "_reach", "_near", F.col("_at").alias("_cell"))
+        visits = leaves if visits is None else visits.unionByName(leaves)
+        if level < tree.depth:
+            children = tree.nodes.filter(F.length("_cell") == level + 2).withColumnRenamed("_parent", "_at")
+            frontier = (
+                frontier.filter(~F.col("_leaf"))
+                .drop("_leaf", "_near")
+                .join(children, [key, "_at"])
+                .withColumn("_near", near)
+                .filter(F.col("_near") <= F.col("_reach"))
+                .select(*kept, "_own", "_reach", F.col("_cell").alias("_at"), "_leaf", "_near")
+            )
+    return own, visits
+
+
+def _two_looks(
+    tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, first, rest): the k nearest of the own and the nearest leaves, those leaves, the leaves left.
+
+    The nearest ``FIRST_LEAVES`` leaves shorten a target's reach, so that most
+    of the others need no look.
+    """
+    own, visits = _visits(tree, targets, key, n_features, k)
+    visits = cut_lineage(visits, label="knn-visits")
+    nearest = Window.partitionBy(key, "_tid").orderBy("_near", "_cell")
+    first = visits.withColumn("_turn", F.row_number().over(nearest)).filter(F.col("_turn") <= FIRST_LEAVES)
+    pairs = first.join(tree.pool, [key, "_cell"]).select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"))
+    found = top_k(own.select(key, "_tid", "_nid", "_d2").unionByName(pairs), key, k)
+    found = cut_lineage(found, label="knn-found")
+    reach = found.groupBy(key, "_tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d2")).alias("_kth"))
+    rest = (
+        visits.join(first.select(key, "_tid", "_cell"), [key, "_tid", "_cell"], "left_anti")
+        .join(reach, [key, "_tid"])
+        .withColumn("_reach", F.least("_reach", F.coalesce("_kth", F.lit(float("inf"))) * (1 + 1e-9) + 1e-12))
+        .filter(F.col("_near") <= F.col("_reach"))
     )
-    return ranked.select(key, "_tid", "_nid", "_d2", RANK, ok.alias("_ok"))
+    return found, first, rest
 
 
-def _knn_grid(targets, neighbours, key, n_features, dims, k, candidates, max_rounds, pairs_per_task,
-              max_broadcast_rows):
-    """Grid rounds with 2x wider cells each time (2^d times the block's points), for uncertified targets.
+def search_pairs(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> DataFrame:
+    """(key, _tid, _nid, _d2) with every pair that can be among a target's ``k`` nearest."""
+    found, _, rest = _two_looks(tree, targets, key, n_features, k)
+    others = rest.join(tree.pool, [key, "_cell"]).withColumn("_d2", _squared_distance(n_features))
+    others = others.filter(F.col("_d2") <= F.col("_reach")).select(key, "_tid", "_nid", "_d2")
+    return found.select(key, "_tid", "_nid", "_d2").unionByName(others)
 
-    Every round certifies at least the targets whose block spans their whole
-    group, and widening gets there, so the loop ends with every target
-    certified; ``max_rounds`` is only a guard (its leftovers, if any, are
-    compared with their whole group).
-    """
-    widths = cut_lineage(grid_widths(neighbours, key, dims, candidates), label="knn-grid-widths")
-    results = []
-    remaining, pool = targets, neighbours
-    for r in range(max_rounds):
-        ranked = cut_lineage(
-            _grid_round(remaining, pool, widths, key, n_features, dims, k, 2.0**r, pairs_per_task,
-                        max_broadcast_rows),
-            label=f"knn-grid-{r}",
-        )
-        results.append(ranked.filter(F.col("_ok")).drop("_ok"))
-        failed = ranked.filter(~F.col("_ok")).select(key, "_tid").distinct()
-        if failed.limit(1).count() == 0:
-            return results
-        remaining = targets.join(failed, on=[key, "_tid"], how="left_semi")
-        # only groups that still have uncertified targets are replicated again
-        pool = neighbours.join(failed.select(key).distinct(), on=key, how="left_semi")
-    results.append(_brute_force(remaining, pool, key, n_features, k, pairs_per_task, max_broadcast_rows))
-    return results
+
+def candidate_pairs(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> int:
+    """Number of distances the search computes: leaf sizes summed over the leaves looked into."""
+    _, first, rest = _two_looks(tree, targets, key, n_features, k)
+    looks = targets.select(key, "_cell")
+    for leaves in (first, rest):
+        looks = looks.unionByName(leaves.select(key, "_cell"))
+    sizes = tree.nodes.filter("_leaf").select(key, "_cell", "_n")
+    return looks.groupBy(key, "_cell").count().join(sizes, [key, "_cell"]).agg(F.sum(F.col("count") * F.col("_n"))).first()[0]
 
 
 def knn_exact(
@@ -274,45 +276,38 @@ def knn_exact(
     k: int = DEFAULT_K,
     key: str = "city_code",
     id_col: str = NEIGHBOUR_ID,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
-    brute_force_max: int = DEFAULT_BRUTE_FORCE_MAX,
-    grid_candidates: int = DEFAULT_GRID_CANDIDATES,
-    grid_rounds: int = DEFAULT_GRID_ROUNDS,
-    grid_dims: int = DEFAULT_GRID_DIMS,
+    leaf_size: int | None = None,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours of every point within its ``key`` group.
 
     ``points`` must have one row per (``key``, ``id_col``) and non-NULL
-    features. Groups of at most ``brute_force_max`` points compare every pair;
-    larger groups use the grid search over the first ``grid_dims`` features,
-    widening the cells of uncertified targets round by round. Output:
-    ``key, target_property_harp_ID, harp_property_id_no, knn_distance_metric,
-    neighbour_rank``.
+    features. ``targets`` (``key``, ``id_col``) limits the search to some of
+    them. Output: ``key, target_property_harp_ID, harp_property_id_no,
+    knn_distance_metric, neighbour_rank``. Runs jobs while it builds the tree;
+    the search itself is lazy.
     """
     points = points.filter(F.col(key).isNotNull())
-    targets, neighbours = _sides(points, key, id_col, features)
     nf = len(features)
-    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= brute_force_max:
-        return _finish(_brute_force(targets, neighbours, key, nf, k, pairs_per_task, max_broadcast_rows), key)
-    small = sizes.filter(F.col("_n") <= brute_force_max).select(key)
-    large = sizes.filter(F.col("_n") > brute_force_max).select(key)
-    parts = [
-        _brute_force(
-            targets.join(small, key, "left_semi"), neighbours.join(small, key, "left_semi"),
-            key, nf, k, pairs_per_task, max_broadcast_rows,
-        )
-    ]
-    parts += _knn_grid(
-        targets.join(large, key, "left_semi"), neighbours.join(large, key, "left_semi"),
-        key, nf, min(nf, grid_dims), k, grid_candidates, grid_rounds, pairs_per_task, max_broadcast_rows,
+    pool = neighbour_pool(points, key, id_col, features, k)
+    tree = cell_tree(pool, key, nf, max(2, k, leaf_size or LEAVES_PER_K * k))
+    wanted = points.select(
+        key, F.col(id_col).alias(TARGET_ID), *[(F.col(f).cast("double") + F.lit(0.0)).alias(f"_n{i}") for i, f in enumerate(features)]
+    )
+    vectors = [key, *[f"_n{i}" for i in range(nf)]]
+    searched = tree.pool.filter("_place = 1")
+    if targets is not None:
+        wanted = wanted.join(targets.select(key, F.col(id_col).alias(TARGET_ID)), [key, TARGET_ID], "left_semi")
+        searched = searched.join(wanted, vectors, "left_semi")
+    found = top_k(search_pairs(tree, searched, key, nf, k), key, k)
+    # a vector's first point stands for all points with that vector
+    first = tree.pool.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
+    return (
+        wanted.join(first, vectors)
+        .select(key, TARGET_ID, "_tid")
+        .join(found, [key, "_tid"])
+        .select(key, TARGET_ID, F.col("_nid").alias(NEIGHBOUR_ID), F.sqrt("_d2").alias(DISTANCE), RANK)
     )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _finish(out, key)
 
 
 def knn_lsh(
@@ -323,68 +318,94 @@ def knn_lsh(
     id_col: str = NEIGHBOUR_ID,
     bucket_candidates: int = DEFAULT_LSH_CANDIDATES,
     num_hash_tables: int = DEFAULT_LSH_TABLES,
-    max_projections: int = 24,
     seed: int = 17,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
 ) -> DataFrame:
     """Approximate k nearest neighbours within ``key`` via random-projection LSH.
 
-    Spark ML's ``BucketedRandomProjectionLSH`` hashes each point with
-    ``num_hash_tables * max_projections`` random projections; a table's bucket
-    is the first ``m`` of its projections together (an AND of hashes, the
-    tables an OR), with the bucket width and ``m`` set per group so that a
-    bucket holds about ``bucket_candidates`` points whatever the group's size
-    -- a large group is cut into many small buckets instead of being paired
-    whole. Candidates are the points sharing a bucket with the target in
-    at least one table (the target always shares its own). Same output columns
-    as ``knn_exact``; a target may get fewer than ``k`` neighbours.
+    A table's bucket is the first ``m`` of its projections together (an AND of
+    hashes, the tables an OR); ``m`` and the bucket width are set per group so
+    that a bucket holds about ``bucket_candidates`` points whatever the group's
+    size, and as many projections are computed as the largest group needs.
+    Candidates are the points sharing a bucket with the target in at least one
+    table; a pair is kept in the first table that has it only. Targets with
+    fewer than min(k, n) candidates go to ``knn_exact``, so every target is
+    complete. Same output columns as ``knn_exact``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     nf = len(features)
     points = points.filter(F.col(key).isNotNull())
-    base = points.select(key, F.col(id_col).alias("_id"), *[F.col(f).cast("double").alias(f"_n{i}") for i, f in enumerate(features)])
+    pool = cut_lineage(neighbour_pool(points, key, id_col, features, k), label="lsh-pool")
     # Per group: a projection onto a random unit direction has variance about
     # (sum of feature variances) / d; buckets two of its deviations wide, and
     # m = log2(n / bucket_candidates) projections per bucket, leave about
     # ``bucket_candidates`` points in a bucket whatever the group's size.
-    spread = base.groupBy(key).agg(
+    spread = pool.groupBy(key).agg(
         F.count(F.lit(1)).alias("_size"),
         sum((F.coalesce(F.var_samp(f"_n{i}"), F.lit(0.0)) for i in range(nf)), F.lit(0.0)).alias("_var"),
     )
     width = F.lit(2.0) * F.sqrt(F.col("_var") / nf)
     per_bucket = F.ceil(F.log2(F.col("_size") / F.lit(float(bucket_candidates))))
-    spread = spread.select(
-        key,
-        F.when(width > 0, width).otherwise(F.lit(1.0)).alias("_w"),
-        F.least(F.lit(max_projections), F.greatest(F.lit(1), per_bucket)).cast("int").alias("_m"),
+    spread = cut_lineage(
+        spread.select(
+            key,
+            F.when(width > 0, width).otherwise(F.lit(1.0)).alias("_w"),
+            F.greatest(F.lit(1), per_bucket).cast("int").alias("_m"),
+        ),
+        label="lsh-groups",
     )
-    vec = base.join(spread, on=key).withColumn(
+    projections = spread.agg(F.max("_m")).first()[0] or 1
+    vec = pool.join(spread, on=key).withColumn(
         "_vec", array_to_vector(F.array(*[F.col(f"_n{i}") / F.col("_w") for i in range(nf)]))
     )
     model = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=1.0, numHashTables=num_hash_tables * max_projections,
-        seed=seed,
+        inputCol="_vec", outputCol="_hashes", bucketLength=1.0, numHashTables=num_hash_tables * projections, seed=seed
     ).fit(vec)
     values = F.transform("_hashes", lambda h: vector_to_array(h)[0])
     buckets = F.array(
-        *[F.struct(F.lit(j).alias("_table"), F.slice(values, j * max_projections + 1, F.col("_m")).alias("_bucket"))
-          for j in range(num_hash_tables)]
+        *[F.xxhash64(F.slice(values, j * projections + 1, F.col("_m"))) for j in range(num_hash_tables)]
     )
-    hashed = model.transform(vec).select(key, "_id", *[f"_n{i}" for i in range(nf)], F.explode(buckets).alias("_b"))
-    hashed = hashed.select(key, "_id", *[f"_n{i}" for i in range(nf)], "_b._table", "_b._bucket")
-    t = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_tid"),
-                      *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)])
-    n = hashed.select(key, "_table", "_bucket", F.col("_id").alias("_nid"), *[f"_n{i}" for i in range(nf)])
-    # a crowded bucket is spread like any other pair-heavy group
-    pairs = (
-        _pairs(t, n, [key, "_table", "_bucket"], pairs_per_task, max_broadcast_rows)
-        .select(key, "_tid", "_nid", _squared_distance(nf).alias("_d2"))
-        .dropDuplicates([key, "_tid", "_nid"])
+    hashed = cut_lineage(
+        model.transform(vec).select(key, "_nid", "_place", *[f"_n{i}" for i in range(nf)], buckets.alias("_buckets")),
+        label="lsh-buckets",
     )
-    return _finish(top_k(pairs, key, k), key)
+    entries = hashed.select("*", F.posexplode("_buckets").alias("_table", "_bucket"))
+    n = entries.select(key, "_table", "_bucket", "_nid", *[f"_n{i}" for i in range(nf)], F.col("_buckets").alias("_nb"))
+    t = entries.filter("_place = 1").select(
+        key, "_table", "_bucket", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)],
+        F.col("_buckets").alias("_tb"),
+    )
+    met_before = F.exists(
+        F.sequence(F.lit(0), F.lit(num_hash_tables - 1)),
+        lambda j: (j < F.col("_table")) & (F.get(F.col("_tb"), j) == F.get(F.col("_nb"), j)),
+    )
+    pairs = t.join(n, [key, "_table", "_bucket"]).filter(~met_before)
+    found = cut_lineage(
+        top_k(pairs.select(key, "_tid", "_nid", _squared_distance(nf).alias("_d2")), key, k), label="lsh-found"
+    )
+    vectors = [key, *[f"_n{i}" for i in range(nf)]]
+    first = hashed.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
+    wanted = points.select(
+        key, F.col(id_col).alias(TARGET_ID), *[(F.col(f).cast("double") + F.lit(0.0)).alias(f"_n{i}") for i, f in enumerate(features)]
+    )
+    # a target is complete with k neighbours, or with all points of a small group
+    counts = found.groupBy(key, "_tid").agg(F.count(F.lit(1)).alias("_got"))
+    group_sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
+    of_target = cut_lineage(
+        wanted.join(first, vectors)
+        .join(counts, [key, "_tid"])
+        .join(group_sizes, key)
+        .select(key, TARGET_ID, "_tid", (F.col("_got") < F.least(F.lit(k), F.col("_all"))).alias("_short")),
+        label="lsh-targets",
+    )
+    complete = (
+        of_target.filter(~F.col("_short"))
+        .join(found, [key, "_tid"])
+        .select(key, TARGET_ID, F.col("_nid").alias(NEIGHBOUR_ID), F.sqrt("_d2").alias(DISTANCE), RANK)
+    )
+    short = of_target.filter("_short").select(key, F.col(TARGET_ID).alias(id_col))
+    return complete.unionByName(knn_exact(points, features, k, key, id_col, targets=short))
 
 
 def attach(
@@ -394,9 +415,10 @@ def attach(
     columns: dict[str, str],
     key: str = "city_code",
     id_col: str = NEIGHBOUR_ID,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    broadcast: bool | None = None,
 ) -> DataFrame:
-    """Join point attributes onto ``pairs`` by (``key``, ``on_col``); ``columns`` maps source -> output name."""
+    """Join point attributes onto ``pairs`` by (``key``, ``on_col``); ``columns`` maps source -> output name.
+
+    The planner picks the join from the points' measured size.
+    """
     side = points.select(key, F.col(id_col).alias(on_col), *[F.col(s).alias(o) for s, o in columns.items()])
-    return join_bounded(pairs, side, on=[key, on_col], how="inner", max_rows=max_broadcast_rows, broadcast=broadcast)
+    return pairs.join(side, on=[key, on_col])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from innsight.functions.columns import (
     RATE_SORTED_RANK_LABEL,
     RATE_TYPE_LABEL,
+    label_qualifies,
     label_value,
     qualifying_labels,
     top3_flag,
@@ -69,15 +70,9 @@ def explode_labels(df: DataFrame, labels: str = LABELS_COLUMN) -> DataFrame:
     null id (a null element counts as such).
     """
     e = F.col("_label")
-    only_one = F.size(labels) == 1
-    qualifies = (
-        (e["id"].isNull() & only_one)
-        | ((e["id"] == RATE_SORTED_RANK_LABEL) & (e["type"] == RATE_SORTED_RANK_LABEL))
-        | ((e["id"] == RATE_TYPE_LABEL) & (e["type"] == RATE_TYPE_LABEL))
-    )
     return (
         df.withColumn("_label", F.explode(labels))
-        .filter(qualifies)
+        .filter(label_qualifies(e, F.size(labels) == 1))
         .withColumn("label_id", e["id"])
         .withColumn("label_value", e["value"])
         .drop("_label")

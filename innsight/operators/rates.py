@@ -4,7 +4,7 @@ Plan of ``rate_frequency`` (one lazy DataFrame, two shuffles):
 
 1. window filter on the date partition columns (directory pruning) and a
    projection of the seven needed columns (column pruning);
-2. left join to the rate lookup, broadcast behind a row-count check, with
+2. left join to the rate lookup, broadcast behind a check of its bytes, with
    unmatched rates bucketed as ``OTHER``;
 3. drop rates with no qualifying label (narrow, before any shuffle);
 4. de-duplicate (date, session, hotel, rate, bucket, labels) -- partial
@@ -20,20 +20,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import RATE_TYPE_LABEL, UNMATCHED_RATE_BUCKET
+from innsight.fixed_values import (
+    FREQUENCY_KEYS,
+    LABELS_COLUMN,
+    RATE_ROW_KEYS,
+    SESSION_KEYS,
+    SUMMARY_KEYS,
+    UNMATCHED_RATE_BUCKET,
+)
 from innsight.operators.labels import (
     keep_rates_with_qualifying_labels,
     with_label_columns,
     with_top3_flag,
 )
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
+from innsight.plans.joins import DEFAULT_MAX_BROADCAST_BYTES, join_bounded
 from innsight.plans.lineage import cut_lineage
-from innsight.sources.search_log import DATE_PARTS, LABELS_COLUMN, SearchWindow
-
-SESSION_KEYS = [*DATE_PARTS, "res_sessionID", "hotel_id"]
-RATE_ROW_KEYS = [*SESSION_KEYS, "rate_id", "new_rate_bucket", LABELS_COLUMN]
-FREQUENCY_KEYS = [*SESSION_KEYS, "new_rate_bucket", RATE_TYPE_LABEL, "top3_rate_flag"]
-SUMMARY_KEYS = [*DATE_PARTS, RATE_TYPE_LABEL, "top3_rate_flag"]
+from innsight.sources.search_log import SearchWindow
 
 
 def select_window(log: DataFrame, window: SearchWindow | None) -> DataFrame:
@@ -43,11 +45,11 @@ def select_window(log: DataFrame, window: SearchWindow | None) -> DataFrame:
 
 
 def attach_rate_bucket(
-    rates: DataFrame, lookup: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
+    rates: DataFrame, lookup: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
 ) -> DataFrame:
     """Left-join the lookup on ``rate_id``; rates missing from it get bucket ``OTHER``."""
     side = lookup.select("rate_id", "new_rate_bucket")
-    joined = join_bounded(rates, side, on="rate_id", how="left", max_rows=max_broadcast_rows)
+    joined = join_bounded(rates, side, on="rate_id", how="left", max_bytes=max_broadcast_bytes)
     return joined.withColumn(
         "new_rate_bucket", F.coalesce(F.col("new_rate_bucket"), F.lit(UNMATCHED_RATE_BUCKET))
     )
@@ -62,7 +64,7 @@ def rate_frequency(
     log: DataFrame,
     lookup: DataFrame,
     window: SearchWindow | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     checkpoint: bool = False,
 ) -> DataFrame:
     """Number of distinct rates returned per date, session, hotel, bucket, type and top-3 flag.
@@ -71,7 +73,7 @@ def rate_frequency(
     CWT_RATE_TYPE, top3_rate_flag, responses`` (bigint). ``checkpoint`` cuts the
     lineage after de-duplication (useful when the log's plan is very long).
     """
-    rates = attach_rate_bucket(select_window(log, window), lookup, max_broadcast_rows)
+    rates = attach_rate_bucket(select_window(log, window), lookup, max_broadcast_bytes)
     unique = distinct_rates(keep_rates_with_qualifying_labels(rates))
     unique = cut_lineage(unique, enabled=checkpoint)
     flagged = with_top3_flag(with_label_columns(unique))

@@ -1,13 +1,15 @@
 """Physical-plan helpers: size-checked broadcast joins, reliable lineage cuts, plan text."""
 
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_bounded
-from innsight.plans.lineage import checkpoint_dir, cut_lineage, release_cuts
+from innsight.plans.joins import DEFAULT_MAX_BROADCAST_BYTES, join_bounded, measured_bytes
+from innsight.plans.lineage import Cuts, checkpoint_dir, cut_lineage, job_cuts, scratch_path
 
 __all__ = [
-    "DEFAULT_MAX_BROADCAST_ROWS",
+    "DEFAULT_MAX_BROADCAST_BYTES",
+    "Cuts",
     "checkpoint_dir",
     "cut_lineage",
-    "has_at_most",
+    "job_cuts",
     "join_bounded",
-    "release_cuts",
+    "measured_bytes",
+    "scratch_path",
 ]

@@ -15,9 +15,3 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
         df.explain(mode)
     return buf.getvalue()
 
-
-def count_exchanges(df: DataFrame) -> int:
-    """Shuffle exchanges in the (pre-AQE) physical plan."""
-    return sum(
-        1 for line in plan_text(df, "simple").splitlines() if "Exchange hashpartitioning" in line
-    )

@@ -4,9 +4,10 @@ Spark broadcasts a join side on its own when the optimizer's size estimate is
 below ``spark.sql.autoBroadcastJoinThreshold``, and AQE re-plans a sort-merge
 join as a broadcast join once a shuffle stage has measured the side as small.
 For a side read straight from files the static estimate is the compressed file
-size, which can be several times below the in-memory size, so where we *want*
-a broadcast we first prove a bound on the side's row count and otherwise leave
-the choice to the planner (sort-merge join, AQE skew splitting).
+size, which can be several times below the in-memory size. Where we *want* a
+broadcast, the side's bytes are measured first (one aggregate, one row per
+task); a larger side is left to the planner (sort-merge join, AQE skew
+splitting).
 """
 
 from __future__ import annotations
@@ -15,21 +16,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of a side we are willing to build on the driver and ship to every
-# executor. The sides broadcast here are narrow -- a rate id and bucket (~40 B),
-# or a hotel id, city and four doubles (~100 B) -- so 1M rows is at most about
-# 100 MB; anything larger takes a shuffled (salted) plan instead.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+# Bytes of a side we are willing to build on the driver and ship to every executor.
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES, FIELD_BYTES = 24, 16  # of a row in a hash table, besides texts
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Runs one job that stops after ``max_rows + 1`` rows, so it is cheap on a
-    large side and exact on a small one.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes of ``df`` in memory: rows, fields and the texts' own lengths."""
+    width = ROW_BYTES + FIELD_BYTES * len(df.columns)
+    texts = [F.col(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = F.lit(width)
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
 
 def join_bounded(
@@ -37,17 +38,8 @@ def join_bounded(
     small: DataFrame,
     on: str | Sequence[str] | Column,
     how: str = "inner",
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    broadcast: bool | None = None,
+    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join ``big`` to ``small``, broadcasting ``small`` only behind a row-count check.
-
-    ``broadcast`` passes an outcome of the check already known to the caller
-    (e.g. for a side joined twice). When the check fails the planner picks the strategy (a shuffled join, with
-    AQE splitting skewed partitions and converting to broadcast if the measured
-    side turns out small).
-    """
-    if broadcast is None:  # not known yet: check
-        broadcast = has_at_most(small, max_rows)
-    side = F.broadcast(small) if broadcast else small
+    """Join ``big`` to ``small``, broadcasting ``small`` only when it measures at most ``max_bytes``."""
+    side = F.broadcast(small) if measured_bytes(small) <= max_bytes else small
     return big.join(side, on=on, how=how)

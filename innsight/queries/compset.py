@@ -77,8 +77,11 @@ def property_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def property_metrics_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C8 in the join-then-aggregate shape (must equal ``property_metrics``)."""
-    return _property_view(properties.property_metrics_by_join(_bookings(spark, sf_dir)))
+    """C8 from the joined bookings of J2 (must equal ``property_metrics``)."""
+    joined = properties.bookings_with_current_names(_bookings(spark, sf_dir))
+    valid = joined.filter(properties.valid_star_rating("star_rating"))
+    folded = properties.fold_bookings(valid).groupBy(*properties.NAME_KEYS)
+    return _property_view(folded.agg(*properties._metrics_of_folded()))
 
 
 def distinct_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,19 +89,19 @@ def distinct_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _props(spark, sf_dir).select(CITY).distinct()
 
 
-def _hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (city, property), materialized as ``prepare_points`` does."""
-    return cut_lineage(cs.one_row_per_property(_props(spark, sf_dir)), label="properties")
+def _property_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All property rows, written once as the bounds and the filter both read them."""
+    return cut_lineage(_props(spark, sf_dir), label="properties")
 
 
 def geo_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 + F5: per city, the 3% / 97% discrete percentiles of distinct valid x and y."""
-    return geo.geo_bounds(_hotels(spark, sf_dir))
+    return geo.geo_bounds(_property_rows(spark, sf_dir))
 
 
 def geo_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 (F6, F7, J5): properties inside their city's coordinate bounds."""
-    return _property_view(geo.geo_clean(_hotels(spark, sf_dir)))
+    return _property_view(geo.geo_clean(_property_rows(spark, sf_dir)))
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +110,11 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.select(CITY, properties.PROPERTY_ID, *[_r(c) for c in SCALED])
 
 
+def left_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per city, the clean property rows and how many of them lack a feature."""
+    return feat.left_out_rows(geo.geo_clean(_property_rows(spark, sf_dir)))
+
+
 def _knn(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return knn.knn_exact(_points(spark, sf_dir), SCALED, k=knn.DEFAULT_K, key=CITY,
                          id_col=properties.PROPERTY_ID, **options)
@@ -119,22 +127,53 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_exact_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4 through the salted shuffle join (the plan for point sets too large to broadcast)."""
-    pairs = _knn(spark, sf_dir, max_broadcast_rows=0, pairs_per_task=2_000)
+    """C4 with leaves half the usual size (more levels, more leaves per target)."""
+    pairs = _knn(spark, sf_dir, leaf_size=20)
     return pairs.select(CITY, knn.TARGET_ID, knn.NEIGHBOUR_ID, _r(knn.DISTANCE), knn.RANK)
 
 
 def knn_exact_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4 through the grid-pruned search that large cities use (every city forced onto it)."""
-    pairs = _knn(spark, sf_dir, brute_force_max=0, grid_candidates=40)
+    """C4 with the smallest leaves, k points each: the deepest tree, as large cities have it."""
+    pairs = _knn(spark, sf_dir, leaf_size=10)
     return pairs.select(CITY, knn.TARGET_ID, knn.NEIGHBOUR_ID, _r(knn.DISTANCE), knn.RANK)
 
 
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate neighbours by random-projection LSH (no SQL oracle; rows only)."""
-    pairs = knn.knn_lsh(_points(spark, sf_dir), SCALED, k=knn.DEFAULT_K, key=CITY,
-                        id_col=properties.PROPERTY_ID)
-    return pairs.select(CITY, knn.TARGET_ID, knn.NEIGHBOUR_ID, _r(knn.DISTANCE), knn.RANK)
+    """Approximate neighbours, checked per city against the exact search.
+
+    Targets, targets with min(k, n) neighbours, pairs, and pairs whose distance
+    is the exact distance of its two points.
+    """
+    points = _points(spark, sf_dir)
+    pairs = knn.knn_lsh(points, SCALED, k=knn.DEFAULT_K, key=CITY, id_col=properties.PROPERTY_ID)
+    t, n = (
+        points.select(CITY, F.col(properties.PROPERTY_ID).alias(col), F.array(*SCALED).alias(name))
+        for col, name in ((knn.TARGET_ID, "_t"), (knn.NEIGHBOUR_ID, "_n"))
+    )
+    d2 = F.aggregate(
+        F.zip_with("_t", "_n", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v
+    )
+    size = points.groupBy(CITY).agg(F.count(F.lit(1)).alias("_size"))
+    per_target = (
+        pairs.join(t, [CITY, knn.TARGET_ID])
+        .join(n, [CITY, knn.NEIGHBOUR_ID])
+        .groupBy(CITY, knn.TARGET_ID)
+        .agg(
+            F.count(F.lit(1)).alias("_got"),
+            F.sum((F.abs(F.sqrt(d2) - F.col(knn.DISTANCE)) < 1e-9).cast("long")).alias("_exact"),
+        )
+    )
+    full = F.col("_got") == F.least(F.lit(knn.DEFAULT_K), F.col("_size"))
+    return (
+        per_target.join(size, CITY)
+        .groupBy(CITY)
+        .agg(
+            F.count(F.lit(1)).alias("targets"),
+            F.sum(full.cast("long")).alias("complete_targets"),
+            F.sum("_got").alias("pairs"),
+            F.sum("_exact").alias("pairs_with_exact_distance"),
+        )
+    )
 
 
 def _compset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,30 +250,30 @@ pm as (select harp_property_id_no, hotel_name, hotel_chain_name, city_code, x, y
               max(try_cast(substring(star_rating, 1, 1) as integer)) star_rating_number,
               avg("yield") avg_yield, avg(adr) avg_adr
        from bc where star_rating is not null and length(star_rating) > 1 group by all),
-props as (select * exclude (q) from (
-            select *, row_number() over (partition by city_code, harp_property_id_no
-                                         order by num_bookings desc, hotel_name, hotel_chain_name, x, y) q
-            from pm) where q = 1),
-valid as (select * from props where x between -180 and 180 and y between -90 and 90),
+valid as (select * from pm where x between -180 and 180 and y between -90 and 90),
 bx as (select city_code, percentile_disc(0.03) within group (order by x) x_lo,
               percentile_disc(0.97) within group (order by x) x_hi
        from (select distinct city_code, x from valid) group by city_code),
 byy as (select city_code, percentile_disc(0.03) within group (order by y) y_lo,
                percentile_disc(0.97) within group (order by y) y_hi
         from (select distinct city_code, y from valid) group by city_code),
-clean as (select p.* from props p join bx on p.city_code = bx.city_code join byy on p.city_code = byy.city_code
+clean as (select p.* from pm p join bx on p.city_code = bx.city_code join byy on p.city_code = byy.city_code
           where p.x between x_lo and x_hi and p.y between y_lo and y_hi),
 usable as (select * from clean where x is not null and y is not null
            and star_rating_number is not null and avg_adr is not null),
 sd as (select city_code, stddev_samp(x) sx, stddev_samp(y) sy,
               stddev_samp(cast(star_rating_number as double)) ss, stddev_samp(avg_adr) sa
        from usable group by city_code),
-pts as (select u.*,
+scaled as (select u.*,
                case when sx > 0 then x / sx else 0.0e0 end scaled_x,
                case when sy > 0 then y / sy else 0.0e0 end scaled_y,
                case when ss > 0 then star_rating_number / ss else 0.0e0 end scaled_star_rating_number,
                case when sa > 0 then avg_adr / sa else 0.0e0 end scaled_avg_adr
         from usable u join sd on u.city_code = sd.city_code),
+pts as (select * exclude (q) from (
+            select *, row_number() over (partition by city_code, harp_property_id_no
+                                         order by num_bookings desc, hotel_name, hotel_chain_name, x, y) q
+            from scaled) where q = 1),
 pairs as (select t.city_code, t.harp_property_id_no tid, n.harp_property_id_no nid,
                  pow(t.scaled_x - n.scaled_x, 2) + pow(t.scaled_y - n.scaled_y, 2)
                  + pow(t.scaled_star_rating_number - n.scaled_star_rating_number, 2)
@@ -307,6 +346,15 @@ select {_PROPERTY_VIEW} from clean""",
 select city_code, harp_property_id_no, round(scaled_x, 6) scaled_x, round(scaled_y, 6) scaled_y,
        round(scaled_star_rating_number, 6) scaled_star_rating_number, round(scaled_avg_adr, 6) scaled_avg_adr
 from pts""",
+    "left_out_rows": f"""with {_CHAIN}
+select city_code, count(*) property_rows,
+       cast(sum(case when x is null or y is null or star_rating_number is null or avg_adr is null
+                     then 1 else 0 end) as bigint) left_out
+from clean group by city_code""",
+    "knn_lsh": f"""with {_CHAIN}, s as (select city_code, count(*) n from pts group by city_code)
+select city_code, n targets, n complete_targets, n * least(10, n) pairs,
+       n * least(10, n) pairs_with_exact_distance
+from s""",
     "knn_exact": f"""with {_CHAIN}
 select {_PAIR}, round(knn_distance_metric, 6) knn_distance_metric, neighbour_rank from cs""",
     "haversine_distance": f"""with {_CHAIN}

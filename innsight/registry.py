@@ -1,7 +1,8 @@
 """Name -> query and name -> DuckDB oracle, for the driver and the tests.
 
 Every query takes ``(spark, sf_dir)``, derives its inputs from the driver's
-tables with Spark (``sources.fixtures``) and returns a lazy DataFrame.
+tables with Spark (``sources.fixtures``) and returns a DataFrame. Queries that
+cut their lineage run jobs while they are built; the rest is lazy.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from innsight.queries import compset as compset_queries
 from innsight.queries import rates as rate_queries
+from innsight.queries import round_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +44,7 @@ _COMPSET_QUERIES = [
     "geo_bounds",
     "geo_clean",
     "scaled_features",
+    "left_out_rows",
     "knn_exact",
     "knn_exact_salted",
     "knn_exact_grid",
@@ -54,13 +57,29 @@ _COMPSET_QUERIES = [
 ]
 
 
+_ROUND_TRIPS = [
+    "log_read_window",
+    "lookup_read",
+    "rate_job_output",
+    "rate_job_summary",
+    "frequency_single_csv",
+    "bookings_read_sql",
+    "bookings_read_table",
+    "properties_by_city",
+    "properties_csv",
+    "lineage_cut",
+]
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: getattr(rate_queries, name) for name in _RATE_QUERIES}
     out.update({name: getattr(compset_queries, name) for name in _COMPSET_QUERIES})
+    out.update({name: getattr(round_trips, name) for name in _ROUND_TRIPS})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = dict(rate_queries.ORACLE)
     out.update(compset_queries.ORACLE)
+    out.update(round_trips.ORACLE)
     return {name: out[name] for name in queries() if name in out}

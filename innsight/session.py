@@ -6,9 +6,6 @@ there except that ``spark.checkpoint.dir`` names a shared folder.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every run of this package expects; the cluster-sized knobs
@@ -30,7 +27,7 @@ def local_session(
     driver_memory: str = "8g",
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A ``local[cores]`` session with a scratch checkpoint folder when none is set."""
+    """A ``local[cores]`` session; without ``spark.checkpoint.dir`` in ``extra_conf``, lineage cuts persist."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -41,8 +38,4 @@ def local_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        # Local runs only: a cluster must name a shared folder in spark.checkpoint.dir.
-        scratch = os.environ.get("INNSIGHT_SCRATCH") or tempfile.mkdtemp(prefix="innsight-ckpt-")
-        spark.sparkContext.setCheckpointDir(scratch)
     return spark

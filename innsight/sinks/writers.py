@@ -6,10 +6,13 @@
   a partition holding a hot day or city into several tasks and merges tiny
   ones, so one hot key neither lands in a single writer task nor leaves
   thousands of small files.
-* ``write_single_csv`` -- one CSV file with a header, rows in a given order. The
-  upstream plan keeps all its parallelism; only the final exchange goes to one
-  partition, which is then sorted and written (sorting *before* a single
-  repartition would not keep the order).
+* ``write_sorted_csv`` -- CSV files with headers whose names, in order, hold the
+  rows in a given order: range-partitioned, each task sorts and writes its range.
+* ``write_single_csv`` -- one CSV file with a header, rows in a given order, for
+  results whose size is bounded (a daily summary). The upstream plan keeps all
+  its parallelism; only the final exchange goes to one partition, which is then
+  sorted and written (sorting *before* a single repartition would not keep the
+  order).
 * ``save_partitioned_table`` -- a managed catalog table, partitioned.
 """
 
@@ -41,6 +44,24 @@ def write_partitioned(
     writer.parquet(path)
 
 
+def write_sorted_csv(
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str],
+    drop: Sequence[str] = (),
+    mode: str = "overwrite",
+    files: int | None = None,
+) -> None:
+    """CSV files in the order of ``order_by``: no file's rows come after the next file's.
+
+    ``files`` is the number of ranges; by default as many as shuffle partitions,
+    which AQE merges where they are small.
+    """
+    kept = df.drop(*drop)
+    ranged = kept.repartitionByRange(files, *order_by) if files else kept.repartitionByRange(*order_by)
+    ranged.sortWithinPartitions(*order_by).write.mode(mode).csv(path, header=True)
+
+
 def write_single_csv(
     df: DataFrame,
     path: str,
@@ -48,7 +69,7 @@ def write_single_csv(
     drop: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
-    """One CSV file with a header; array / vector columns must be dropped (``drop``)."""
+    """One CSV file with a header, for small results; array / vector columns must be dropped (``drop``)."""
     one = df.drop(*drop).repartition(1)
     if order_by:
         one = one.sortWithinPartitions(*order_by)

@@ -54,6 +54,5 @@ def read_bookings_sql(spark: SparkSession, sql_text: str) -> DataFrame:
 
 
 def read_bookings_sql_file(spark: SparkSession, sql_path: str) -> DataFrame:
-    """Bookings from a SQL text file shipped with the job."""
-    with open(sql_path, encoding="utf-8") as fh:
-        return read_bookings_sql(spark, fh.read())
+    """Bookings from a SQL text file, in any store Spark reads."""
+    return read_bookings_sql(spark, spark.read.text(sql_path, wholetext=True).first()[0])

@@ -9,6 +9,8 @@ documented in ``FIXTURES.md`` §2.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +20,10 @@ from innsight.sources.search_log import LABEL_TYPE, LABELS_COLUMN, SearchWindow
 
 # --- fixed values of the fixture mapping (FIXTURES.md §2) ------------------
 HOTELS_PER_LOG = 40  # hotel_id = event_id % 40
-LOOKUP_MAX_RATE_ID = 70  # rate ids 0..69 are in the lookup, the rest fall to OTHER
+EVENTS_PER_RATE = 4  # rate id = event_id div 4: about 1.25 rate ids per part, so a fifth fall to OTHER
 RANK_MODULUS = 7  # rank label value = k % 7
 # Window of the fixture log (events span January 2024).
-FIXTURE_WINDOW = SearchWindow(year=2024, month=1, first_day=24, last_day=30)
+FIXTURE_WINDOW = SearchWindow(datetime.date(2024, 1, 24), datetime.date(2024, 1, 30))
 # Bookings date lower bound used by the date-filter query (orders span 1995-2001).
 FIXTURE_BOOKINGS_SINCE = "1998-01-01"
 # ---------------------------------------------------------------------------
@@ -74,14 +76,14 @@ def search_log_from_events(events: DataFrame, window: SearchWindow | None = None
         F.dayofmonth("ts").alias("day"),
         F.col("user_id").cast("string").alias("res_sessionID"),
         (F.col("event_id") % HOTELS_PER_LOG).cast("string").alias("hotel_id"),
-        k.cast("string").alias("id"),
+        F.when(k.isNotNull(), F.expr(f"event_id div {EVENTS_PER_RATE}")).cast("string").alias("id"),
         labels.alias(LABELS_COLUMN),
     )
 
 
 def rate_lookup_from_part(part: DataFrame) -> DataFrame:
-    """Rate lookup (one row per ``rate_id``) derived from ``part``."""
-    return part.filter(F.col("p_partkey") < LOOKUP_MAX_RATE_ID).select(
+    """Rate lookup (one row per ``rate_id``): every part."""
+    return part.select(
         F.col("p_partkey").cast("string").alias("rate_id"),
         F.col("p_type").alias("new_rate_bucket"),
     )

@@ -16,53 +16,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABEL_TYPE = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
-LABELS_COLUMN = "ratePlan_tpaExtensions_labels_label"
-
-SEARCH_LOG_SCHEMA = T.StructType(
-    [
-        T.StructField("year", T.IntegerType()),
-        T.StructField("month", T.IntegerType()),
-        T.StructField("day", T.IntegerType()),
-        T.StructField("res_sessionID", T.StringType()),
-        T.StructField("hotel_id", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField(LABELS_COLUMN, T.ArrayType(LABEL_TYPE)),
-    ]
-)
-
-DATE_PARTS = ["year", "month", "day"]
+from innsight.fixed_values import DATE_PARTS, LABEL_FIELDS, LABELS_COLUMN, SEARCH_LOG_FIELDS  # noqa: F401  (re-exported)
+
+LABEL_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in LABEL_FIELDS])
+_KINDS = {"int": T.IntegerType(), "string": T.StringType(), "labels": T.ArrayType(LABEL_TYPE)}
+SEARCH_LOG_SCHEMA = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in SEARCH_LOG_FIELDS])
 
 
 @dataclass(frozen=True)
 class SearchWindow:
-    """A run of days inside one month, bounds inclusive."""
+    """A run of days, both ends inclusive; may cross months and years."""
+
+    first: datetime.date
+    last: datetime.date
+
+    def __post_init__(self) -> None:
+        if self.first > self.last:
+            raise ValueError(f"the window ends ({self.last}) before it begins ({self.first})")
 
-    year: int
-    month: int
-    first_day: int
-    last_day: int
+    @classmethod
+    def between(cls, first: str | None, last: str | None) -> SearchWindow | None:
+        """The window of two ISO dates, None for none; one without the other is an error."""
+        if (first is None) != (last is None):
+            raise ValueError("a window needs its first and its last day")
+        return cls(datetime.date.fromisoformat(first), datetime.date.fromisoformat(last)) if first else None
 
     def predicate(self) -> Column:
-        """Filter on the date partition columns (prunes directories)."""
-        return (
-            (F.col("year") == self.year)
-            & (F.col("month") == self.month)
-            & F.col("day").between(self.first_day, self.last_day)
-        )
+        """Filter on the date partition columns (prunes directories), one term per month."""
+        terms = []
+        month = self.first.replace(day=1)
+        while month <= self.last:
+            following = (month + datetime.timedelta(days=31)).replace(day=1)
+            start, end = max(self.first, month), min(self.last, following - datetime.timedelta(days=1))
+            term = (F.col("year") == month.year) & (F.col("month") == month.month)
+            terms.append(term & F.col("day").between(start.day, end.day))
+            month = following
+        out = terms[0]
+        for term in terms[1:]:
+            out = out | term
+        return out
 
     def timestamp_bounds(self) -> tuple[datetime.datetime, datetime.datetime]:
         """``[start, end)`` as timestamps, for sources keyed by an event time."""
-        start = datetime.datetime(self.year, self.month, self.first_day)
-        end = datetime.datetime(self.year, self.month, self.last_day) + datetime.timedelta(days=1)
-        return start, end
+        start = datetime.datetime.combine(self.first, datetime.time())
+        return start, datetime.datetime.combine(self.last, datetime.time()) + datetime.timedelta(days=1)
 
 
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:

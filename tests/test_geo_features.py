@@ -12,19 +12,30 @@ from innsight.operators import features as feat
 from innsight.operators import geo
 
 
-def test_haversine_six_reference_rows(spark):
-    # (lat_a, lon_a, lat_b, lon_b) -> km, rounded to 0.1
-    rows = [
-        (0.0, 0.0, 0.0, 0.0, 0.0),
-        (0.0, 90.0, 0.0, 90.0, 0.0),
-        (0.0, -90.0, 0.0, -90.0, 0.0),
-        (-180.0, 0.0, -180.0, 0.0, 0.0),
-        (180.0, 0.0, 180.0, 0.0, 0.0),
-        (0.0, -90.0, 0.0, 90.0, 20015.1),
+def test_haversine_known_distances(spark):
+    def by_vectors(lat_a, lon_a, lat_b, lon_b):
+        """The same distance another way: the angle between unit vectors."""
+        a, b = (
+            (math.cos(math.radians(la)) * math.cos(math.radians(lo)), math.cos(math.radians(la)) * math.sin(math.radians(lo)),
+             math.sin(math.radians(la)))
+            for la, lo in ((lat_a, lon_a), (lat_b, lon_b))
+        )
+        cross = math.hypot(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+        return 6371.0 * math.atan2(cross, sum(x * y for x, y in zip(a, b)))
+
+    half_turn = math.pi * 6371.0
+    rows = [  # (lat_a, lon_a, lat_b, lon_b, km)
+        (90.0, 17.0, -90.0, -120.0, half_turn),  # pole to pole, whatever the longitudes
+        (90.0, 0.0, 0.0, 45.0, half_turn / 2),  # pole to equator
+        (10.0, 179.5, 10.0, -179.5, by_vectors(10.0, 179.5, 10.0, -179.5)),  # across the date line
+        (25.0, 40.0, -25.0, -140.0, half_turn),  # an antipode
+        (52.5200, 13.4050, 48.8566, 2.3522, by_vectors(52.5200, 13.4050, 48.8566, 2.3522)),  # Berlin, Paris
+        (35.6762, 139.6503, -33.8688, 151.2093, by_vectors(35.6762, 139.6503, -33.8688, 151.2093)),  # Tokyo, Sydney
+        (None, 0.0, 0.0, 0.0, None),
     ]
     df = spark.createDataFrame(rows, "la double, oa double, lb double, ob double, want double")
-    got = df.select(F.round(haversine_km("la", "oa", "lb", "ob"), 1).alias("km"), "want").collect()
-    assert [r["km"] for r in got] == [r["want"] for r in got]
+    for r in df.select(haversine_km("la", "oa", "lb", "ob").alias("km"), "want").collect():
+        assert r["km"] == (None if r["want"] is None else pytest.approx(r["want"], rel=1e-7))
 
 
 def test_haversine_is_clamped_near_antipodes(spark):
@@ -102,12 +113,10 @@ def test_scaling_zero_variance_single_row_and_null(spark):
 
 def test_bounds_equal_per_city_quantile_loop_on_fixture(spark):
     """The one-pass bounds equal the source job's per-city ``approxQuantile(..., 0)`` loop."""
-    from innsight.operators import compset as cs
     from innsight.operators import properties
     from innsight.sources import fixtures as fx
 
-    props = cs.one_row_per_property(properties.property_metrics(fx.fixture_bookings(spark, "/root/testdata/sf0.001")))
-    props = props.cache()
+    props = properties.property_metrics(fx.fixture_bookings(spark, "/root/testdata/sf0.001")).cache()
     ours = {r["city_code"]: (r["x_lo"], r["x_hi"], r["y_lo"], r["y_hi"]) for r in geo.geo_bounds(props).collect()}
     cities = [r[0] for r in props.select("city_code").distinct().collect()]
     assert len(cities) > 10
@@ -119,8 +128,7 @@ def test_bounds_equal_per_city_quantile_loop_on_fixture(spark):
     props.unpersist()
 
 
-@pytest.mark.parametrize("bins,small", [(4, 10), (16, 50)])
-def test_select_ranks_refinement_equals_sorting(spark, bins, small):
+def test_select_ranks_equals_sorting(spark):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -136,5 +144,12 @@ def test_select_ranks_refinement_equals_sorting(spark, bins, small):
         for j, r in enumerate({1, len(vs), max(1, len(vs) // 3), max(1, (len(vs) * 97) // 100)}):
             wanted.append((g, f"t{j}", int(r), float(np.sort(vs)[r - 1])))
     targets = spark.createDataFrame([(g, w, r) for g, w, r, _ in wanted], "city_code string, _which string, _rank long")
-    got = {(r["city_code"], r["_which"]): r["_v"] for r in geo.select_ranks(values, targets, ["city_code"], bins, small).collect()}
+    got = {(r["city_code"], r["_which"]): r["_v"] for r in geo.select_ranks(values, targets, ["city_code"]).collect()}
     assert got == {(g, w): v for g, w, _, v in wanted}
+
+
+def test_left_out_rows_are_counted(spark):
+    rows = [("a", 1.0, 1.0, 3, 9.0), ("a", 1.0, None, 3, 9.0), ("a", 1.0, 2.0, None, None), ("b", 1.0, 1.0, 3, 9.0)]
+    df = spark.createDataFrame(rows, "city_code string, x double, y double, star_rating_number int, avg_adr double")
+    got = {r["city_code"]: (r["property_rows"], r["left_out"]) for r in feat.left_out_rows(df).collect()}
+    assert got == {"a": (3, 2), "b": (1, 0)}

@@ -1,4 +1,4 @@
-"""kNN (exact, salted, LSH), property metrics and competitive-set invariants."""
+"""kNN (exact, LSH), property metrics and competitive-set invariants."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from innsight.operators import compset as cs
 from innsight.operators import knn, properties
+from innsight.plans.inspect import plan_text
 from innsight.sources import fixtures as fx
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -42,11 +43,10 @@ def _as_dict(df):
     return {(r["city_code"], r[knn.TARGET_ID], r[knn.NEIGHBOUR_ID]): r[knn.RANK] for r in df.collect()}
 
 
-@pytest.mark.parametrize("plan", ["broadcast", "salted"])
-def test_knn_exact_equals_brute_force(spark, plan):
+@pytest.mark.parametrize("leaf_size", [None, 10])
+def test_knn_exact_equals_brute_force(spark, leaf_size):
     df, rows = _points(spark)
-    opts = {} if plan == "broadcast" else {"max_broadcast_rows": 0, "pairs_per_task": 50}
-    got = knn.knn_exact(df, ["f0", "f1", "f2"], k=10, **opts)
+    got = knn.knn_exact(df, ["f0", "f1", "f2"], k=10, leaf_size=leaf_size)
     assert _as_dict(got) == _brute_force(rows, 10)
 
 
@@ -76,7 +76,7 @@ def test_knn_lsh_recall_on_embeddings(spark):
     approx = _as_dict(knn.knn_lsh(pts, feats, k=10, bucket_candidates=20, num_hash_tables=6))
     hit = len(set(exact) & set(approx)) / len(exact)
     assert hit > 0.5
-    assert set(approx) <= {(c, t, n) for (c, t, n) in approx if (c, t, t) in approx}  # target finds itself
+    assert len(approx) == len(exact)  # no target is short of neighbours
 
 
 def _bookings(spark):
@@ -114,12 +114,48 @@ def test_property_metrics_semantics(spark):
     assert p3["num_bookings"] == 1 and p3["star_rating_number"] is None  # 'x' is not a digit
 
 
-def test_property_metrics_one_pass_equals_join_form(spark):
-    b = fx.fixture_bookings(spark, SF_SMALL)
-    cols = properties.PROPERTY_COLUMNS
-    one = properties.property_metrics(b).select(*cols, F.round("avg_yield", 6).alias("ry")).drop("avg_yield", "avg_adr")
-    two = properties.property_metrics_by_join(b).select(*cols, F.round("avg_yield", 6).alias("ry")).drop("avg_yield", "avg_adr")
-    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+def test_property_metrics_equal_a_plain_fold(spark):
+    """Against the definition, row by row on the driver."""
+    bookings = _bookings(spark).collect()
+    latest, dates = {}, {}
+    for b in bookings:
+        name = (b["harp_property_id_no"], b["hotel_name"], b["hotel_chain_name"], b["city_code"], b["x"], b["y"])
+        dates[name] = max(dates.get(name, b["created_date"]), b["created_date"])
+        latest[name[0]] = max(latest.get(name[0], b["created_date"]), b["created_date"])
+    want = {}
+    for name, date in dates.items():
+        if date == latest[name[0]] and None not in name:
+            own = [
+                b for b in bookings
+                if (b["harp_property_id_no"], b["hotel_chain_name"], b["city_code"], b["x"], b["y"]) == (name[0], *name[2:])
+                and b["star_rating"] and len(b["star_rating"]) > 1
+            ]
+            if own:
+                want[name] = (len(own), max(b["star_rating"] for b in own), sum(b["yield"] for b in own) / len(own))
+    got = {tuple(r[c] for c in properties.NAME_KEYS): (r["num_bookings"], r["star_rating"], r["avg_yield"])
+           for r in properties.property_metrics(_bookings(spark)).collect()}
+    assert got == want
+
+
+def test_property_metrics_have_no_window_on_the_property(spark):
+    plan = plan_text(properties.property_metrics(fx.fixture_bookings(spark, SF_SMALL)), "simple")
+    assert "Window" not in plan and "FileScan parquet" in plan
+
+
+def test_two_locations_are_cleaned_before_one_row_is_picked(spark):
+    """A hotel whose better-booked location is invalid stays with its valid one."""
+    rows = [(f"p{i}", "N", "C", "c", float(i), float(i), 1, "3-STAR", 3, 10.0, 100.0 + i) for i in range(1, 40)]
+    rows += [("two", "N", "C", "c", 999.0, 20.0, 50, "4-STAR", 4, 10.0, 90.0), ("two", "N", "C", "c", 20.0, 20.0, 2, "4-STAR", 4, 10.0, 90.0)]
+    props = spark.createDataFrame(
+        rows, "harp_property_id_no string, hotel_name string, hotel_chain_name string, city_code string, x double, y double, "
+        "num_bookings long, star_rating string, star_rating_number int, avg_yield double, avg_adr double"
+    )
+    points = {r["harp_property_id_no"]: r for r in cs.prepare_points(props).collect()}
+    assert points["two"]["x"] == 20.0 and points["two"]["num_bookings"] == 2
+    # the deviations are those of all clean rows
+    clean = cs.geo_clean(props)
+    sd = clean.agg(F.stddev_samp("avg_adr")).first()[0]
+    assert points["two"]["scaled_avg_adr"] == pytest.approx(90.0 / sd)
 
 
 def test_comp_set_invariants(spark):
@@ -200,14 +236,58 @@ def _numpy_knn(rows, k):
     return out
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_knn_grid_equals_brute_force_on_large_groups(spark, rounds):
+def test_knn_equals_brute_force_on_large_groups(spark):
     df, rows = _large_groups(spark)
-    got = knn.knn_exact(df, ["f0", "f1", "f2", "f3"], k=10, brute_force_max=600,
-                        grid_candidates=60, grid_rounds=rounds)
+    got = knn.knn_exact(df, ["f0", "f1", "f2", "f3"], k=10)
     assert _as_dict(got) == _numpy_knn(rows, 10)
 
 
+def test_knn_of_many_equal_points(spark):
+    """Equal points cost k rows of the pool, not their number squared."""
+    df = spark.range(5000).select(
+        F.lit("c").alias("city_code"),
+        F.format_string("p%05d", "id").alias("harp_property_id_no"),
+        F.when(F.col("id") % 100 == 0, F.col("id").cast("double")).otherwise(F.lit(1.0)).alias("f0"),
+        F.lit(0.0).alias("f1"),
+    )
+    pool = knn.neighbour_pool(df, "city_code", "harp_property_id_no", ["f0", "f1"], 10)
+    assert pool.count() == 50 + 10
+    got = _as_dict(knn.knn_exact(df, ["f0", "f1"], k=10))
+    assert len(got) == 50_000
+    rows = [(r[0], r[1], r[2], r[3]) for r in df.collect()]
+    some = [r for i, r in enumerate(rows) if i % 500 in (0, 7)]
+    for city, pid, a, b in some:
+        order = sorted(rows, key=lambda r: ((r[2] - a) ** 2 + (r[3] - b) ** 2, r[1]))[:10]
+        assert [got[city, pid, r[1]] for r in order] == list(range(1, 11))
+
+
+def test_knn_pairs_stay_few_in_a_clustered_city(spark):
+    """20,000 points, 90% of them in a tight core: under 5% of all pairs, and the exact result."""
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.normal(0, 0.01, (18_000, 4)), rng.uniform(-50, 50, (2_000, 4))])
+    import pandas as pd
+
+    frame = pd.DataFrame(pts, columns=["f0", "f1", "f2", "f3"])
+    frame.insert(0, "city_code", "c")
+    frame.insert(1, "harp_property_id_no", [f"p{i:05d}" for i in range(len(frame))])
+    df = spark.createDataFrame(frame)
+    feats = ["f0", "f1", "f2", "f3"]
+    pool = knn.neighbour_pool(df, "city_code", "harp_property_id_no", feats, 10)
+    tree = knn.cell_tree(pool, "city_code", 4, knn.LEAVES_PER_K * 10)
+    leaves = tree.pool.groupBy("city_code", "_cell").count().agg(F.max("count"), F.sum("count")).first()
+    assert leaves[0] <= 40 and leaves[1] == 20_000
+    pairs = knn.candidate_pairs(tree, tree.pool.filter("_place = 1"), "city_code", 4, 10)
+    assert pairs < 0.05 * 20_000**2
+    got = {}
+    for r in knn.knn_exact(df, feats, k=10).filter("pmod(hash(target_property_harp_ID), 40) = 0").collect():
+        got.setdefault(r[knn.TARGET_ID], {})[r[knn.RANK]] = r[knn.NEIGHBOUR_ID]
+    assert len(got) > 300
+    for target, found in got.items():
+        d2 = ((pts - pts[int(target[1:])]) ** 2).sum(axis=1)
+        nearest = np.argsort(d2, kind="stable")[:10]
+        assert [found[k + 1] for k in range(10)] == [f"p{i:05d}" for i in nearest]
+
+
 def test_one_point_per_property_when_names_tie(spark):
     # p2 has two current names (tie on the latest date): the search gets one point, most bookings first
     props = properties.property_metrics(_bookings(spark))
@@ -235,25 +315,15 @@ def _hot_city_points(spark):
     return cs.prepare_points(properties.property_metrics(b.withColumn("city_code", hot)))
 
 
-def test_hot_city_grid_equals_brute_force_and_spreads_pairs(spark):
+def test_hot_city_equals_brute_force(spark):
     from innsight.operators.features import FEATURES, scaled_name
 
     pts = _hot_city_points(spark).cache()
     sizes = {r["city_code"]: r["count"] for r in pts.groupBy("city_code").count().collect()}
     assert sizes["HOT"] > 3 * max(v for c, v in sizes.items() if c != "HOT")
     feats = [scaled_name(f) for f in FEATURES]
-    brute = _as_dict(knn.knn_exact(pts, feats, k=10, brute_force_max=10**9))
-    grid = _as_dict(knn.knn_exact(pts, feats, k=10, brute_force_max=100, grid_candidates=40))
-    assert grid == brute
-    # the hot city's pairs are spread: no partition gets more than ~pairs_per_task pairs
-    t, n = knn._sides(pts.filter("city_code = 'HOT'"), "city_code", "harp_property_id_no", feats)
-    per_task = 20_000
-    for max_broadcast in (10**6, 0):  # broadcast plan, salted plan
-        pairs = knn._pairs(t, n, ["city_code"], per_task, max_broadcast)
-        counts = pairs.rdd.glom().map(len).collect()
-        assert sum(counts) == sizes["HOT"] ** 2
-        assert len(counts) >= sizes["HOT"] ** 2 // per_task
-        assert max(counts) <= 4 * per_task
+    rows = [tuple(r) for r in pts.select("city_code", "harp_property_id_no", *feats).collect()]
+    assert _as_dict(knn.knn_exact(pts, feats, k=10)) == _numpy_knn(rows, 10)
     pts.unpersist()
 
 
@@ -266,22 +336,22 @@ def test_report_with_ml_vectors(spark):
     assert r["features"][0] == r["longitude"]
 
 
-def test_knn_lsh_buckets_stay_small_on_a_large_group(spark, monkeypatch):
-    df, _ = _large_groups(spark)
+def test_knn_lsh_recall_on_a_large_group(spark):
+    df, rows = _large_groups(spark)
     big = df.filter("city_code = 'big'")
-    feats = ["f0", "f1", "f2", "f3"]
-    seen = {}
-    real_pairs = knn._pairs
-
-    def counting_pairs(t, n, keys, per_task, max_broadcast):
-        out = real_pairs(t, n, keys, per_task, max_broadcast)
-        seen["pairs"] = out.count()
-        return out
-
-    monkeypatch.setattr(knn, "_pairs", counting_pairs)
-    approx = _as_dict(knn.knn_lsh(big, feats, k=10))
-    monkeypatch.undo()
-    n = big.count()
-    assert seen["pairs"] < 0.1 * n * n * knn.DEFAULT_LSH_TABLES  # far from all pairs
-    exact = _as_dict(knn.knn_exact(big, feats, k=10, brute_force_max=10**9))
+    approx = _as_dict(knn.knn_lsh(big, ["f0", "f1", "f2", "f3"], k=10))
+    exact = _numpy_knn([r for r in rows if r[0] == "big"], 10)
+    assert len(approx) == len(exact)
     assert len(set(exact) & set(approx)) / len(exact) > 0.7
+
+
+def test_knn_lsh_completes_short_targets(spark):
+    """With buckets far too small, most targets are short and get the exact answer."""
+    df, rows = _points(spark)
+    got = _as_dict(knn.knn_lsh(df, ["f0", "f1", "f2"], k=10, bucket_candidates=1, num_hash_tables=1))
+    per_target = {}
+    for city, target, _ in got:
+        per_target[city, target] = per_target.get((city, target), 0) + 1
+    sizes = {c: sum(1 for r in rows if r[0] == c) for c in {r[0] for r in rows}}
+    assert len(per_target) == len(rows)
+    assert all(n == min(10, sizes[city]) for (city, _), n in per_target.items())

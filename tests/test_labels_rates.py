@@ -74,7 +74,7 @@ def test_rate_frequency_counts_distinct_rates(spark):
     ]
     log = spark.createDataFrame(rows, SEARCH_LOG_SCHEMA)
     lookup = spark.createDataFrame([("a", "CNR"), ("b", "CNR")], "rate_id string, new_rate_bucket string")
-    freq = rates.rate_frequency(log, lookup, SearchWindow(2019, 5, 24, 30))
+    freq = rates.rate_frequency(log, lookup, SearchWindow.between("2019-05-24", "2019-05-30"))
     got = sorted(((r["new_rate_bucket"], r[T], r["top3_rate_flag"], r["responses"]) for r in freq.collect()), key=repr)
     assert got == sorted([("CNR", "BAR", 1, 2), ("OTHER", None, 0, 1), ("OTHER", "BAR", 0, 1)], key=repr)
     summary = {(r[T], r["top3_rate_flag"]): r["total_responses"] for r in rates.rate_summary(freq).collect()}

@@ -14,10 +14,6 @@ ORACLES = registry.oracle_sql()
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, name):
     df = registry.queries()[name](spark, SF_SMALL)
-    if name not in ORACLES:
-        assert name == "knn_lsh"  # the only approximate query
-        assert df.count() > 0
-        return
     ok, msg = compare(df, SF_SMALL, ORACLES[name])
     assert ok, msg
 
