@@ -11,8 +11,8 @@ reachable are marked and never tried again, so a word takes time linear in its
 length.
 
 Compatibility is found from the ranks at which tokens are formed and kept in a
-table; words and white-space-free pieces of text are kept with their ids. These
-tables are bounded and only save time.
+table; words are kept with their ids. These tables are bounded and only save
+time.
 
 Defined cases: a null text counts as empty and has no ids; no ids decode to an
 empty text; special tokens written in a text get their own ids; rows repeated
@@ -23,27 +23,34 @@ are kept by ``with_ids`` and ``with_decoded``.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from innsight.llm.tables import column, free_name, read_table, worker_state
 
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 250_000  # of each of two generations
+CACHED_PAIRS = 400_000
+SLICE = 512  # rows handled at once
 END = "Ā"  # stands for the end of a word; bytes are U+0000 to U+00FF
 END_SUFFIX = "</w>"
-PLAIN_BELOW = "ɐ"  # characters below need no normalising but lower case
 
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
-_SPACES = regex.compile(r"\p{White_Space}+")
+# Fixed value: the word split that the fast path below is equal to.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: other characters need no normalising but lower case, and stay among these classes
+_not_plain = re.compile("[^\0-\u017f]").search
+_L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_plain_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
 
 
 def byte_characters() -> dict[str, int]:
@@ -147,6 +154,27 @@ class Vocabulary:
             symbols[i : i + 2] = [made]
 
 
+class _Words(dict):
+    """Word -> ids, encoded when asked for first. What was not asked for in two fillings goes."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode((word if word.isascii() else word.encode().decode("latin-1")) + END)
+        self[word] = ids
+        return ids
+
+
+_NOTHING = (0, (None, 0))
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -160,15 +188,14 @@ class Encoder:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.byte_of = byte_characters()
         self.special = (
-            regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")")
+            re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")")
             if vocabulary.specials
             else None
         )
-        pattern = json.loads(vocabulary.json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words_of = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words, self.older_words = {}, {}
-        self.pieces, self.older_pieces = {}, {}
+        given = json.loads(vocabulary.json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.plain = given == WORD_SPLIT
+        self.pairs: dict[int, bool] = {}
+        self.words = _Words(self.encode_word)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined text of two tokens gives the two tokens.
@@ -199,24 +226,33 @@ class Encoder:
         if whole is not None:
             return (whole,)
         longest_match = self.automaton.iter_long
-        fits = self.fits
-        if len(self.pairs) > CACHED_PAIRS:
-            self.pairs.clear()
         greedy = [token for _, (token, _) in longest_match(word)]
-        if all(map(fits, greedy, greedy[1:])) and greedy[-1] in self.closing:
+        pairs, fits = self.pairs, self.fits
+        if len(pairs) > CACHED_PAIRS:
+            pairs.clear()
+        # the longest tokens one after another are right as far as neighbours fit
+        good, last = 1, greedy[0]
+        for token in greedy[1:]:
+            known = pairs.get(last << 20 | token)
+            if not (fits(last, token) if known is None else known):
+                break
+            good, last = good + 1, token
+        if good == len(greedy) and last in self.closing:
             return tuple(greedy)
         n = len(word)
-        length, shorter, pairs = self.length, self.v.shorter, self.pairs
+        length, shorter = self.length, self.v.shorter
         dead = bytearray(n + 1)
-        out: list[int] = []
-        at = 0
-        token = greedy[0]
+        out = greedy[:good]
+        at = sum([length[t] for t in out])
+        token = shorter.get(greedy[good]) if good < len(greedy) else None
         while at < n:
             while token is not None:
                 to = at + length[token]
                 if not dead[to]:
-                    known = pairs.get((out[-1], token)) if out else True
-                    if known or (known is None and fits(out[-1], token)):
+                    if not out:
+                        break
+                    known = pairs.get(out[-1] << 20 | token)
+                    if fits(out[-1], token) if known is None else known:
                         break
                 token = shorter.get(token)
             if token is None:  # no way on from here
@@ -227,90 +263,72 @@ class Encoder:
             else:
                 out.append(token)
                 at = to
-                token = next(longest_match(word, at), (0, (None, 0)))[1][0] if at < n else None
+                if at < n:
+                    _, (token, _) = next(longest_match(word, at), _NOTHING)
         return tuple(out)
 
     def fits(self, left: int, right: int) -> bool:
-        """The pair table: ``compatible``, looked up."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = self.pairs[left, right] = self.compatible(left, right)
+        """``compatible``, kept in the pair table."""
+        known = self.pairs[left << 20 | right] = self.compatible(left, right)
         return known
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a run of text without white space."""
-        if max(piece) < PLAIN_BELOW:
-            lower = piece.lower()
-            words = (lower,) if lower.isalpha() else self.words_of(lower)
-            if not lower.isascii():
-                words = [w.encode().decode("latin-1") for w in words]
-        else:
-            split = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(piece))
-            words = ["".join(chr(self.byte_of[c]) for c in w) for w, _ in split]
-        out: tuple[int, ...] = ()
-        for word in words:
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self.older_words.get(word) or self.encode_word(word + END)
-            out += ids
-        return out
-
     def encode(self, text: str) -> list[int]:
-        # what was not asked for since the table was last full goes
-        if len(self.words) > CACHED_WORDS:
-            self.words, self.older_words = {}, self.words
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces, self.older_pieces = {}, self.pieces
-        out: list[int] = []
         specials = self.v.specials
-        parts = self.special.split(text) if self.special and any(s in text for s in specials) else (text,)
-        for part in parts:
-            if part in specials:
-                out.append(specials[part])
-                continue
-            pieces = self.pieces
-            for piece in _SPACES.split(part) if _SEPARATORS.search(part) else part.split():
-                ids = pieces.get(piece)
-                if ids is None:
-                    if not piece:
-                        continue
-                    ids = self.older_pieces.get(piece)
-                    if ids is None:
-                        ids = self.encode_piece(piece)
-                    pieces[piece] = ids
-                out += ids
+        if self.special is None or not any(s in text for s in specials):
+            return self._ids(text)
+        out: list[int] = []
+        for part in self.special.split(text):
+            out += [specials[part]] if part in specials else self._ids(part)
         return out
 
+    def _ids(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        if self.plain and (text.isascii() or not _not_plain(text)):
+            words = _plain_words(text.lower())
+        else:
+            split = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
+            words = [bytes([self.byte_of[c] for c in word]).decode() for word, _ in split]
+        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+
 
 def _in_worker(shared, kind: str, make):
-    """The worker's object of this kind for a broadcast vocabulary; the one used last is kept."""
-    kept = worker_state("bpe", dict)
+    """The worker's object made of a broadcast vocabulary; that of the vocabulary used last is kept."""
+    kept = worker_state(f"bpe_{kind}", dict)
     vocabulary = shared.value
-    if kept.get("for") != hash(vocabulary.json):
-        kept.clear()
-        kept["for"] = hash(vocabulary.json)
-    if kind not in kept:
-        kept[kind] = make(vocabulary)
-    return kept[kind]
+    if kept.get("json") != vocabulary.json:
+        kept.update(json=vocabulary.json, made=make(vocabulary))
+    return kept["made"]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows, so that what is made of one batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
+    """``df`` with a column that ``make`` computes from each slice of its rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, make(part)], names=[*part.schema.names, name])
+
+    return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
 
 def with_ids(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the token ids of the text, array<int>. ``path`` is read on the driver only."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    place = df.columns.index(text_col)
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(part: pa.RecordBatch) -> pa.Array:
         encoder = _in_worker(shared, "encoder", Encoder)
-        counts, flat = [0], []
-        for text in texts:
-            ids = encoder.encode(text.as_py() or "")
-            flat.append(np.array(ids, dtype=np.int32))
-            counts.append(len(ids))
-        values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(values))
+        ids = [np.array(encoder.encode(t.as_py() or ""), dtype=np.int32) for t in part.column(place)]
+        ends = np.cumsum([0, *map(len, ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
 
-    # so marked, Spark does not inline it into every column derived from the ids
-    return df.withColumn(into, encode.asNondeterministic()(column(df, text_col)))
+    return _with_column(df, into, T.ArrayType(T.IntegerType()), encode)
 
 
 def offset_table(names: list[str]) -> pa.Array:
@@ -322,16 +340,20 @@ def offset_table(names: list[str]) -> pa.Array:
 
 def with_decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids, as the library's decode(ids, skip_special_tokens=False) writes it."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-
-    @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        table = _in_worker(shared, "offsets", lambda v: offset_table(v.names))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path).names)
+    place = df.columns.index(ids_col)
+
+    def decode(part: pa.RecordBatch) -> pa.Array:
+        kept = worker_state("bpe_offsets", dict)
+        names = shared.value
+        if kept.get("names") != names:
+            kept.update(names=names, table=offset_table(names))
+        ids = part.column(place)
         ids = ids.fill_null([]) if ids.null_count else ids
-        lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), table.take(ids.flatten()))
+        lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), kept["table"].take(ids.flatten()))
         return pc.binary_join(lists, " ")
 
-    return df.withColumn(into, decode(column(df, ids_col)))
+    return _with_column(df, into, T.StringType(), decode)
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -345,7 +367,8 @@ def digests(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
 ) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row, with the ids too if wanted."""
-    both = encode_decode(df.select(column(df, id_col).alias(id_col), column(df, text_col).alias("text")), path)
+    given = df.select(column(df, id_col).alias(id_col), column(df, text_col).alias("text"))
+    both = with_decoded(with_ids(given, path).drop("text"), path)
     return both.select(
         id_col,
         *["ids"] * keep_ids,
