@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 # Element classes of the HTML standard.
+SECTIONING = frozenset("article aside dialog footer form header main nav".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg math".split())
 BLOCK = frozenset(
@@ -46,6 +47,7 @@ class Block:
     text: str  # white space as one space, references decoded
     leaf: str  # innermost block-level element
     marks: frozenset[str]  # ancestors' tags, "#"-words of their class, id and role
+    inner: frozenset[str]  # those of the innermost ancestor that sections or has such words
     linked: int  # characters inside links
 
 
@@ -64,23 +66,23 @@ def _marks(name: str, attributes: str) -> set[str]:
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order. Scripts, styles, comments and the title are no blocks."""
     blocks: list[Block] = []
-    # (tag, marks of it and its ancestors, innermost block-level element)
-    stack: list[tuple[str, frozenset[str], str]] = [("", frozenset(), "")]
+    # (tag, marks of it and its ancestors, innermost block-level element, marks of the innermost section)
+    stack: list[tuple[str, frozenset[str], str, frozenset[str]]] = [("", frozenset(), "", frozenset())]
     open_tags: Counter = Counter()
     pieces: list[str] = []
     linked = 0
-    where: tuple[str, frozenset[str], str] | None = None
+    where: tuple[str, frozenset[str], str, frozenset[str]] | None = None
 
     def flush() -> None:
         nonlocal pieces, linked, where
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and where is not None:
-                blocks.append(Block(text, where[2], where[1], linked))
+                blocks.append(Block(text, where[2], where[1], where[3], linked))
             pieces, linked, where = [], 0, None
 
     def pop_to(depth: int) -> None:
-        for name, _, _ in stack[depth:]:
+        for name, *_ in stack[depth:]:
             open_tags[name] -= 1
         del stack[depth:]
 
@@ -116,7 +118,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 depth = len(stack) - 1
                 while stack[depth][0] != name:
                     depth -= 1
-                if any(tag in BLOCK for tag, _, _ in stack[depth + 1 :]):
+                if any(tag in BLOCK for tag, *_ in stack[depth + 1 :]):
                     flush()
                 pop_to(depth)
             continue
@@ -133,9 +135,11 @@ def leaf_blocks(page: str) -> list[Block]:
         elif name == "br":
             pieces.append(" ")
         if name not in VOID:
-            _, marks, block = stack[-1]
+            _, marks, block, inner = stack[-1]
             own = _marks(name, token["attributes"])
-            stack.append((name, marks | own if not own <= marks else marks, name if name in BLOCK else block))
+            if name in SECTIONING or (len(own) > 1 and name in BLOCK):
+                inner = frozenset(own)
+            stack.append((name, marks | own if not own <= marks else marks, name if name in BLOCK else block, inner))
             open_tags[name] += 1
     flush()
     return blocks

@@ -13,6 +13,8 @@ import random
 
 # Usual markup, as (open tag, close tag).
 ARTICLES = [
+    ("<article>", "</article>"),
+    ("<article>", "</article>"),
     ("<article>", "</article>"),
     ('<article class="post">', "</article>"),
     ("<main>", "</main>"),
@@ -63,6 +65,12 @@ COMMENTS = [
     ('<article class="comment">', "</article>"),
     ('<div class="replies">', "</div>"),
 ]
+ITEMS = [
+    ("<article>", "</article>"),
+    ("<div>", "</div>"),
+    ('<div class="comment-body">', "</div>"),
+    ('<article class="comment">', "</article>"),
+]
 MENUS = [
     ("<nav>", "</nav>"),
     ('<nav class="menu">', "</nav>"),
@@ -109,16 +117,17 @@ class _Page:
         if opened.startswith("<p") or self.rng.random() < 0.5:
             self.block(opened, closed, self.words(1, 25), False)
             return
-        self.out.append(opened)
+        item = self.rng.choice([("", ""), ("", ""), *ITEMS[:2]])
+        self.out.append(opened + item[0])
         if self.rng.random() < 0.4:
             self.block("<h3>", "</h3>", self.words(1, 4), False)
         for _ in range(self.rng.randint(1, 3)):
             self.paragraph(False, 1, 30)
-        self.out.append(closed)
+        self.out.append(item[1] + closed)
 
     def comments(self) -> None:
         opened, closed = self.rng.choice(COMMENTS)
-        item = ("<li>", "</li>") if opened.startswith("<ol") else ("<div>", "</div>")
+        item = ("<li>", "</li>") if opened.startswith("<ol") else self.rng.choice(ITEMS)
         self.out.append(opened)
         for _ in range(self.rng.randint(1, 4)):
             self.out.append(item[0])
@@ -192,15 +201,16 @@ def labelled_pages(count: int, seed: int = 9) -> list[tuple[str, list[bool]]]:
     for _ in range(count):
         page = _Page(rng)
         page.out.append("<!DOCTYPE html><html><head><title>" + page.words(1, 5) + "</title></head><body>")
-        if rng.random() < 0.6:
+        alone = rng.random() < 0.25  # an article and nothing else
+        if not alone and rng.random() < 0.6:
             opened, closed = rng.choice(HEADERS)
             page.block(opened, closed, page.words(1, 6), False)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(0 if alone else rng.randint(0, 3)):
             page.distraction()
         page.article()
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(0 if alone else rng.randint(0, 3)):
             page.distraction()
-        if rng.random() < 0.8:
+        if not alone and rng.random() < 0.8:
             page.footer()
         page.out.append("</body></html>")
         pages.append(("".join(page.out), page.labels))
