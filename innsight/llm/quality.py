@@ -165,11 +165,12 @@ def _collect_features(df: DataFrame) -> np.ndarray:
         for batch in batches:
             rows = [features(t) for t in binary_values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.string()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))],
+                [batch.column("id"), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))],
                 names=["id", "x"],
             )
 
-    rows = df.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(describe, "id string, x array<double>")
+    rows = df.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(describe, "id string, x array<double>")
     found = sorted(rows.collect())  # a bounded sample; sorted, so that reruns agree
     return np.array([r.x for r in found]).reshape(len(found), FEATURES)
 
