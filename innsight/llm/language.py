@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,9 +35,9 @@ from pyspark.sql import functions as F
 from innsight.llm.tables import column, crc_remainder, free_name, materialize, read_table, worker_state
 
 MAX_GRAM = 4
-MIN_SHARE = 2e-5  # smallest share of a word or n-gram in some language
+MIN_SHARE = 5e-5  # smallest share of a word or n-gram in some language
 MAX_ROWS_PER_LANGUAGE = 2_000  # labelled rows that the model is fitted on, about
-CACHED_WORDS = 200_000  # scores of words that a worker keeps
+CACHED_CHUNKS = 150_000  # runs of text whose scores a worker keeps, in each of two generations
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -61,31 +60,40 @@ def grams(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies of units: a row of ``values`` per unit, a column per language."""
+
+    row: dict[str, int]
+    values: np.ndarray
+
+
 @dataclass
 class Model:
-    """Log frequencies per language: tables[0] of words, tables[n] of n-grams."""
+    """tables[0] of words, tables[n] of n-grams."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]] = field(default_factory=list)
+    tables: list[Table] = field(default_factory=list)
 
     def word(self, word: str) -> np.ndarray | None:
         """Log frequency of a word per language, from the longest unit known."""
-        known = self.tables[0].get(word)
+        known = self.tables[0].row.get(word)
         if known is not None:
-            return known
+            return self.tables[0].values[known]
         for size in range(MAX_GRAM, 0, -1):
-            table = self.tables[size]
-            hits = [table[g] for g in grams(word, size) if g in table]
+            row = self.tables[size].row
+            hits = [row[g] for g in grams(word, size) if g in row]
             if hits:
-                return np.mean(hits, axis=0)
+                return self.tables[size].values[hits].sum(axis=0) / len(hits)
         return None
 
-    def scores(self, text: str, cache: WordCache) -> np.ndarray | None:
+    def scores(self, text: str, cache: ChunkScores) -> np.ndarray | None:
         """Posterior of each language, or None if no word of the text is scored."""
-        counts = word_counts(text)
-        rows = cache.rows_of(counts, self)
+        counts = Counter(text.lower().split())
+        cache.make_room(len(counts))
+        rows = np.fromiter(map(cache.__getitem__, counts), np.int64, len(counts))
         weights = np.fromiter(counts.values(), float, len(counts))
-        summed = weights @ cache.values[rows] if len(rows) else np.zeros(len(self.languages) + 1)
+        summed = weights @ cache.values[rows]
         if not summed[-1]:
             return None
         total = summed[:-1]
@@ -93,31 +101,39 @@ class Model:
         return odds / odds.sum()
 
 
-class WordCache:
-    """Scores of words seen by a worker: a bounded table and a row number per word.
+class ChunkScores(dict):
+    """Run of text without white space -> row of ``values``: its words' scores summed, and how many are scored.
 
-    The last column is 1 for a word that the model scores, else the row is 0.
+    Computed when asked for first. The table is bounded; when it is full, the
+    runs that were not asked for since it was last full go.
     """
 
-    def __init__(self, languages: int):
-        self.number: dict[str, int] = {}
-        self.values = np.zeros((CACHED_WORDS, languages + 1))
-
-    def rows_of(self, words: Counter, model: Model) -> np.ndarray:
-        if len(self.number) + len(words) > len(self.values):
-            self.number.clear()
-            if len(words) > len(self.values):
-                self.values = np.zeros((2 * len(words), self.values.shape[1]))
-        number, rows = self.number, []
-        for word in words:
-            row = number.get(word)
-            if row is None:
-                row = number[word] = len(number)
-                found = model.word(word)
-                self.values[row, -1] = found is not None
-                self.values[row, :-1] = 0 if found is None else found
-            rows.append(row)
-        return np.array(rows, dtype=np.int64)
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.values = np.zeros((CACHED_CHUNKS, len(model.languages) + 1))
+        self.older: tuple[dict, np.ndarray] = ({}, self.values)
+
+    def make_room(self, wanted: int) -> None:
+        """Room for ``wanted`` more runs."""
+        if len(self) + wanted > len(self.values):
+            self.older = (dict(self), self.values)
+            self.values = np.zeros((max(CACHED_CHUNKS, wanted), self.values.shape[1]))
+            self.clear()
+
+    def __missing__(self, chunk: str) -> int:
+        row = self[chunk] = len(self)
+        older, values = self.older
+        known = older.get(chunk)
+        if known is not None:
+            self.values[row] = values[known]
+            return row
+        for word in (chunk,) if chunk.isalpha() else _LETTERS.findall(chunk):
+            found = self.model.word(word)
+            if found is not None:
+                self.values[row, :-1] += found
+                self.values[row, -1] += 1
+        return row
 
 
 def fit(
@@ -133,7 +149,7 @@ def fit(
     ).filter("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
-        return Model([], [{} for _ in range(MAX_GRAM + 1)])
+        return Model([])
     share = F.create_map(
         *[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_rows_per_language / n))]
     )
@@ -184,7 +200,7 @@ def fit(
         # an entry a language lacks has fewer than MIN_SHARE of it; half of that stands in
         share_of = (part.to_numpy(dtype=float) + 0.0) / np.maximum(total, 1.0)
         logs = np.log(np.maximum(share_of, MIN_SHARE / 2))
-        model.tables.append(dict(zip(part.index, logs, strict=True)))
+        model.tables.append(Table({unit: i for i, unit in enumerate(part.index)}, logs))
     return model
 
 
@@ -193,30 +209,33 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", into: str
     shared = df.sparkSession.sparkContext.broadcast(model)
     fitted_as = uuid.uuid4().hex
 
-    @F.pandas_udf("lang string, score double")
-    def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def identify(texts: pa.Array) -> pa.Array:
         fitted = shared.value
         caches = worker_state("language_scores", dict)  # of the model used last
         if fitted_as not in caches:
             caches.clear()
-            caches[fitted_as] = WordCache(len(fitted.languages))
+            caches[fitted_as] = ChunkScores(fitted)
         cache = caches[fitted_as]
-        for batch in texts:
-            langs, scores = [], []
-            for text in batch:
-                posterior = fitted.scores(text, cache) if text and fitted.languages else None
-                if posterior is None:
-                    # letters, but none that any language has: the first language, without confidence
-                    letters = bool(text) and bool(fitted.languages) and _LETTERS.search(text)
-                    langs.append(fitted.languages[0] if letters else UNDETERMINED)
-                    scores.append(0.0)
-                else:
-                    best = int(posterior.argmax())
-                    langs.append(fitted.languages[best])
-                    scores.append(float(posterior[best]))
-            yield pd.DataFrame({"lang": langs, "score": scores})
-
-    return df.withColumn(into, identify(column(df, text_col)))
+        langs, scores = [], []
+        for value in texts:
+            text = value.as_py()
+            posterior = fitted.scores(text, cache) if text and fitted.languages else None
+            if posterior is None:
+                # letters, but none that any language has: the first language, without confidence
+                letters = bool(text) and bool(fitted.languages) and _LETTERS.search(text)
+                langs.append(fitted.languages[0] if letters else UNDETERMINED)
+                scores.append(0.0)
+            else:
+                best = int(posterior.argmax())
+                langs.append(fitted.languages[best])
+                scores.append(float(posterior[best]))
+        return pa.StructArray.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"]
+        )
+
+    # so marked, Spark does not inline it into every filter and column that uses it
+    return df.withColumn(into, identify.asNondeterministic()(column(df, text_col)))
 
 
 def keep_identified(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:

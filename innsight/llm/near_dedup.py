@@ -56,7 +56,7 @@ MISS = 1e-6
 BITS = 512
 MARGIN = 0.17
 TILE = 256
-CACHED_WORDS = 400_000  # word hashes a worker keeps
+CACHED_WORDS = 200_000  # word hashes a worker keeps
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

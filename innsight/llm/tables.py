@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,33 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.plans.lineage import scratch_path
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder; the path may belong to any store Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a ``local[...]`` session without that setting (a test, a laptop) gets a
-    folder below its warehouse; a cluster without it is an error.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm-checkpoints"
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+    """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
-    The stages after it restart from these files when an executor is lost. The
-    caller owns nothing: the folder goes with the session's checkpoint folder.
+    The stages after it restart from these files when an executor is lost. They
+    go with the current job's cuts, or when the process ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, f"llm-{label}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,15 +49,19 @@ def crc_remainder(id_col: Column, modulus: int) -> Column:
 
 
 def worker_state(key: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker, made on first use.
+    """An object that a Python worker keeps from task to task, made on first use.
 
     Functions are pickled by value and unpickled anew for each task, so a module
-    global would be rebuilt by every task.
+    global would be rebuilt by every task. Workers are shared by all stages of an
+    application; only the object asked for last is kept, so that the caches of
+    earlier stages do not add up.
     """
     home = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    if not hasattr(home, key):
-        setattr(home, key, make())
-    return getattr(home, key)
+    kept = home.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def binary_values(column: pa.Array) -> list[bytes]:
