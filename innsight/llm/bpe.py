@@ -39,8 +39,8 @@ from tokenizers import Tokenizer
 
 from innsight.llm.tables import column, free_name, read_table, worker_state
 
-CACHED_WORDS = 250_000  # of each of two generations
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 150_000  # of each of two generations
+CACHED_PAIRS = 300_000
 SLICE = 512  # rows handled at once
 END = "Ā"  # stands for the end of a word; bytes are U+0000 to U+00FF
 END_SUFFIX = "</w>"
@@ -291,9 +291,9 @@ class Encoder:
         return list(chain.from_iterable(map(self.words.__getitem__, words)))
 
 
-def _in_worker(shared, kind: str, make):
-    """The worker's object made of a broadcast vocabulary; that of the vocabulary used last is kept."""
-    kept = worker_state(f"bpe_{kind}", dict)
+def _in_worker(shared, make):
+    """The worker's object made of a broadcast vocabulary, kept while the same vocabulary is asked for."""
+    kept = worker_state(f"bpe_{make.__qualname__}", dict)
     vocabulary = shared.value
     if kept.get("json") != vocabulary.json:
         kept.update(json=vocabulary.json, made=make(vocabulary))
@@ -307,14 +307,30 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with a column that ``make`` computes from each slice of its rows."""
+def _with_columns(df: DataFrame, added: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with columns that ``make`` computes, as a list of arrays, from each slice of its rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, make(part)], names=[*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], names=[*part.schema.names, *added])
 
-    return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    fields = [T.StructField(name, kind) for name, kind in added.items()]
+    return df.mapInArrow(add, T.StructType([*df.schema.fields, *fields]))
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _encode_array(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids = [np.array(encoder.encode(t.as_py() or ""), dtype=np.int32) for t in texts]
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+
+
+def _decode_array(table: pa.Array, ids: pa.ListArray) -> pa.Array:
+    ids = ids.fill_null([]) if ids.null_count else ids
+    lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), table.take(ids.flatten()))
+    return pc.binary_join(lists, " ")
 
 
 def with_ids(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -322,13 +338,10 @@ def with_ids(df: DataFrame, path: str, text_col: str = "text", into: str = "ids"
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
     place = df.columns.index(text_col)
 
-    def encode(part: pa.RecordBatch) -> pa.Array:
-        encoder = _in_worker(shared, "encoder", Encoder)
-        ids = [np.array(encoder.encode(t.as_py() or ""), dtype=np.int32) for t in part.column(place)]
-        ends = np.cumsum([0, *map(len, ids)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    def encode(part: pa.RecordBatch) -> list[pa.Array]:
+        return [_encode_array(_in_worker(shared, Encoder), part.column(place))]
 
-    return _with_column(df, into, T.ArrayType(T.IntegerType()), encode)
+    return _with_columns(df, {into: IDS}, encode)
 
 
 def offset_table(names: list[str]) -> pa.Array:
@@ -340,27 +353,27 @@ def offset_table(names: list[str]) -> pa.Array:
 
 def with_decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids, as the library's decode(ids, skip_special_tokens=False) writes it."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path).names)
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
     place = df.columns.index(ids_col)
 
-    def decode(part: pa.RecordBatch) -> pa.Array:
-        kept = worker_state("bpe_offsets", dict)
-        names = shared.value
-        if kept.get("names") != names:
-            kept.update(names=names, table=offset_table(names))
-        ids = part.column(place)
-        ids = ids.fill_null([]) if ids.null_count else ids
-        lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), kept["table"].take(ids.flatten()))
-        return pc.binary_join(lists, " ")
+    def decode(part: pa.RecordBatch) -> list[pa.Array]:
+        table = _in_worker(shared, lambda v: offset_table(v.names))
+        return [_decode_array(table, part.column(place))]
 
-    return _with_column(df, into, T.StringType(), decode)
+    return _with_columns(df, {into: T.StringType()}, decode)
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and ``decoded`` (names lengthened where taken)."""
-    ids = free_name(df, "ids")
-    out = with_ids(df, path, text_col, ids)
-    return with_decoded(out, path, ids, free_name(out, "decoded"))
+    """``df`` with ``ids`` and ``decoded`` (names lengthened where taken), both made in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    place = df.columns.index(text_col)
+
+    def both(part: pa.RecordBatch) -> list[pa.Array]:
+        encoder, table = _in_worker(shared, lambda v: (Encoder(v), offset_table(v.names)))
+        ids = _encode_array(encoder, part.column(place))
+        return [ids, _decode_array(table, ids)]
+
+    return _with_columns(df, {free_name(df, "ids"): IDS, free_name(df, "decoded"): T.StringType()}, both)
 
 
 def digests(
@@ -368,7 +381,7 @@ def digests(
 ) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row, with the ids too if wanted."""
     given = df.select(column(df, id_col).alias(id_col), column(df, text_col).alias("text"))
-    both = with_decoded(with_ids(given, path).drop("text"), path)
+    both = encode_decode(given, path).drop("text")
     return both.select(
         id_col,
         *["ids"] * keep_ids,

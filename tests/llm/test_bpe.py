@@ -96,6 +96,13 @@ def test_cases(spark, library):
     assert bpe.digests(df.filter("1 = 0"), bpe.vocabulary_path()).count() == 0
 
 
-def test_text_goes_through_one_encoder(spark):
+def test_one_pass(spark):
     plan = bpe.op4_bpe(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 2  # encode, decode
+    assert plan.count("MapInArrow") == 1
+
+
+def test_apart_and_together_agree(spark):
+    df = read_table(spark, SF, "documents").select("doc_id", "text")
+    path = bpe.vocabulary_path()
+    apart = bpe.with_decoded(bpe.with_ids(df, path), path)
+    assert sorted(apart.collect()) == sorted(bpe.encode_decode(df, path).collect())
