@@ -22,6 +22,8 @@ position; an empty table gives an empty result; other columns are ignored by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from innsight.llm.ranks import bucket_digits, running_sum
 from innsight.llm.tables import column, free_name, materialize, read_table
 
 MAX_EPOCHS = 3  # a target stops at this many times its source's size
-TOP_UPS = 4  # single documents added after the partial pass to close its gap
+TOP_UPS = 4  # largest fitting documents added to the partial pass before it goes on in order
 #: start and end of the weight schedule, as multiples of a source's average weight,
 #: by its weight class: light sources fade in, heavy ones fade out
 SCHEDULE = {1: (0.5, 1.5), 2: (1.0, 1.0), 3: (1.5, 0.5)}
@@ -115,14 +117,23 @@ def demand_position(fraction: Column, start: Column, end: Column) -> Column:
     )
 
 
+def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
+    return gaps.join(used.select("source", "used"), "source", "left").select(
+        "source", "partial", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
+    )
+
+
 def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP_UPS) -> DataFrame:
-    """Plan the mix of (id, source, size, key, tag): adds source_size, weight, target, copies, taken, before.
+    """Plan the mix of (id, source, size, key, tag): adds source_size, weight, target, copies, taken, before, place.
 
     ``key`` is a fixed hash that orders the documents of a source. Whole passes
     go to every document; the partial pass takes documents in the order of
-    ``key`` as long as their words fit, and ``top_ups`` times the largest
-    document that still fits in the gap. The tables of one row per source are
-    written, so that Spark knows their size and broadcasts only small ones.
+    ``key`` as long as their words fit, then ``top_ups`` times the largest
+    document that still fits in the gap, then again and again those left that fit
+    in the order of ``key``, until no document left fits. ``before`` is the words
+    ahead of a document in a whole pass, ``place`` in the partial pass. The tables
+    of one row per source are written, so that Spark knows their size and
+    broadcasts only small ones.
     """
     digits = bucket_digits(sizes.count())
     sizes = sizes.withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
@@ -143,9 +154,11 @@ def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP
         summed.join(per_bucket, ["source", "bucket"]).withColumn("extra", fits.cast("long")), "mix"
     )
     gaps = plan.groupBy("source").agg(
-        (F.max("partial") - F.sum(F.col("size") * F.col("extra"))).alias("gap")
+        F.max("partial").alias("partial"),
+        (F.max("partial") - F.sum(F.col("size") * F.col("extra"))).alias("gap"),
     )
-    left = plan.filter("extra = 0 and size > 0").select("source", "size", "key", "tag")
+    left = plan.filter("extra = 0 and size > 0").select("source", "bucket", "key", "id", "size", "tag")
+    filled = []  # documents taken after the prefix, with the words of the partial pass before them
     for _ in range(top_ups):
         gaps = materialize(gaps, "gaps")
         # the largest document that fits: a partial maximum per task and source
@@ -153,17 +166,35 @@ def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP
             left.join(gaps, "source")
             .filter("size <= gap")
             .groupBy("source")
-            .agg(F.max(F.struct("size", "key", "tag")).alias("best"))
-            .select("source", F.col("best.size").alias("used"), F.col("best.tag").alias("tag")),
+            .agg(F.max(F.struct("size", "key", "tag")).alias("best"), F.max(F.col("partial") - F.col("gap")).alias("place"))
+            .select("source", F.col("best.size").alias("used"), F.col("best.tag").alias("tag"), "place"),
             "top-up",
         )
+        filled.append(best.select("tag", "place"))
         left = left.join(best.select("tag"), "tag", "left_anti")
-        plan = plan.join(best.select("tag", F.lit(1).alias("topped")), "tag", "left").withColumn(
-            "extra", F.col("extra") + F.coalesce("topped", F.lit(0))
-        ).drop("topped")
-        gaps = gaps.join(best.select("source", "used"), "source", "left").select(
-            "source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
+        gaps = _less(gaps, best)
+    while True:
+        gaps = materialize(gaps, "gaps")
+        left = materialize(left.join(gaps, "source").filter("size <= gap"), "left")
+        if left.isEmpty():
+            break
+        # the first in order always fits, so each round takes some of every source listed
+        taken = materialize(
+            running_sum(left, "source", "bucket", order, "size", "ahead")
+            .filter("ahead + size <= gap")
+            .select("source", "size", "tag", (F.col("partial") - F.col("gap") + F.col("ahead")).alias("place")),
+            "filled",
+        )
+        filled.append(taken.select("tag", "place"))
+        left = left.drop("partial", "gap").join(taken.select("tag"), "tag", "left_anti")
+        gaps = _less(gaps, taken.groupBy("source").agg(F.sum("size").alias("used")))
+    if filled:
+        plan = plan.join(reduce(DataFrame.unionAll, filled), "tag", "left").withColumn(
+            "extra", F.col("extra") + F.col("place").isNotNull().cast("long")
         )
+    else:
+        plan = plan.withColumn("place", F.lit(None).cast("long"))
+    plan = plan.withColumn("place", F.coalesce("place", "before"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("long")
     return plan.withColumn("copies", copies).withColumn("taken", F.col("size") * copies)
 
@@ -190,10 +221,11 @@ def copy_positions(plan: DataFrame, schedule: dict[int, tuple[float, float]]) ->
     """Array of the training positions of a document's copies, one per pass."""
     start = F.element_at(F.create_map(*[F.lit(x) for k, v in schedule.items() for x in (k, float(v[0]))]), F.col("weight").cast("int"))
     end = F.element_at(F.create_map(*[F.lit(x) for k, v in schedule.items() for x in (k, float(v[1]))]), F.col("weight").cast("int"))
-    middle = F.col("before") + F.col("size") / 2
+    half = F.col("size") / 2
 
     def place(epoch: Column) -> Column:
-        asked = (epoch * F.col("source_size") + middle) / F.greatest(F.col("target"), F.lit(1.0))
+        ahead = F.when(epoch < F.col("passes"), F.col("before")).otherwise(F.col("place"))
+        asked = (epoch * F.col("source_size") + ahead + half) / F.greatest(F.col("target"), F.lit(1.0))
         return demand_position(F.least(asked, F.lit(1.0)), start, end)
 
     return F.when(

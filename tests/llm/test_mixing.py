@@ -69,6 +69,30 @@ def test_mix_cases(spark):
     assert {r.doc_id: r["count"] for r in order.groupBy("doc_id").count().collect()} == copies
 
 
+def test_no_document_left_fits(spark):
+    """A long document at the boundary of the partial pass leaves a gap that many short ones must close."""
+    rank = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    ids = sorted(range(300), key=rank)
+    size = {i: 5 + i % 7 for i in ids} | {ids[30]: 1500}
+    documents = [(i, "w " * n, "a") for i, n in size.items()]
+    documents += [(1000 + i, "w " * 10, s) for s in "bcd" for i in range(50)]
+    df = spark.createDataFrame(documents, "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix_documents(df).collect() if r.doc_id < 1000]
+    gap = rows[0].target - sum(r.taken for r in rows)
+    passes = int(rows[0].target // rows[0].source_size)
+    smallest = min(r.size for r in rows if r.copies == passes)
+    assert passes == 0 and 0 <= gap < smallest
+    assert sum(r.copies for r in rows) > 30 + mixing.TOP_UPS
+    # the documents taken stand one after the other in the schedule, none on top of another
+    positions = sorted((r.positions[0], r.size) for r in rows if r.copies)
+    start, end = mixing.SCHEDULE[1]
+    ahead = 0
+    for p, n in positions:
+        asked = (start * p + (end - start) * p * p / 2) / ((start + end) / 2)
+        assert asked * rows[0].target == pytest.approx(ahead + n / 2, abs=1e-6)
+        ahead += n
+
+
 def test_mix_empty_null_and_repeated(spark):
     schema = "doc_id long, text string, source string"
     empty = spark.createDataFrame([], schema)
