@@ -10,11 +10,12 @@ from dataclasses import dataclass
 # Element classes of the HTML standard.
 SECTIONING = frozenset("article aside dialog footer form header main nav".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg math".split())
+RAW_TEXT = frozenset("script style title textarea iframe".split())
+FOREIGN = ("svg", "math")  # in these, a start tag ending in "/>" is an empty element
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
-    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: a start tag ends open elements of the first set, unless one of the second stands between
 ENDS_OPEN = {
@@ -39,7 +40,7 @@ _TOKENS = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in RAW_TEXT}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in (*RAW_TEXT, "xmp")}
 
 
 @dataclass
@@ -64,7 +65,10 @@ def _marks(name: str, attributes: str) -> set[str]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order. Scripts, styles, comments and the title are no blocks."""
+    """The page's blocks with text, in order. Scripts, styles, comments, titles, form fields and frames are no blocks.
+
+    All other elements are read by their tags, also svg, math, noscript and template; the content of xmp is text as it stands.
+    """
     blocks: list[Block] = []
     # (tag, marks of it and its ancestors, innermost block-level element, marks of the innermost section)
     stack: list[tuple[str, frozenset[str], str, frozenset[str]]] = [("", frozenset(), "", frozenset())]
@@ -122,6 +126,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     flush()
                 pop_to(depth)
             continue
+        if token["attributes"].endswith("/") and (name in FOREIGN or any(open_tags[n] for n in FOREIGN)):
+            continue
         if name in RAW_TEXT:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else size
@@ -141,5 +147,13 @@ def leaf_blocks(page: str) -> list[Block]:
                 inner = frozenset(own)
             stack.append((name, marks | own if not own <= marks else marks, name if name in BLOCK else block, inner))
             open_tags[name] += 1
+        if name == "xmp":
+            end = _RAW_END[name].search(page, at)
+            text, at = page[at : end.start() if end else size], end.start() if end else size
+            if not text.isspace():
+                where = stack[-1]
+            pieces.append(text.replace("&", "&amp;"))
+            if open_tags["a"]:
+                linked += len(text.strip())
     flush()
     return blocks

@@ -35,6 +35,28 @@ def test_blocks():
     assert {"article", "#main"} <= blocks[3].marks and "article" not in blocks[5].marks
 
 
+def test_foreign_and_verbatim_elements_keep_their_text():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    # closed in the start tag: nothing after it is lost
+    assert texts("<article><p>a <svg class='i'/> b<p>c <math/> d</article><p>e") == ["a b", "c d", "e"]
+    assert texts("<p>a <svg><title/><path d='M0'/><script href='x'/></svg> b<p>c") == ["a b", "c"]
+    # nested, and never closed
+    assert texts("<p>a <svg><svg><text>b</text></svg> <text>c</text></svg> d<p>e") == ["a b c d", "e"]
+    assert texts("<p>a <svg><path d='M0'><p>b") == texts("<p>a <noscript><p>b") == texts("<p>a <template><p>b") == ["a", "b"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be") == ["let x=1 be"]
+    # the content of xmp is text, tags and references too
+    assert texts("<p>a<xmp>if x < 1 &amp; <b>y</b></xmp>b") == ["a", "if x < 1 &amp; <b>y</b>", "b"]
+    assert texts("<xmp>never closed") == ["never closed"] and texts("<xmp></xmp><xmp> </xmp>a") == ["a"]
+    # these stay out
+    assert texts("<p>a<script>x</script><style>x</style><textarea>x</textarea><iframe>x</iframe><title>x</title><script/>x</script>b") == ["ab"]
+
+
+def test_article_with_pictures_and_formulas_is_whole(field):
+    words = "The committee met again on Tuesday and discussed the plans for the new bridge over the river."
+    page = f"<html><body><article><h1>Bridge plans</h1><p>{words}</p><p>{words} <svg width='1'/></p><p>{words} <math><mi>x</mi></math></p><p>{words}</p></article></body></html>"
+    assert html_text.main_text(page, field) == "\n\n".join(["Bridge plans", words, words, words + " x", words])
+
+
 def test_every_cut_of_a_page_is_read():
     page, _ = labelled_pages(1, seed=5)[0]
     for cut in range(len(page)):
