@@ -14,9 +14,12 @@ digits anew), telephone numbers (country code; valid area and exchange in North
 America), IPv4 addresses, dates (their century). Matches that fail validation
 stay as they are.
 
-Everything is built from DataFrame functions: the text is split at the matches,
-the matches are replaced as an array, and the pieces are joined again. There is
-no shuffle.
+A match that fails validation hides nothing: every kind's matches at all places
+are validated, also those inside others, and of the valid ones the first from
+the left is taken, then the next one behind it. An IBAN has its country's length.
+
+Everything is built from DataFrame functions: the matches of a text are replaced
+as an array, and put between the pieces of the text again. There is no shuffle.
 
 Defined cases: a null text stays null with no replacements; empty texts and
 texts without matches stay as they are; rows repeated whole give equal results;
@@ -34,12 +37,35 @@ from innsight.llm.tables import column, free_name, read_table
 
 ROUNDS = 8
 
+# Lengths of IBANs, by country; other codes may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "GI IL IQ OM SO TL", 24: "AD AE CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    def body(length: int) -> str:
+        groups, rest = divmod(length - 4, 4)
+        return f"[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = [f"(?:{c.replace(' ', '|')}){body(n)}" for n, c in IBAN_LENGTHS.items()]
+    codes = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = rf"(?!{codes})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    # two letters and two digits first, so that most places fail at once
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})(?![A-Za-z0-9])"
+
+
 # Kinds with their patterns, tried in this order at each place.
 PATTERNS = {
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[ \t]*[=:][ \t]*\x22?[A-Za-z0-9+/_\-]{8,}\x22?",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ \-])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
@@ -320,16 +346,52 @@ def _hashed(key: str, kind: str, m: Column) -> Column:
     return F.concat(head, keyed_hex(key, value, F.length(value)), tail)
 
 
-def replace_matches(matches: Column, key: str) -> Column:
-    """Array of structs (old, kind, new) for an array of matches; kind and new are null where none is valid."""
+CANDIDATES = "array<struct<start:int,rank:int,old:string,kind:string>>"
+
+
+def candidates(text: Column) -> Column:
+    """Array of structs (start, rank, old, kind): what each kind's pattern matches at each place of ``text``.
+
+    Matches may overlap; they are in order of place and kind. Places are counted
+    from 0, by the pieces of a split in front of each match.
+    """
+
+    def of_kind(rank: int, kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
+        pieces = F.split(text, f"(?={pattern})", -1)
+        ends = F.aggregate(
+            pieces,
+            F.array(F.lit(0)),
+            lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(p))),
+        )
+        # a match at the start of the text has no piece before it
+        starts = F.slice(ends, F.size(ends) - F.size(found), F.size(found))
+        listed = F.zip_with(
+            starts, found, lambda s, m: F.struct(s.alias("start"), F.lit(rank).alias("rank"), m.alias("old"), F.lit(kind).alias("kind"))
+        )
+        return F.when(F.size(found) > 0, listed.cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
+
+    return F.array_sort(F.concat(*[of_kind(i, k, p) for i, (k, p) in enumerate(PATTERNS.items())]))
+
+
+def first_valid(found: Column) -> Column:
+    """Of the valid candidates, from left to right, those that do not overlap one taken before."""
+    valid = F.filter(found, lambda x: x["new"].isNotNull())
+    kind = "array<struct<start:int,old:string,kind:string,new:string>>"
 
-    def kind_of(m: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for kind, pattern in reversed(PATTERNS.items()):
-            out = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-        return out
+    def end(taken: Column) -> Column:
+        last = F.try_element_at(taken, F.lit(-1))
+        return F.coalesce(last["start"] + F.length(last["old"]), F.lit(0))
+
+    return F.aggregate(
+        valid,
+        F.array().cast(kind),
+        lambda taken, x: F.when(x["start"] >= end(taken), F.concat(taken, F.array(x).cast(kind))).otherwise(taken),
+    )
 
-    named = F.transform(matches, lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
+
+def replace_matches(named: Column, key: str) -> Column:
+    """Array of structs (start, old, kind, new) for an array of candidates; new is null where one is not valid."""
 
     def number(x: Column) -> Column:
         cases = {kind: parse(x["old"]) for kind, (parse, _) in NUMBERS.items()}
@@ -339,14 +401,14 @@ def replace_matches(matches: Column, key: str) -> Column:
             for kind, case in cases.items():
                 field = F.when(x["kind"] == kind, case[i].cast(type_)).otherwise(field)
             fields.append(field.alias(name))
-        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), *fields)
+        return F.struct(x["start"].alias("start"), x["old"].alias("old"), x["kind"].alias("kind"), *fields)
 
     numbers = F.transform(named, number)
 
     def permute(x: Column) -> Column:
         tweak = F.concat_ws("/", x["kind"], x["tweak"])
         p = F.when(x["value"].isNotNull(), feistel(key, tweak, x["value"], x["a"], x["b"]))
-        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), p.alias("p"))
+        return F.struct(x["start"].alias("start"), x["old"].alias("old"), x["kind"].alias("kind"), p.alias("p"))
 
     permuted = F.transform(numbers, permute)
 
@@ -358,7 +420,7 @@ def replace_matches(matches: Column, key: str) -> Column:
             else:
                 put = _hashed(key, kind, x["old"])
             new = F.when(x["kind"] == kind, put).otherwise(new)
-        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), new.alias("new"))
+        return F.struct(x["start"].alias("start"), x["old"].alias("old"), x["kind"].alias("kind"), new.alias("new"))
 
     return F.transform(permuted, write)
 
@@ -370,24 +432,29 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     runs, another key gives unrelated pseudonyms. ``kinds`` is the array of
     distinct kinds replaced, sorted.
     """
-    found, parts, n, kinds = (free_name(df, x) for x in ("pii_found", "pii_parts", "n_replaced", "kinds"))
+    found, n, kinds = (free_name(df, x) for x in ("pii_found", "n_replaced", "kinds"))
     text = column(df, text_col)
-    some = text.rlike(MAY_MATCH)
-    matched = df.withColumn(
-        found, F.when(some, F.regexp_extract_all(text, F.lit(ANY_KIND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    )
-    matched = matched.withColumn(parts, F.when(F.size(found) > 0, F.split(text, ANY_KIND, -1)))
-    matched = matched.withColumn(found, F.when(F.size(found) > 0, replace_matches(F.col(found), key)))
-    replaced = F.filter(found, lambda x: x["new"].isNotNull())
-    pieces = F.zip_with(
-        parts, found, lambda part, x: F.concat(part, F.coalesce(x["new"], x["old"], F.lit("")))
-    )
-    out = matched.withColumn(n, F.coalesce(F.size(replaced), F.lit(0)).cast("long"))
+    some = text.rlike(MAY_MATCH) & text.rlike(ANY_KIND)
+    out = df.withColumn(found, F.when(some, candidates(text)))
+    out = out.withColumn(found, F.when(F.size(found) > 0, replace_matches(F.col(found), key)))
+    out = out.withColumn(found, F.when(F.size(found) > 0, first_valid(F.col(found))))
+    out = out.withColumn(n, F.coalesce(F.when(F.col(found).isNotNull(), F.size(found)), F.lit(0)).cast("long"))
     out = out.withColumn(
-        kinds, F.coalesce(F.array_sort(F.array_distinct(F.transform(replaced, lambda x: x["kind"]))), F.array().cast("array<string>"))
+        kinds, F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["kind"]))), F.array().cast("array<string>"))
     )
-    new_text = F.when(F.col(found).isNotNull(), F.array_join(pieces, "")).otherwise(text)
-    return out.withColumn(text_col, new_text).drop(found, parts)
+    # the text before each value, and what follows the last one
+    ends = F.transform(found, lambda x: x["start"] + F.length(x["old"]))
+    pieces = F.transform(
+        found,
+        lambda x, i: F.concat(_between(text, F.when(i > 0, F.get(ends, i - 1)).otherwise(0), x["start"]), x["new"]),
+    )
+    rest = _between(text, F.element_at(ends, -1), F.length(text))
+    new_text = F.when(F.size(found) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    return out.withColumn(text_col, new_text).drop(found)
+
+
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
 
 
 DEFAULT_KEY = "change-me"  # a production run passes its own secret

@@ -125,6 +125,29 @@ def test_neighbouring_values(spark):
         assert old not in r.text
 
 
+def test_values_before_words_and_inside_invalid_matches(spark):
+    texts = {
+        "BE68 5390 0754 7034 BIC GEBABEBB": "BE68 5390 0754 7034",  # a word after an IBAN
+        "ES9121000418450200051332 EUR 40": "ES9121000418450200051332",
+        "x DE89 3704 0044 0532 0130 00 EUR": "DE89 3704 0044 0532 0130 00",
+        "AB12 4111 1111 1111 1111": "4111 1111 1111 1111",  # a card inside what looks like an IBAN
+        "\u00e9\U0001f600 +49 4111 1111 1111 1111, 10.0.0.7": "4111 1111 1111 1111",  # inside a telephone number
+    }
+    for old, r in zip(texts, apply(spark, list(texts)), strict=True):
+        value = texts[old]
+        before, _, after = old.partition(value)
+        assert value not in r.text and r.text.startswith(before)
+        new = r.text[len(before) : len(before) + len(value)]
+        if "10.0.0.7" in old:
+            assert r.kinds == ["card", "ip"] and r.n_replaced == 2 and "10.0.0.7" not in r.text
+        else:
+            assert r.n_replaced == 1 and r.text[len(before) + len(value) :] == after
+        if value[0].isdigit():
+            assert luhn(new.replace(" ", "")) and "card" in r.kinds
+        else:
+            assert iban_rest(new) == 1 and new[:2] == value[:2] and r.kinds == ["iban"]
+
+
 def test_cases_and_columns(spark):
     df = spark.createDataFrame(
         [(1, None, "a", 2), (None, "ip 10.0.0.7", "b", 3), (1, "x" * 300_000 + " 10.0.0.7", "c", 4), (1, "ip 10.0.0.7", "c", 4)],
