@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from innsight.llm import (
     bpe,
+    divergence,
     exact_dedup,
+    hard_negatives,
     html_text,
     language,
     licenses,
@@ -12,6 +14,7 @@ from innsight.llm import (
     mixing,
     near_dedup,
     pii,
+    pivot_search,
     quality,
 )
 
@@ -28,6 +31,9 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_html_text": html_text.op9_html_text,
         "op10_pii": pii.op10_pii,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_divergence": divergence.op12_divergence,
+        "op13_top_k": pivot_search.op13_top_k,
     }
 
 
@@ -36,4 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op12_divergence": divergence.OP12_SQL,
+        "op13_top_k": pivot_search.OP13_SQL,
     }
