@@ -6,31 +6,37 @@ itself included, as in the source job -- or all of them when the group has
 fewer than ``k``. Equal distances are ordered by neighbour id, so the result is
 deterministic.
 
-One plan for all sizes, a tree of boxes per group:
+One plan for all sizes, block against block:
 
 1. Points with equal features have equal neighbours, and of any number of them
    only the ``k`` smallest ids can be among a target's ``k`` nearest. So each
    distinct vector is searched once, against a pool of at most ``k`` points per
    vector; a place with a million equal points costs ``k`` rows.
-2. The pool is split level by level: a cell of more than ``leaf_size`` points
-   is cut into up to eight at quantiles of its widest feature, until none is
-   left. Cells follow the data, so a dense core gets small cells and no cell
-   grows with the group. The loop ends because every cut separates the smallest
-   value from the largest, and equal vectors are never more than ``k`` points.
-3. A target's own leaf, and the smallest cell around it that holds ``k``
-   points, bound the distance of its k-th neighbour. Walking down the tree, a
-   cell is entered only if its box reaches inside that bound.
-4. Only the leaves so reached are joined with the target, the nearest few first,
-   as they shorten the reach; the top-k window (a ``WindowGroupLimit``) keeps
-   ``k`` per target before the shuffle.
-
-All steps are joins and aggregates keyed by (group, cell); what is copied are
+2. The pool is laid out in leaves (``leaf_layout``). A group is cut into cells of
+   at most ``FAN_OUT ** LEVELS`` leaves, consecutive along a curve through the
+   features' quantiles, and a cell into leaves by repeated cuts at quantiles of
+   its widest feature. Leaves follow the data: a dense core gets small boxes, and
+   a leaf holds between half of ``leaf_size`` and ``leaf_size`` points whatever
+   the group looks like. The cuts of a cell are windows over one partitioning, so
+   the layout is two shuffles, however large the group.
+3. Each leaf is searched against itself. The k-th distance so found bounds a
+   target's reach, and the largest in a leaf the leaf's reach.
+4. Boxes are held against boxes: cells first, then leaves of near cells. A leaf
+   farther from the target's leaf than that leaf's reach is dropped for all its
+   targets at once.
+5. Of the leaves that remain a target looks into those whose box is within its
+   own reach; the top-k window (a ``WindowGroupLimit``) keeps ``k`` per target
+   before the shuffle.
+
+All steps are joins and aggregates keyed by (group, leaf); what is copied are
 targets, never the neighbours.
 
 ``knn_lsh`` is the approximate search: random projections (Spark ML's
 ``BucketedRandomProjectionLSH``), as many per bucket as the group's size asks
-for. Targets whose buckets hold too few candidates are searched exactly, so
-every target has min(k, n) neighbours.
+for. A target also looks into the neighbouring buckets whose borders are nearest
+to it, and then at the neighbours of the neighbours found. Targets whose buckets
+hold too few candidates are searched exactly, so every target has min(k, n)
+neighbours. ``knn_recall`` holds a result against the exact one.
 """
 
 from __future__ import annotations
@@ -49,13 +55,15 @@ NEIGHBOUR_ID = "harp_property_id_no"
 DISTANCE = "knn_distance_metric"
 RANK = "neighbour_rank"
 DEFAULT_K = COMP_SET_SIZE
-FAN_OUT = 8  # children of a cell, at octiles
-LEAVES_PER_K = 3  # a leaf holds at most this many times k points
-FIRST_LEAVES = 5  # nearest other leaves looked into before the rest
-# LSH: points a bucket should hold on average, and hash tables.
+LEAF_SIZE = 96  # points of a leaf
+FAN_OUT = 4  # pieces of one cut
+LEVELS = 4  # cuts of a cell, which so holds at most FAN_OUT ** LEVELS leaves
+CURVE_BITS = 4  # the curve tells 2 ** bits quantiles of a feature apart
+# LSH: points a bucket should hold on average, hash tables, neighbouring buckets looked into per table
 DEFAULT_LSH_CANDIDATES = 50
 DEFAULT_LSH_TABLES = 4
-ROOT = "r"
+DEFAULT_LSH_PROBES = 4
+STEPS = 1024  # places told apart across a bucket
 
 
 def _squared_distance(n_features: int) -> Column:
@@ -88,186 +96,140 @@ def neighbour_pool(points: DataFrame, key: str, id_col: str, features: Sequence[
     return rows.withColumn("_place", place).filter(F.col("_place") <= k)
 
 
-@dataclass
-class CellTree:
-    """Leaves and boxes of every group's pool."""
-
-    pool: DataFrame  # key, _cell (leaf), _nid, _n<i>, _place
-    nodes: DataFrame  # key, _cell, _parent, _n, _lo<i>, _hi<i>, _leaf
-    depth: int
-
-
-def _child(value: Column, cuts: Column, children: Column, low: Column) -> Column:
-    """Number of the child a value falls in.
-
-    Child c of f begins above octile 8 c / f; values equal to the smallest are
-    always apart from the largest.
+def _curve(pool: DataFrame, key: str, n_features: int) -> DataFrame:
+    """Add ``_code``: the place of a point along a curve that takes turns through the features' quantiles."""
+    slices = 1 << CURVE_BITS
+    seen = min(n_features, 62 // CURVE_BITS)
+    at = [c / slices for c in range(1, slices)]
+    cuts = pool.groupBy(key).agg(*[F.percentile_approx(f"_n{i}", at, 1000).alias(f"_cuts{i}") for i in range(seen)])
+    below = lambda value: lambda cut: cut < F.col(value)
+    slice_of = [F.size(F.filter(f"_cuts{i}", below(f"_n{i}"))) for i in range(seen)]
+    rows = pool.join(cuts, key).select(*pool.columns, *[s.alias(f"_slice{i}") for i, s in enumerate(slice_of)])
+    code = F.lit(0).cast("long")
+    for bit in range(CURVE_BITS):
+        for i in range(seen):
+            code = code * 2 + F.shiftright(f"_slice{i}", CURVE_BITS - 1 - bit).bitwiseAND(1)
+    return rows.select(*pool.columns, code.alias("_code"))
+
+
+def leaf_layout(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> DataFrame:
+    """Add ``_cell`` and ``_leaf`` (numbers within the group) to the pool's points; written once.
+
+    A point's place in its group along the curve is its place in a range
+    partition plus the sizes of the group's earlier partitions, so a group of
+    any size is numbered piece by piece.
     """
-    above = F.lit(0)
-    for c in range(1, FAN_OUT):
-        edge = F.element_at(cuts, F.round(F.lit(float(FAN_OUT * c)) / children).cast("int"))
-        above = above + F.when((F.lit(c) < children) & (value > edge), 1).otherwise(0)
-    return above + F.when(value > low, 1).otherwise(0)
-
-
-def cell_tree(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> CellTree:
-    """Split each group's pool into cells of at most ``leaf_size`` points.
-
-    A level is one aggregate for the boxes and one for the octiles of the cells
-    still too large; both hold one row per cell. Every level is written, as the
-    next one reads it several times.
-    """
-    low, high = [[f"_{s}{i}" for i in range(n_features)] for s in ("lo", "hi")]
-    open_cells = cut_lineage(pool.withColumn("_cell", F.lit(ROOT)), label="knn-cells")
-    done, boxes, depth = None, [], 0
-    parent = F.lit(None).cast("string")
-    while True:
-        box = open_cells.groupBy(key, "_cell").agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.min(f"_n{i}").alias(low[i]) for i in range(n_features)],
-            *[F.max(f"_n{i}").alias(high[i]) for i in range(n_features)],
-        )
-        box = cut_lineage(
-            box.withColumn("_parent", parent).withColumn("_leaf", F.col("_n") <= leaf_size), label="knn-boxes"
-        )
-        boxes.append(box)
-        large = box.filter(~F.col("_leaf"))
-        if large.isEmpty():
-            break
-        leaves = open_cells.join(box.filter("_leaf").select(key, "_cell"), [key, "_cell"], "left_semi")
-        done = leaves if done is None else done.unionByName(leaves)
-        spread = [F.col(h) - F.col(lo) for lo, h in zip(low, high)]
-        widest = F.array_position(F.array(*spread), F.greatest(F.lit(float("-inf")), *spread))
-        large = large.select(
+    vector = [f"_n{i}" for i in range(n_features)]
+    order = [key, "_code", *vector, "_nid"]
+    placed = _curve(pool, key, n_features).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()), label="knn-order")
+    placed = placed.withColumn("_piece", F.shiftright("_at", 33))
+    of_group = Window.partitionBy(key)
+    earlier = of_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        placed.groupBy(key, "_piece")
+        .agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+        .select(
             key,
-            "_cell",
-            widest.cast("int").alias("_dim"),
-            F.element_at(F.array(*[F.col(c) for c in low]), widest.cast("int")).alias("_low"),
-            F.least(F.lit(FAN_OUT), F.greatest(F.lit(2), F.ceil(2 * F.col("_n") / F.lit(leaf_size)))).cast("int").alias("_children"),
-        )
-        split = open_cells.join(large, [key, "_cell"]).withColumn(
-            "_v", F.element_at(F.array(*[F.col(f"_n{i}") for i in range(n_features)]), F.col("_dim"))
-        )
-        octiles = split.groupBy(key, "_cell").agg(
-            F.percentile_approx("_v", [c / FAN_OUT for c in range(1, FAN_OUT + 1)], 1000).alias("_cuts")
+            "_piece",
+            (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.sum("_size").over(of_group).alias("_all"),
         )
-        child = _child(F.col("_v"), F.col("_cuts"), F.col("_children"), F.col("_low"))
-        open_cells = cut_lineage(
-            split.join(octiles, [key, "_cell"])
-            .withColumn("_cell", F.concat("_cell", F.hex(child)))
-            .select(*open_cells.columns),
-            label="knn-cells",
+    )
+    cells = F.ceil(F.col("_all") / F.lit(float(leaf_size * FAN_OUT**LEVELS)))
+    cell = F.floor((F.col("_at") + F.col("_shift")) * cells / F.col("_all")).cast("long")
+    rows = placed.join(pieces, [key, "_piece"]).select(*pool.columns, cell.alias("_cell"), F.lit(0).alias("_path"))
+    for _ in range(LEVELS):
+        piece = Window.partitionBy(key, "_cell", "_path")
+        spread = [F.max(v).over(piece) - F.min(v).over(piece) for v in vector]
+        rows = rows.select("*", F.count(F.lit(1)).over(piece).alias("_size"), F.array(*spread).alias("_spread"))
+        # where nothing differs (or a value is no number) the first feature is as good as any
+        widest = F.coalesce(F.array_position("_spread", F.array_max("_spread")).cast("int"), F.lit(1))
+        rows = rows.withColumn("_v", F.element_at(F.array(*vector), widest))
+        pieces_of = F.least(F.lit(FAN_OUT), F.ceil(F.col("_size") / F.lit(float(leaf_size))))
+        turn = F.row_number().over(piece.orderBy("_v", "_nid")) - 1
+        child = F.floor(turn * pieces_of / F.col("_size")).cast("int")
+        rows = rows.withColumn("_child", child).select(
+            *pool.columns, "_cell", (F.col("_path") * FAN_OUT + F.col("_child")).alias("_path")
         )
-        # a cell's name is its parent's and one more sign
-        parent = F.expr("left(_cell, length(_cell) - 1)")
-        depth += 1
-    done = open_cells if done is None else done.unionByName(open_cells)
-    nodes = boxes[0]
-    for box in boxes[1:]:
-        nodes = nodes.unionByName(box)
-    return CellTree(done, nodes, depth)
-
-
-def _box_distances(n_features: int) -> tuple[Column, Column]:
-    """Squared distances from a target to the nearest and the farthest point of a box."""
-    near, far = F.lit(0.0), F.lit(0.0)
+    leaf = F.col("_cell") * FAN_OUT**LEVELS + F.col("_path")
+    return cut_lineage(rows.select(*pool.columns, "_cell", leaf.alias("_leaf")), label="knn-leaves")
+
+
+def _apart(n_features: int, low: str, high: str, other_low: str, other_high: str) -> Column:
+    """Squared distance of two boxes; a point is a box whose corners are equal."""
+    total = F.lit(0.0)
     for i in range(n_features):
-        t, lo, hi = F.col(f"_t{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outside = F.greatest(lo - t, t - hi, F.lit(0.0))
-        near = near + outside * outside
-        across = F.greatest(F.abs(t - lo), F.abs(t - hi))
-        far = far + across * across
-    return near, far
+        gap = F.greatest(
+            F.col(f"{low}{i}") - F.col(f"{other_high}{i}"), F.col(f"{other_low}{i}") - F.col(f"{high}{i}"), F.lit(0.0)
+        )
+        total = total + gap * gap
+    return total
 
 
-def _visits(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(own, visits): the k nearest of each target's own leaf, and the other leaves it must look into.
+def _near_pairs(reached: DataFrame, boxes: DataFrame, on: list[str], by: str, n_features: int) -> DataFrame:
+    """(*on, by, _other<by>): of boxes that agree in ``on``, those within the reach of ``by``'s box."""
+    corners = [f"_{s}{i}" for s in ("lo", "hi") for i in range(n_features)]
+    others = boxes.select(*on, F.col(by).alias(f"_other{by}"), *[F.col(c).alias(f"_other{c}") for c in corners])
+    near = _apart(n_features, "_lo", "_hi", "_other_lo", "_other_hi") <= F.col("_reach")
+    return reached.join(others, on).filter(near).select(*on, by, f"_other{by}")
 
-    ``targets``: rows of the tree's pool. A target reaches as far as the k-th
-    point of its leaf, or the far corner of the smallest cell around it that
-    holds k points, whichever is nearer; that is widened by a little more than
-    the rounding of distances.
-    """
-    vector = [F.col(f"_n{i}").alias(f"_t{i}") for i in range(n_features)]
-    t = targets.select(key, "_cell", F.col("_nid").alias("_tid"), *vector)
-    kept = [key, "_tid", *[f"_t{i}" for i in range(n_features)]]
-    near, far = _box_distances(n_features)
-    own = top_k(
-        t.join(tree.pool, [key, "_cell"]).select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2")), key, k
-    )
-    own = cut_lineage(own, label="knn-own-leaf")
-    kth = own.groupBy(key, "_tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d2")).alias("_kth"))
-    # the cells around a target are the beginnings of its leaf's name
-    around = F.transform(F.sequence(F.lit(1), F.length("_cell")), lambda i: F.left(F.col("_cell"), i))
-    around = t.withColumn("_cell", F.explode(around)).join(tree.nodes, [key, "_cell"]).filter(F.col("_n") >= k)
-    far = around.groupBy(key, "_tid").agg(F.min(far).alias("_far"))
-    reach = F.coalesce(F.least(F.col("_kth"), F.col("_far")), F.lit(float("inf")))
-    root = tree.nodes.filter(F.col("_parent").isNull()).select(key, "_leaf")
-    frontier = (
-        t.join(kth, [key, "_tid"])
-        .join(far, [key, "_tid"], "left")
-        .select(*kept, F.col("_cell").alias("_own"), (reach * (1 + 1e-9) + 1e-12).alias("_reach"), F.lit(ROOT).alias("_at"))
-    )
-    frontier = cut_lineage(frontier, label="knn-frontier").join(root, key).withColumn("_near", F.lit(0.0))
-    visits = None
-    for level in range(tree.depth + 1):
-        leaves = frontier.filter(F.col("_leaf") & (F.col("_at") != F.col("_own")))
-        leaves = leaves.select(*kept, "_reach", "_near", F.col("_at").alias("_cell"))
-        visits = leaves if visits is None else visits.unionByName(leaves)
-        if level < tree.depth:
-            children = tree.nodes.filter(F.length("_cell") == level + 2).withColumnRenamed("_parent", "_at")
-            frontier = (
-                frontier.filter(~F.col("_leaf"))
-                .drop("_leaf", "_near")
-                .join(children, [key, "_at"])
-                .withColumn("_near", near)
-                .filter(F.col("_near") <= F.col("_reach"))
-                .select(*kept, "_own", "_reach", F.col("_cell").alias("_at"), "_leaf", "_near")
-            )
-    return own, visits
-
-
-def _two_looks(
-    tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(found, first, rest): the k nearest of the own and the nearest leaves, those leaves, the leaves left.
-
-    The nearest ``FIRST_LEAVES`` leaves shorten a target's reach, so that most
-    of the others need no look.
-    """
-    own, visits = _visits(tree, targets, key, n_features, k)
-    visits = cut_lineage(visits, label="knn-visits")
-    nearest = Window.partitionBy(key, "_tid").orderBy("_near", "_cell")
-    first = visits.withColumn("_turn", F.row_number().over(nearest)).filter(F.col("_turn") <= FIRST_LEAVES)
-    pairs = first.join(tree.pool, [key, "_cell"]).select(key, "_tid", "_nid", _squared_distance(n_features).alias("_d2"))
-    found = top_k(own.select(key, "_tid", "_nid", "_d2").unionByName(pairs), key, k)
-    found = cut_lineage(found, label="knn-found")
-    reach = found.groupBy(key, "_tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d2")).alias("_kth"))
-    rest = (
-        visits.join(first.select(key, "_tid", "_cell"), [key, "_tid", "_cell"], "left_anti")
-        .join(reach, [key, "_tid"])
-        .withColumn("_reach", F.least("_reach", F.coalesce("_kth", F.lit(float("inf"))) * (1 + 1e-9) + 1e-12))
-        .filter(F.col("_near") <= F.col("_reach"))
-    )
-    return found, first, rest
 
+@dataclass
+class BlockSearch:
+    """What the own leaves give, and the other leaves each target must look into."""
 
-def search_pairs(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> DataFrame:
-    """(key, _tid, _nid, _d2) with every pair that can be among a target's ``k`` nearest."""
-    found, _, rest = _two_looks(tree, targets, key, n_features, k)
-    others = rest.join(tree.pool, [key, "_cell"]).withColumn("_d2", _squared_distance(n_features))
-    others = others.filter(F.col("_d2") <= F.col("_reach")).select(key, "_tid", "_nid", "_d2")
-    return found.select(key, "_tid", "_nid", "_d2").unionByName(others)
+    own: DataFrame  # key, _tid, _nid, _d2: the k nearest of the own leaf
+    visits: DataFrame  # key, _tid, _t<i>, _kth, _leaf
 
 
-def candidate_pairs(tree: CellTree, targets: DataFrame, key: str, n_features: int, k: int) -> int:
+def block_search(layout: DataFrame, targets: DataFrame, key: str, n_features: int, k: int) -> BlockSearch:
+    """Search the own leaves of ``targets`` (rows of the layout) and prune the others, box against box."""
+    vector = [f"_t{i}" for i in range(n_features)]
+    corners = [f"_{s}{i}" for s in ("lo", "hi") for i in range(n_features)]
+    t = targets.select(
+        key, "_cell", "_leaf", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(v) for i, v in enumerate(vector)]
+    )
+    pairs = t.drop("_cell").join(layout, [key, "_leaf"])
+    pairs = pairs.select(key, "_cell", "_leaf", "_tid", *vector, "_nid", _squared_distance(n_features).alias("_d2"))
+    own = cut_lineage(top_k(pairs, key, k), label="knn-own-leaf")
+    # a little more than the k-th distance, for the rounding of box distances
+    reach = F.when(F.count(F.lit(1)) >= k, F.max("_d2") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
+    t = own.groupBy(key, "_cell", "_leaf", "_tid", *vector).agg(reach.alias("_kth"))
+
+    low, high = ([f(f"_n{i}").alias(f"_{s}{i}") for i in range(n_features)] for f, s in ((F.min, "lo"), (F.max, "hi")))
+    boxes = layout.groupBy(key, "_cell", "_leaf").agg(*low, *high)
+    leaves = boxes.join(t.groupBy(key, "_leaf").agg(F.max("_kth").alias("_reach")), [key, "_leaf"])
+    low, high = ([f(c).alias(c) for c in corners if s in c] for f, s in ((F.min, "lo"), (F.max, "hi")))
+    cells = boxes.groupBy(key, "_cell").agg(*low, *high)
+    asking = cells.join(leaves.groupBy(key, "_cell").agg(F.max("_reach").alias("_reach")), [key, "_cell"])
+    near_cells = _near_pairs(asking, cells, [key], "_cell", n_features)
+    # the leaves of a cell against those of the cells near it
+    asking = leaves.join(near_cells, [key, "_cell"]).drop("_cell")
+    other = boxes.withColumnRenamed("_cell", "_other_cell")
+    near_leaves = _near_pairs(asking, other, [key, "_other_cell"], "_leaf", n_features)
+    looks = near_leaves.select(key, "_leaf", F.col("_other_leaf").alias("_look")).filter("_leaf <> _look")
+    looks = looks.join(boxes.select(key, F.col("_leaf").alias("_look"), *corners), [key, "_look"])
+    within = _apart(n_features, "_t", "_t", "_lo", "_hi") <= F.col("_kth")
+    visits = t.join(looks, [key, "_leaf"]).filter(within)
+    visits = visits.select(key, "_tid", *vector, "_kth", F.col("_look").alias("_leaf"))
+    return BlockSearch(own.select(key, "_tid", "_nid", "_d2"), visits)
+
+
+def search_pairs(search: BlockSearch, layout: DataFrame, key: str, n_features: int) -> DataFrame:
+    """(key, _tid, _nid, _d2) with every pair that can be among a target's k nearest."""
+    others = search.visits.join(layout, [key, "_leaf"]).withColumn("_d2", _squared_distance(n_features))
+    others = others.filter(F.col("_d2") <= F.col("_kth")).select(key, "_tid", "_nid", "_d2")
+    return search.own.unionByName(others)
+
+
+def candidate_pairs(layout: DataFrame, targets: DataFrame, key: str, n_features: int, k: int) -> int:
     """Number of distances the search computes: leaf sizes summed over the leaves looked into."""
-    _, first, rest = _two_looks(tree, targets, key, n_features, k)
-    looks = targets.select(key, "_cell")
-    for leaves in (first, rest):
-        looks = looks.unionByName(leaves.select(key, "_cell"))
-    sizes = tree.nodes.filter("_leaf").select(key, "_cell", "_n")
-    return looks.groupBy(key, "_cell").count().join(sizes, [key, "_cell"]).agg(F.sum(F.col("count") * F.col("_n"))).first()[0]
+    search = block_search(layout, targets, key, n_features, k)
+    looks = targets.select(key, "_leaf").unionByName(search.visits.select(key, "_leaf"))
+    sizes = layout.groupBy(key, "_leaf").agg(F.count(F.lit(1)).alias("_n"))
+    looks = looks.groupBy(key, "_leaf").agg(F.count(F.lit(1)).alias("_looks")).join(sizes, [key, "_leaf"])
+    return looks.agg(F.sum(F.col("_looks") * F.col("_n"))).first()[0]
 
 
 def knn_exact(
@@ -276,7 +238,7 @@ def knn_exact(
     k: int = DEFAULT_K,
     key: str = "city_code",
     id_col: str = NEIGHBOUR_ID,
-    leaf_size: int | None = None,
+    leaf_size: int = LEAF_SIZE,
     targets: DataFrame | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours of every point within its ``key`` group.
@@ -284,24 +246,26 @@ def knn_exact(
     ``points`` must have one row per (``key``, ``id_col``) and non-NULL
     features. ``targets`` (``key``, ``id_col``) limits the search to some of
     them. Output: ``key, target_property_harp_ID, harp_property_id_no,
-    knn_distance_metric, neighbour_rank``. Runs jobs while it builds the tree;
-    the search itself is lazy.
+    knn_distance_metric, neighbour_rank``. Runs jobs while it lays out the
+    leaves and searches each against itself; the rest is lazy.
     """
     points = points.filter(F.col(key).isNotNull())
     nf = len(features)
     pool = neighbour_pool(points, key, id_col, features, k)
-    tree = cell_tree(pool, key, nf, max(2, k, leaf_size or LEAVES_PER_K * k))
+    # of a group in several leaves every leaf holds half of leaf_size at least, which must be k
+    layout = leaf_layout(pool, key, nf, max(leaf_size, 2 * k))
     wanted = points.select(
         key, F.col(id_col).alias(TARGET_ID), *[(F.col(f).cast("double") + F.lit(0.0)).alias(f"_n{i}") for i, f in enumerate(features)]
     )
     vectors = [key, *[f"_n{i}" for i in range(nf)]]
-    searched = tree.pool.filter("_place = 1")
+    searched = layout.filter("_place = 1")
     if targets is not None:
         wanted = wanted.join(targets.select(key, F.col(id_col).alias(TARGET_ID)), [key, TARGET_ID], "left_semi")
         searched = searched.join(wanted, vectors, "left_semi")
-    found = top_k(search_pairs(tree, searched, key, nf, k), key, k)
+    search = block_search(layout, searched, key, nf, k)
+    found = top_k(search_pairs(search, layout, key, nf), key, k)
     # a vector's first point stands for all points with that vector
-    first = tree.pool.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
+    first = layout.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
     return (
         wanted.join(first, vectors)
         .select(key, TARGET_ID, "_tid")
@@ -310,6 +274,44 @@ def knn_exact(
     )
 
 
+def _probes(n_probes: int) -> Column:
+    """Keys of a target's own bucket and of the ``n_probes`` neighbouring buckets nearest to it, in one table.
+
+    ``_at``: the target's places along the table's projections, in widths of a
+    bucket. A neighbouring bucket is one step away along one projection; it is as
+    far as the border in between.
+    """
+    own = F.transform("_at", lambda v: F.floor(v))
+    steps = F.transform(
+        "_at",
+        lambda v, i: F.array(
+            F.struct((v - F.floor(v)).alias("far"), i.alias("i"), F.lit(-1).cast("long").alias("step")),
+            F.struct((F.floor(v) + 1 - v).alias("far"), i.alias("i"), F.lit(1).cast("long").alias("step")),
+        ),
+    )
+    nearest = F.slice(F.array_sort(F.flatten(steps)), 1, n_probes)
+    moved = F.transform(
+        nearest,
+        lambda s: F.xxhash64(F.transform(own, lambda b, i: b + F.when(i == s["i"], s["step"]).otherwise(F.lit(0).cast("long")))),
+    )
+    return F.concat(F.array(F.xxhash64(own)), moved)
+
+
+def _neighbours_of_neighbours(found: DataFrame, key: str, k: int, n_features: int) -> DataFrame:
+    """Add to each target's k nearest so far what its neighbours have found, and keep the k nearest."""
+    n, t = ([f"_{s}{i}" for i in range(n_features)] for s in ("n", "t"))
+    hop = found.select(key, F.col("_tid").alias("_via"), F.col("_nid").alias("_to"), *[F.col(c).alias(f"_to{c}") for c in n])
+    reached = (
+        found.select(key, "_tid", *t, F.col("_nid").alias("_via"))
+        .join(hop, [key, "_via"])
+        .select(key, "_tid", *t, F.col("_to").alias("_nid"), *[F.col(f"_to{c}").alias(c) for c in n])
+        .dropDuplicates([key, "_tid", "_nid"])
+        .join(found.select(key, "_tid", "_nid"), [key, "_tid", "_nid"], "left_anti")
+        .withColumn("_d2", _squared_distance(n_features))
+    )
+    return top_k(found.drop(RANK).unionByName(reached), key, k)
+
+
 def knn_lsh(
     points: DataFrame,
     features: Sequence[str],
@@ -319,6 +321,7 @@ def knn_lsh(
     bucket_candidates: int = DEFAULT_LSH_CANDIDATES,
     num_hash_tables: int = DEFAULT_LSH_TABLES,
     seed: int = 17,
+    probes: int = DEFAULT_LSH_PROBES,
 ) -> DataFrame:
     """Approximate k nearest neighbours within ``key`` via random-projection LSH.
 
@@ -326,10 +329,12 @@ def knn_lsh(
     hashes, the tables an OR); ``m`` and the bucket width are set per group so
     that a bucket holds about ``bucket_candidates`` points whatever the group's
     size, and as many projections are computed as the largest group needs.
-    Candidates are the points sharing a bucket with the target in at least one
-    table; a pair is kept in the first table that has it only. Targets with
-    fewer than min(k, n) candidates go to ``knn_exact``, so every target is
-    complete. Same output columns as ``knn_exact``.
+    Candidates are the points in the target's bucket and, by the distance to the
+    border, in the ``probes`` nearest neighbouring buckets of each table; a pair
+    is kept in the first table that has it only. Then each target looks at the
+    neighbours of its neighbours. Targets with fewer than min(k, n) candidates go
+    to ``knn_exact``, so every target is complete. Same output columns as
+    ``knn_exact``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -359,32 +364,33 @@ def knn_lsh(
     vec = pool.join(spread, on=key).withColumn(
         "_vec", array_to_vector(F.array(*[F.col(f"_n{i}") / F.col("_w") for i in range(nf)]))
     )
+    # a hash is the place along a projection in steps of a bucket's width, so it tells how near a border is
     model = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=1.0, numHashTables=num_hash_tables * projections, seed=seed
+        inputCol="_vec", outputCol="_hashes", bucketLength=1.0 / STEPS, numHashTables=num_hash_tables * projections, seed=seed
     ).fit(vec)
-    values = F.transform("_hashes", lambda h: vector_to_array(h)[0])
-    buckets = F.array(
-        *[F.xxhash64(F.slice(values, j * projections + 1, F.col("_m"))) for j in range(num_hash_tables)]
-    )
-    hashed = cut_lineage(
-        model.transform(vec).select(key, "_nid", "_place", *[f"_n{i}" for i in range(nf)], buckets.alias("_buckets")),
-        label="lsh-buckets",
-    )
-    entries = hashed.select("*", F.posexplode("_buckets").alias("_table", "_bucket"))
-    n = entries.select(key, "_table", "_bucket", "_nid", *[f"_n{i}" for i in range(nf)], F.col("_buckets").alias("_nb"))
-    t = entries.filter("_place = 1").select(
-        key, "_table", "_bucket", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)],
-        F.col("_buckets").alias("_tb"),
+    places = F.transform("_hashes", lambda h: vector_to_array(h)[0] / STEPS)
+    tables = F.array(*[F.slice(places, j * projections + 1, F.col("_m")) for j in range(num_hash_tables)])
+    vector = [f"_n{i}" for i in range(nf)]
+    hashed = cut_lineage(model.transform(vec).select(key, "_nid", "_place", *vector, tables.alias("_tables")), label="lsh-places")
+    bucket = lambda at: F.xxhash64(F.transform(at, lambda v: F.floor(v)))
+    n = hashed.select(key, "_nid", *vector, F.transform("_tables", bucket).alias("_nb"))
+    n = n.select("*", F.posexplode("_nb").alias("_table", "_bucket"))
+    t = hashed.filter("_place = 1").select(
+        key, F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)], F.posexplode("_tables").alias("_table", "_at")
     )
+    t = t.withColumn("_buckets", _probes(probes)).drop("_at")
+    # all buckets a target looks into, by table: a pair met in an earlier table is not met again
+    looks = t.groupBy(key, "_tid").agg(F.map_from_entries(F.collect_list(F.struct("_table", "_buckets"))).alias("_looks"))
+    t = t.select("*", F.explode("_buckets").alias("_bucket")).drop("_buckets").join(looks, [key, "_tid"])
     met_before = F.exists(
         F.sequence(F.lit(0), F.lit(num_hash_tables - 1)),
-        lambda j: (j < F.col("_table")) & (F.get(F.col("_tb"), j) == F.get(F.col("_nb"), j)),
+        lambda j: (j < F.col("_table")) & F.array_contains(F.col("_looks")[j], F.get(F.col("_nb"), j)),
     )
     pairs = t.join(n, [key, "_table", "_bucket"]).filter(~met_before)
-    found = cut_lineage(
-        top_k(pairs.select(key, "_tid", "_nid", _squared_distance(nf).alias("_d2")), key, k), label="lsh-found"
-    )
-    vectors = [key, *[f"_n{i}" for i in range(nf)]]
+    both = [key, "_tid", *[f"_t{i}" for i in range(nf)], "_nid", *vector]
+    found = cut_lineage(top_k(pairs.select(*both, _squared_distance(nf).alias("_d2")), key, k), label="lsh-found")
+    found = cut_lineage(_neighbours_of_neighbours(found, key, k, nf), label="lsh-neighbours")
+    vectors = [key, *vector]
     first = hashed.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
     wanted = points.select(
         key, F.col(id_col).alias(TARGET_ID), *[(F.col(f).cast("double") + F.lit(0.0)).alias(f"_n{i}") for i, f in enumerate(features)]
@@ -408,6 +414,13 @@ def knn_lsh(
     return complete.unionByName(knn_exact(points, features, k, key, id_col, targets=short))
 
 
+def knn_recall(approximate: DataFrame, exact: DataFrame, key: str = "city_code") -> DataFrame:
+    """(key, exact_pairs, found_pairs): how many pairs of the exact search the approximate one has, per group."""
+    pair = [key, TARGET_ID, NEIGHBOUR_ID]
+    hits = exact.select(*pair).join(approximate.select(*pair, F.lit(1).alias("_hit")), pair, "left")
+    return hits.groupBy(key).agg(F.count(F.lit(1)).alias("exact_pairs"), F.count("_hit").alias("found_pairs"))
+
+
 def attach(
     pairs: DataFrame,
     points: DataFrame,
