@@ -7,9 +7,9 @@ coordinate values among the city's rows with valid coordinates, taken for
 lie inside them (inclusive).
 
 All cities are handled together: the bounds come from an exact rank
-selection over the distinct coordinates (``select_ranks``), which ranks a city
-piece by piece so that none is gathered into one task, and are joined back to
-the rows. A city without any valid coordinate has no bounds row and so keeps no
+selection over the distinct coordinates (``select_ranks``), which sorts only the
+few values that a quantile sketch leaves in question, and are joined back to the
+rows. A city without any valid coordinate has no bounds row and so keeps no
 rows.
 """
 
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from innsight.fixed_values import PERCENTILE_LOWER, PERCENTILE_UPPER
 from innsight.functions.columns import haversine_km, valid_coordinates
-from innsight.plans.lineage import cut_lineage
 
 CITY = "city_code"
 DEFAULT_LOWER, DEFAULT_UPPER = PERCENTILE_LOWER, PERCENTILE_UPPER
+SKETCH_ACCURACY = 10_000  # a sketched rank is off by at most 1 / SKETCH_ACCURACY of the values
+CUTS = 1_000  # quantiles read from a sketch
 
 
 def disc_rank(p: float, n: Column) -> Column:
@@ -31,28 +32,53 @@ def disc_rank(p: float, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("long")
 
 
-def select_ranks(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """The value at a given rank of each group's sorted distinct values, without gathering a group.
+def select_ranks(
+    values: DataFrame, targets: DataFrame, keys: list[str], accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """The value at a given rank of each group's sorted distinct values, without sorting a group.
 
     ``values``: ``keys + [_v]``, distinct. ``targets``: ``keys + [_which, _rank]``
     (1-based ranks). Returns ``keys + [_which, _v]``.
 
-    The values are range-partitioned by group and value and written, so each
-    partition holds a consecutive piece of the order. A value's rank is its
-    place in its piece plus the sizes of the group's earlier pieces. The same
-    plan serves every size: a group of any size is ranked piece by piece, and
-    what meets per group is one number per piece.
+    A quantile sketch per group (``percentile_approx``, merged from partial
+    sketches) is off by at most 1 / ``accuracy`` of the group, so two of its
+    values bracket the wanted rank. One aggregate counts the values below and
+    inside the bracket; only what lies inside is sorted, a few thousandths of a
+    group. Where the counts show that the rank is not inside, the
+    bracket is the whole group: the result is exact whatever the sketch says.
+    Nothing is written; Spark reuses the shuffle that made the values distinct.
     """
-    pieces = cut_lineage(
-        values.repartitionByRange(*keys, "_v").withColumn("_piece", F.spark_partition_id()), label="rank-values"
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    margin = 2.0 / accuracy
+    wanted = targets.join(sizes, keys)
+    share = lambda by: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_rank") - 1) / F.col("_n") + by))
+    wanted = wanted.select(*keys, "_which", "_rank", share(-margin).alias("_from"), share(margin).alias("_to"))
+    # the sketch gives all of its cuts once, whatever ranks are asked for
+    at = [c / CUTS for c in range(CUTS + 1)]
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", at, accuracy).alias("_cuts"))
+    place = lambda c, up: F.element_at("_cuts", (up(F.col(c) * CUTS) + 1).cast("int"))
+    brackets = wanted.join(cuts, keys).select(
+        *keys, "_which", "_rank", place("_from", F.floor).alias("_low"), place("_to", F.ceil).alias("_high")
+    )
+    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+    counted = values.join(brackets, keys).groupBy(*keys, "_which").agg(
+        F.max("_rank").alias("_rank"),
+        F.max("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.sum((F.col("_v") < F.col("_low")).cast("long")).alias("_below"),
+        F.sum(inside.cast("long")).alias("_inside"),
+    )
+    held = (F.col("_rank") > F.col("_below")) & (F.col("_rank") <= F.col("_below") + F.col("_inside"))
+    counted = counted.select(
+        *keys,
+        "_which",
+        F.when(held, F.col("_rank") - F.col("_below")).otherwise(F.col("_rank")).alias("_rank"),
+        F.when(held, F.col("_low")).alias("_low"),
+        F.when(held, F.col("_high")).alias("_high"),
     )
-    sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_v"))
-    ranked = pieces.withColumn("_place", place).join(offsets, [*keys, "_piece"])
-    ranked = ranked.select(*keys, "_v", (F.col("_place") + F.col("_before")).alias("_rank"))
-    return ranked.join(targets, [*keys, "_rank"]).select(*keys, "_which", "_v")
+    few = values.join(counted, keys).filter(F.col("_low").isNull() | inside)
+    order = Window.partitionBy(*keys, "_which").orderBy("_v")
+    return few.withColumn("_place", F.row_number().over(order)).filter("_place = _rank").select(*keys, "_which", "_v")
 
 
 def _bounds(props: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:

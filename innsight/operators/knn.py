@@ -57,7 +57,7 @@ RANK = "neighbour_rank"
 DEFAULT_K = COMP_SET_SIZE
 LEAF_SIZE = 96  # points of a leaf
 FAN_OUT = 4  # pieces of one cut
-LEVELS = 4  # cuts of a cell, which so holds at most FAN_OUT ** LEVELS leaves
+LEVELS = 3  # cuts of a cell, which so holds at most FAN_OUT ** LEVELS leaves
 CURVE_BITS = 4  # the curve tells 2 ** bits quantiles of a feature apart
 # LSH: points a bucket should hold on average, hash tables, neighbouring buckets looked into per table
 DEFAULT_LSH_CANDIDATES = 50
@@ -96,6 +96,15 @@ def neighbour_pool(points: DataFrame, key: str, id_col: str, features: Sequence[
     return rows.withColumn("_place", place).filter(F.col("_place") <= k)
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows into as many tasks as the session shuffles to.
+
+    Points are few bytes, by which Spark would merge them into a few tasks, but
+    each is sorted many times or becomes ``leaf_size`` pairs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _curve(pool: DataFrame, key: str, n_features: int) -> DataFrame:
     """Add ``_code``: the place of a point along a curve that takes turns through the features' quantiles."""
     slices = 1 << CURVE_BITS
@@ -139,6 +148,7 @@ def leaf_layout(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> D
     cells = F.ceil(F.col("_all") / F.lit(float(leaf_size * FAN_OUT**LEVELS)))
     cell = F.floor((F.col("_at") + F.col("_shift")) * cells / F.col("_all")).cast("long")
     rows = placed.join(pieces, [key, "_piece"]).select(*pool.columns, cell.alias("_cell"), F.lit(0).alias("_path"))
+    rows = _spread(rows, key, "_cell")
     for _ in range(LEVELS):
         piece = Window.partitionBy(key, "_cell", "_path")
         spread = [F.max(v).over(piece) - F.min(v).over(piece) for v in vector]
@@ -190,9 +200,11 @@ def block_search(layout: DataFrame, targets: DataFrame, key: str, n_features: in
     t = targets.select(
         key, "_cell", "_leaf", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(v) for i, v in enumerate(vector)]
     )
-    pairs = t.drop("_cell").join(layout, [key, "_leaf"])
+    pairs = _spread(t.drop("_cell"), key, "_leaf").join(_spread(layout, key, "_leaf"), [key, "_leaf"])
     pairs = pairs.select(key, "_cell", "_leaf", "_tid", *vector, "_nid", _squared_distance(n_features).alias("_d2"))
-    own = cut_lineage(top_k(pairs, key, k), label="knn-own-leaf")
+    # a target has one leaf, so the join's partitioning serves the window too
+    place = F.row_number().over(Window.partitionBy(key, "_leaf", "_tid").orderBy("_d2", "_nid"))
+    own = cut_lineage(pairs.withColumn(RANK, place).filter(F.col(RANK) <= k), label="knn-own-leaf")
     # a little more than the k-th distance, for the rounding of box distances
     reach = F.when(F.count(F.lit(1)) >= k, F.max("_d2") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
     t = own.groupBy(key, "_cell", "_leaf", "_tid", *vector).agg(reach.alias("_kth"))
@@ -218,7 +230,8 @@ def block_search(layout: DataFrame, targets: DataFrame, key: str, n_features: in
 
 def search_pairs(search: BlockSearch, layout: DataFrame, key: str, n_features: int) -> DataFrame:
     """(key, _tid, _nid, _d2) with every pair that can be among a target's k nearest."""
-    others = search.visits.join(layout, [key, "_leaf"]).withColumn("_d2", _squared_distance(n_features))
+    others = _spread(search.visits, key, "_leaf").join(_spread(layout, key, "_leaf"), [key, "_leaf"])
+    others = others.withColumn("_d2", _squared_distance(n_features))
     others = others.filter(F.col("_d2") <= F.col("_kth")).select(key, "_tid", "_nid", "_d2")
     return search.own.unionByName(others)
 

@@ -128,7 +128,8 @@ def test_bounds_equal_per_city_quantile_loop_on_fixture(spark):
     props.unpersist()
 
 
-def test_select_ranks_equals_sorting(spark):
+@pytest.mark.parametrize("accuracy", [geo.SKETCH_ACCURACY, 3])  # 3: a sketch that is far off
+def test_select_ranks_equals_sorting(spark, accuracy):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -144,7 +145,7 @@ def test_select_ranks_equals_sorting(spark):
         for j, r in enumerate({1, len(vs), max(1, len(vs) // 3), max(1, (len(vs) * 97) // 100)}):
             wanted.append((g, f"t{j}", int(r), float(np.sort(vs)[r - 1])))
     targets = spark.createDataFrame([(g, w, r) for g, w, r, _ in wanted], "city_code string, _which string, _rank long")
-    got = {(r["city_code"], r["_which"]): r["_v"] for r in geo.select_ranks(values, targets, ["city_code"]).collect()}
+    got = {(r["city_code"], r["_which"]): r["_v"] for r in geo.select_ranks(values, targets, ["city_code"], accuracy).collect()}
     assert got == {(g, w): v for g, w, _, v in wanted}
 
 
