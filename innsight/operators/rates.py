@@ -4,8 +4,9 @@ Plan of ``rate_frequency`` (one lazy DataFrame, two shuffles):
 
 1. window filter on the date partition columns (directory pruning) and a
    projection of the seven needed columns (column pruning);
-2. left join to the rate lookup, broadcast behind a check of its bytes, with
-   unmatched rates bucketed as ``OTHER``;
+2. left join to the rate lookup, broadcast behind a check of its bytes (else a
+   join with frequent and null ids apart), with unmatched rates bucketed as
+   ``OTHER``;
 3. drop rates with no qualifying label (narrow, before any shuffle);
 4. de-duplicate (date, session, hotel, rate, bucket, labels) -- partial
    de-duplication map-side, then a hash exchange on all those keys, so a hot
@@ -33,7 +34,7 @@ from innsight.operators.labels import (
     with_label_columns,
     with_top3_flag,
 )
-from innsight.plans.joins import DEFAULT_MAX_BROADCAST_BYTES, join_bounded
+from innsight.plans.joins import DEFAULT_MAX_BROADCAST_BYTES, join_split, measured_bytes
 from innsight.plans.lineage import cut_lineage
 from innsight.sources.search_log import SearchWindow
 
@@ -47,9 +48,18 @@ def select_window(log: DataFrame, window: SearchWindow | None) -> DataFrame:
 def attach_rate_bucket(
     rates: DataFrame, lookup: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
 ) -> DataFrame:
-    """Left-join the lookup on ``rate_id``; rates missing from it get bucket ``OTHER``."""
+    """Left-join the lookup on ``rate_id``; rates missing from it get bucket ``OTHER``.
+
+    A lookup of at most ``max_broadcast_bytes`` measured bytes is broadcast. To a
+    larger one the rates are shuffled by id, without the null ids (which are
+    ``OTHER``) and the frequent ones (whose few lookup rows are broadcast), so no
+    task gets more than its share.
+    """
     side = lookup.select("rate_id", "new_rate_bucket")
-    joined = join_bounded(rates, side, on="rate_id", how="left", max_bytes=max_broadcast_bytes)
+    if measured_bytes(side) <= max_broadcast_bytes:
+        joined = rates.join(F.broadcast(side), "rate_id", "left")
+    else:
+        joined = join_split(rates, side, ["rate_id"], "left")
     return joined.withColumn(
         "new_rate_bucket", F.coalesce(F.col("new_rate_bucket"), F.lit(UNMATCHED_RATE_BUCKET))
     )
