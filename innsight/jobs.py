@@ -8,7 +8,8 @@
 Deployment settings (executors, memory, shuffle partitions, checkpoint folder)
 are ``spark-submit --conf`` options, not code. Each job writes with a single
 action per output and reads its own output back for the summaries, so a
-summary never recomputes the analysis. A run replaces its whole output, unless
+summary never recomputes the analysis; the rate summary is kept by day and reads
+only the days that have changed. A run replaces its whole output, unless
 ``--replace-days`` (rate frequency) limits that to the days it has rows for.
 What a job writes on the side goes when it ends, also when it fails.
 """
@@ -29,6 +30,7 @@ from innsight.operators.knn import NEIGHBOUR_ID, TARGET_ID
 from innsight.operators.properties import bookings_since, property_metrics
 from innsight.operators.rates import rate_frequency, rate_summary
 from innsight.plans.lineage import cut_lineage, job_cuts
+from innsight.sinks.daily_summary import read_summary, refresh_parts
 from innsight.sinks.writers import read_partitioned, save_partitioned_table, write_partitioned, write_single_csv, write_sorted_csv
 from innsight.sources.bookings import (
     read_bookings_parquet,
@@ -51,13 +53,18 @@ def run_rate_frequency(
     checkpoint: bool = False,
     replace_days: bool = False,
 ) -> None:
-    """Rate counts per search (Parquet by day) and a one-file CSV summary of the whole output."""
+    """Rate counts per search (Parquet by day) and a one-file CSV summary of the whole output.
+
+    The summary is kept by day beside the output: only days whose files have
+    changed since the last run are read for it.
+    """
     frequency = rate_frequency(
         read_search_log(spark, search_log_path), read_rate_lookup(spark, lookup_path), window, checkpoint=checkpoint
     )
     write_partitioned(frequency, output_path, DATE_PARTS, replace_partitions_only=replace_days)
-    written = read_partitioned(spark, output_path, frequency.schema)
-    write_single_csv(rate_summary(written), summary_path or output_path.rstrip("/") + "_summary", SUMMARY_KEYS)
+    refresh_parts(spark, output_path, frequency.schema, DATE_PARTS, rate_summary)
+    summary = read_summary(spark, output_path, rate_summary(frequency).schema)
+    write_single_csv(summary, summary_path or output_path.rstrip("/") + "_summary", SUMMARY_KEYS)
 
 
 def run_comp_sets(

@@ -49,18 +49,6 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
 
-def join_bounded(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | Sequence[str] | Column,
-    how: str = "inner",
-    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """Join ``big`` to ``small``, broadcasting ``small`` only when it measures at most ``max_bytes``."""
-    side = F.broadcast(small) if measured_bytes(small) <= max_bytes else small
-    return big.join(side, on=on, how=how)
-
-
 def _key_hash(on: Sequence[str]) -> Column:
     """A hash of the key, null where a part of it is null."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
@@ -87,7 +75,7 @@ def frequent_keys(df: DataFrame, on: Sequence[str], max_keys: int = MAX_FREQUENT
 def join_split(
     big: DataFrame,
     small: DataFrame,
-    on: Sequence[str],
+    on: str | Sequence[str],
     how: str = "inner",
     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     max_keys: int = MAX_FREQUENT_KEYS,
@@ -121,6 +109,19 @@ def join_split(
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
+def join_bounded(
+    big: DataFrame,
+    small: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Join (inner or left) ``big`` to ``small``: broadcast if ``small`` measures at most ``max_bytes``, else ``join_split``."""
+    if measured_bytes(small) <= max_bytes:
+        return big.join(F.broadcast(small), on=on, how=how)
+    return join_split(big, small, on, how)
+
+
 def _bit_places(on: Sequence[str], buckets: int) -> list[Column]:
     """[bucket, place, place, ...] of a key in the filter."""
     places = [F.pmod(F.xxhash64(*on, F.lit(i)), F.lit(BUCKET_BITS)).cast("int") for i in range(1, BITS_SET + 1)]

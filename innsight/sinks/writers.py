@@ -14,6 +14,9 @@
   sorted and written (sorting *before* a single repartition would not keep the
   order).
 * ``save_partitioned_table`` -- a managed catalog table, partitioned.
+
+An overwrite goes through a staging folder (``sinks.publish``): a write that
+fails leaves the old output in place.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from innsight.sinks.publish import replace_output
+
 
 def write_partitioned(
     df: DataFrame,
@@ -30,18 +35,26 @@ def write_partitioned(
     partition_cols: Sequence[str],
     mode: str = "overwrite",
     replace_partitions_only: bool = False,
-) -> None:
+) -> list[str] | None:
     """Write Parquet under ``col=value/`` directories.
 
     With ``mode="overwrite"`` the whole output is replaced (so partitions of an
     earlier run that are absent now disappear); ``replace_partitions_only``
-    replaces only the partitions present in ``df`` (dynamic overwrite), for
-    incremental daily runs.
+    replaces only the partitions present in ``df``, for incremental daily runs,
+    and returns their folders.
     """
-    writer = df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols)
-    if replace_partitions_only:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    writer = df.hint("rebalance", *partition_cols).write.partitionBy(*partition_cols)
+    if mode != "overwrite":
+        writer.mode(mode).parquet(path)
+        return None
+    return replace_output(df.sparkSession, path, writer.parquet, len(partition_cols) if replace_partitions_only else None)
+
+
+def _write_csv(df: DataFrame, path: str, mode: str) -> None:
+    if mode == "overwrite":
+        replace_output(df.sparkSession, path, lambda staging: df.write.csv(staging, header=True))
+    else:
+        df.write.mode(mode).csv(path, header=True)
 
 
 def write_sorted_csv(
@@ -59,7 +72,7 @@ def write_sorted_csv(
     """
     kept = df.drop(*drop)
     ranged = kept.repartitionByRange(files, *order_by) if files else kept.repartitionByRange(*order_by)
-    ranged.sortWithinPartitions(*order_by).write.mode(mode).csv(path, header=True)
+    _write_csv(ranged.sortWithinPartitions(*order_by), path, mode)
 
 
 def write_single_csv(
@@ -73,7 +86,7 @@ def write_single_csv(
     one = df.drop(*drop).repartition(1)
     if order_by:
         one = one.sortWithinPartitions(*order_by)
-    one.write.mode(mode).csv(path, header=True)
+    _write_csv(one, path, mode)
 
 
 def save_partitioned_table(
