@@ -31,7 +31,6 @@ from innsight.llm.ranks import bucket_digits, running_sum
 from innsight.llm.tables import column, free_name, materialize, read_table
 
 MAX_EPOCHS = 3  # a target stops at this many times its source's size
-TOP_UPS = 4  # largest fitting documents added to the partial pass before it goes on in order
 #: start and end of the weight schedule, as multiples of a source's average weight,
 #: by its weight class: light sources fade in, heavy ones fade out
 SCHEDULE = {1: (0.5, 1.5), 2: (1.0, 1.0), 3: (1.5, 0.5)}
@@ -123,17 +122,17 @@ def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
     )
 
 
-def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP_UPS) -> DataFrame:
+def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Plan the mix of (id, source, size, key, tag): adds source_size, weight, target, copies, taken, before, place.
 
     ``key`` is a fixed hash that orders the documents of a source. Whole passes
-    go to every document; the partial pass takes documents in the order of
-    ``key`` as long as their words fit, then ``top_ups`` times the largest
-    document that still fits in the gap, then again and again those left that fit
-    in the order of ``key``, until no document left fits. ``before`` is the words
-    ahead of a document in a whole pass, ``place`` in the partial pass. The tables
-    of one row per source are written, so that Spark knows their size and
-    broadcasts only small ones.
+    go to every document; the partial pass goes through the documents in the order
+    of ``key`` and takes each that fits what is left of it. That is done in rounds:
+    a round takes the documents up to the first that does not fit, and the next
+    one goes on with those behind it that still fit, until none is left.
+    ``before`` is the words ahead of a document in a whole pass, ``place`` in the
+    partial pass. The tables of one row per source are written, so that Spark
+    knows their size and broadcasts only small ones.
     """
     digits = bucket_digits(sizes.count())
     sizes = sizes.withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
@@ -158,21 +157,7 @@ def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP
         (F.max("partial") - F.sum(F.col("size") * F.col("extra"))).alias("gap"),
     )
     left = plan.filter("extra = 0 and size > 0").select("source", "bucket", "key", "id", "size", "tag")
-    filled = []  # documents taken after the prefix, with the words of the partial pass before them
-    for _ in range(top_ups):
-        gaps = materialize(gaps, "gaps")
-        # the largest document that fits: a partial maximum per task and source
-        best = materialize(
-            left.join(gaps, "source")
-            .filter("size <= gap")
-            .groupBy("source")
-            .agg(F.max(F.struct("size", "key", "tag")).alias("best"), F.max(F.col("partial") - F.col("gap")).alias("place"))
-            .select("source", F.col("best.size").alias("used"), F.col("best.tag").alias("tag"), "place"),
-            "top-up",
-        )
-        filled.append(best.select("tag", "place"))
-        left = left.join(best.select("tag"), "tag", "left_anti")
-        gaps = _less(gaps, best)
+    filled = []  # documents taken after the first round, with the words of the partial pass before them
     while True:
         gaps = materialize(gaps, "gaps")
         left = materialize(left.join(gaps, "source").filter("size <= gap"), "left")
@@ -199,7 +184,7 @@ def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, top_ups: int = TOP
     return plan.withColumn("copies", copies).withColumn("taken", F.col("size") * copies)
 
 
-def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
     id_value = column(df, id_col)
     return materialize(
         df.select(
@@ -207,7 +192,7 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
             source_key(column(df, source_col)).alias("source"),
             word_count(column(df, text_col)).alias("size"),
             id_hash(id_value).alias("key"),
-            F.monotonically_increasing_id().alias("tag"),
+            (F.monotonically_increasing_id() if row_col is None else column(df, row_col)).alias("tag"),
         ),
         "sizes",
     )
@@ -270,29 +255,17 @@ def training_order(
 ) -> DataFrame:
     """The rows of ``df`` in the order of training: each as often as the mix takes it, by position.
 
-    Rows are matched to their plan by id and size, one to one for repeated ids.
+    The rows are written with a number of their own first, by which each finds its
+    plan, so rows that are alike do not meet. The result's files, in the order of
+    their names, hold the rows in order.
     """
-    row, twin, place = (free_name(df, n) for n in ("mix_row", "mix_twin", "mix_position"))
-    plan = mix_sizes(_sizes(df, id_col, text_col, source_col), max_epochs)
-    row_text = lambda *parts: F.concat_ws("\x01", *[p.cast("string") for p in parts])
-    planned = plan.select(
-        row_text(F.col("key"), F.col("source"), F.col("size")).alias("_row"),
-        "tag",
-        "copies",
-        copy_positions(plan, schedule).alias("_positions"),
-    ).withColumn("_twin", F.row_number().over(Window.partitionBy("_row").orderBy("tag")))
-    rows = df.withColumn(
-        row,
-        row_text(
-            id_hash(column(df, id_col)), source_key(column(df, source_col)), word_count(column(df, text_col))
-        ),
-    )
-    rows = rows.withColumn(twin, F.row_number().over(Window.partitionBy(row).orderBy(row)))
-    # the twin is compared outside the join key, so the windows' partitioning serves the join
-    same = (F.col(row) == F.col("_row")) & (F.col(twin) - F.col("_twin") == 0)
+    row, place = (free_name(df, n) for n in ("mix_row", "mix_position"))
+    tagged = materialize(df.select("*", F.monotonically_increasing_id().alias(row)), "tagged")
+    plan = mix_sizes(_sizes(tagged, id_col, text_col, source_col, row), max_epochs)
+    planned = plan.filter("copies > 0").select(F.col("tag").alias(row), copy_positions(plan, schedule).alias(place))
     return (
-        rows.join(planned.filter("copies > 0"), same)
-        .select(*[column(df, c) for c in df.columns], F.explode("_positions").alias(place))
+        tagged.join(planned, row)
+        .select(*[column(tagged, c) for c in df.columns], F.explode(place).alias(place))
         .repartitionByRange(place)
         .sortWithinPartitions(place)
         .drop(place)
@@ -300,26 +273,17 @@ def training_order(
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix_documents(read_table(spark, sf_dir, "documents")).drop("positions", "copies")
+    """The plan of each document, with its copies and the training position of the first (null: not taken)."""
+    first = F.round(F.try_element_at("positions", F.lit(1)), 6)
+    return mix_documents(read_table(spark, sf_dir, "documents")).withColumn("first_position", first).drop("positions")
 
 
 def _op7_sql() -> str:
-    rounds = ""
-    for k in range(TOP_UPS):
-        before = "".join(f" AND tag NOT IN (SELECT tag FROM b{j} WHERE tag IS NOT NULL)" for j in range(k))
-        used = "".join(
-            f" - coalesce((SELECT used FROM b{j} WHERE b{j}.source = g.source), 0)" for j in range(k)
-        )
-        rounds += f""",
-b{k} AS (
-  SELECT source, max(size) AS used, arg_max(tag, (size, key, tag)) AS tag
-  FROM p JOIN (SELECT source, gap{used} AS gap FROM g) USING (source)
-  WHERE extra = 0 AND size > 0 AND size <= gap{before}
-  GROUP BY source
-)"""
-    topped = " OR ".join(f"tag IN (SELECT tag FROM b{k})" for k in range(TOP_UPS))
+    def of_weight(place: int) -> str:
+        return "CASE w " + " ".join(f"WHEN {k} THEN {v[place]}::double" for k, v in SCHEDULE.items()) + " END"
+
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(coalesce(doc_id::varchar, '')) AS key, row_number() OVER () AS tag
@@ -339,7 +303,7 @@ WITH d AS (
 ), open AS (
   SELECT min(rk) AS rk FROM l WHERE cap * weights_left > w * words_left
 ), t AS (
-  SELECT l.source, cap0::bigint AS source_size,
+  SELECT l.source, w, cap0::bigint AS source_size,
          CASE WHEN l.rk < open.rk THEN cap::double
               ELSE (w * (SELECT words_left FROM l AS m WHERE m.rk = open.rk))::double
                    / (SELECT weights_left FROM l AS m WHERE m.rk = open.rk)::double END AS target
@@ -350,15 +314,27 @@ WITH d AS (
   FROM t
 ), p AS (
   SELECT d.*, t2.* EXCLUDE (source),
-         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tag
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= partial)::int AS extra
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tag
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tag) AS turn
   FROM d JOIN t2 USING (source)
-), g AS (
-  SELECT source, max(partial) - sum(size * extra) AS gap FROM p GROUP BY source
-){rounds}
-SELECT doc_id, size::bigint AS size, source_size, target,
-       (size * (passes + extra + CASE WHEN {topped} THEN 1 ELSE 0 END))::bigint AS taken
-FROM p
+), f AS (  -- through the documents of each source in order: one that fits the gap is taken
+  SELECT source, 0::bigint AS turn, partial AS gap, NULL::bigint AS tag, 0::bigint AS extra, 0::bigint AS place FROM t2
+  UNION ALL
+  SELECT p.source, p.turn, gap - CASE WHEN p.size <= gap THEN p.size ELSE 0 END, p.tag,
+         (p.size <= gap)::bigint, p.partial - gap
+  FROM f JOIN p ON p.source = f.source AND p.turn = f.turn + 1
+), m AS (
+  SELECT p.*, CASE WHEN size > 0 THEN passes + extra ELSE 0 END AS copies, {of_weight(0)} AS s, {of_weight(1)} AS e,
+         (CASE WHEN passes > 0 THEN before ELSE place END + size / 2) / greatest(target, 1.0) AS asked
+  FROM p JOIN f USING (tag)
+), a AS (
+  SELECT *, least(asked, 1.0) * (s + e) / 2 AS demand, (e - s) / 2 AS slope FROM m
+)
+SELECT doc_id, size::bigint AS size, source_size, target, (size * copies)::bigint AS taken, copies,
+       CASE WHEN copies > 0 THEN round(CASE WHEN abs(slope) < 1e-12 THEN demand / s
+            ELSE 2 * demand / (s + sqrt(greatest(s * s + 4 * slope * demand, 0.0))) END, 6) END AS first_position
+FROM a
 """
 
 
