@@ -32,7 +32,7 @@ ENDS_PARAGRAPH = BLOCK - frozenset("body button caption head html legend optgrou
 PARAGRAPH_SCOPE = frozenset("button caption object table td th".split())
 
 _TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # a comment may end at once, as in <!-->, or with --!>
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",

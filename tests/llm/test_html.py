@@ -116,3 +116,18 @@ def test_cases(spark, field):
     texts = [r.text for r in out.collect()]
     assert texts[:4] == ["", "", "", "Some words here."] and len(texts[4]) == 299_999 and texts[5:] == ["Twice.", "Twice."]
     assert html_text.with_main_text(df.filter("1 = 0"), field=field).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<article><p>a<!-->b<p>c</article>", ["ab", "c"]),
+        ("<p>a<!--->b<p>c", ["ab", "c"]),
+        ("<p>a<!-- x --!>b<p>c", ["ab", "c"]),
+        ("<p>a<!-- > -> x -->b", ["ab"]),
+        ("<p>a<!---->b", ["ab"]),
+        ("<p>a<!-- never closed <p>c", ["a"]),
+    ],
+)
+def test_comments_end_as_in_the_standard(html, texts):
+    assert [b.text for b in leaf_blocks(html)] == texts
