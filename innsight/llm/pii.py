@@ -64,7 +64,7 @@ def _iban_pattern() -> str:
 PATTERNS = {
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[ \t]*[=:][ \t]*\x22?[A-Za-z0-9+/_\-]{8,}\x22?",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,126}[A-Za-z]{2,}",
     "iban": _iban_pattern(),
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ \-])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",

@@ -178,3 +178,29 @@ def test_query_is_native_without_shuffle_and_leaves_no_value(spark):
         if not found[d.doc_id].n_replaced:
             assert new == d.text
     assert n > 3
+
+
+HOSTILE = [
+    "x@" + "a." * 500_000,
+    "x@" + "a" * 1_000_000 + ".com",
+    "a." * 500_000 + "@b.com",
+    "password=" + "A" * 1_000_000,
+    "DE12" + " 1234" * 10_000,
+    "token: " * 7_000,
+    "+1 " + "(2" * 25_000,
+    "+44 12" * 7_000,
+    "1234-" * 10_000,
+    "1." * 25_000,
+    "12/" * 15_000,
+    "9" * 50_000,
+    "AKIA" * 12_000,
+]
+
+
+def test_very_long_hostile_texts(spark):
+    """Texts made to run each pattern long: no stack overflow, and what stands around them is still replaced."""
+    df = spark.createDataFrame([(i, f"me@mail.example.org {t} 219-09-9999") for i, t in enumerate(HOSTILE)], "doc_id long, text string")
+    out = pii.pseudonymize(df, "key")
+    rows = {r.doc_id: r.text for r in out.select("doc_id", "text").collect()}
+    assert len(rows) == len(HOSTILE)
+    assert all("me@mail.example.org" not in t for t in rows.values())
