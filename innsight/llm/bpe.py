@@ -22,6 +22,7 @@ are kept by ``with_ids`` and ``with_decoded``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -37,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from innsight.llm.tables import column, free_name, read_table, worker_state
+from innsight.llm.tables import column, free_name, read_table, releasing, worker_state
 
 CACHED_WORDS = 150_000  # of each of two generations
 CACHED_PAIRS = 300_000
 SLICE = 512  # rows handled at once
+SLICE_BYTES = 4 << 20  # or, where texts are long, so many bytes
 END = "Ā"  # stands for the end of a word; bytes are U+0000 to U+00FF
 END_SUFFIX = "</w>"
 
@@ -82,7 +84,10 @@ def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]
 class Vocabulary:
     """What the workers need of a tokenizer file; built once on the driver."""
 
-    json: str  # the file, for its normaliser and word split
+    digest: str  # of the file
+    normalizer: object  # the library's, of this file
+    pre_tokenizer: object
+    split: str  # pattern of the word split
     strings: dict[str, int]  # text of bytes (and END) -> id, of the tokens that merging can reach
     formed: dict[int, tuple[int, int, int]]  # id -> (rank, left id, right id) of its last merge
     ranks: dict[tuple[int, int], int]  # pair of ids -> rank of its merge
@@ -130,7 +135,12 @@ class Vocabulary:
         for name, i in [*vocab.items(), *specials.items()]:
             names[i] = name
         ranks = {pair: rank for pair, (rank, _) in merges.items()}
-        return cls(text, reachable, formed, ranks, shorter, specials, names)
+        library = Tokenizer.from_str(text)
+        split = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        return cls(
+            digest, library.normalizer, library.pre_tokenizer, split, reachable, formed, ranks, shorter, specials, names
+        )
 
     @staticmethod
     def symbols(string: str, strings: dict[str, int]) -> list[int]:
@@ -184,16 +194,14 @@ class Encoder:
         self.automaton.make_automaton()
         self.length = {i: len(s) for s, i in vocabulary.strings.items()}
         self.closing = {i for s, i in vocabulary.strings.items() if s.endswith(END)}
-        library = Tokenizer.from_str(vocabulary.json)
-        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.normalizer, self.pre_tokenizer = vocabulary.normalizer, vocabulary.pre_tokenizer
         self.byte_of = byte_characters()
         self.special = (
             re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")")
             if vocabulary.specials
             else None
         )
-        given = json.loads(vocabulary.json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.plain = given == WORD_SPLIT
+        self.plain = vocabulary.split == WORD_SPLIT
         self.pairs: dict[int, bool] = {}
         self.words = _Words(self.encode_word)
 
@@ -295,16 +303,21 @@ def _in_worker(shared, make):
     """The worker's object made of a broadcast vocabulary, kept while the same vocabulary is asked for."""
     kept = worker_state(f"bpe_{make.__qualname__}", dict)
     vocabulary = shared.value
-    if kept.get("json") != vocabulary.json:
-        kept.update(json=vocabulary.json, made=make(vocabulary))
+    if kept.get("digest") != vocabulary.digest:
+        kept.update(digest=vocabulary.digest, made=make(vocabulary))
     return kept["made"]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most SLICE rows, so that what is made of one batch stays small."""
+    """Batches of at most SLICE rows and about SLICE_BYTES, so that what is made of one batch stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+        start = 0
+        while start < batch.num_rows:
+            rows = min(SLICE, batch.num_rows - start)
+            while rows > 1 and batch.slice(start, rows).nbytes > SLICE_BYTES:
+                rows = (rows + 1) // 2
+            yield batch.slice(start, rows)
+            start += rows
 
 
 def _with_columns(df: DataFrame, added: dict[str, T.DataType], make) -> DataFrame:
@@ -315,7 +328,7 @@ def _with_columns(df: DataFrame, added: dict[str, T.DataType], make) -> DataFram
             yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], names=[*part.schema.names, *added])
 
     fields = [T.StructField(name, kind) for name, kind in added.items()]
-    return df.mapInArrow(add, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(releasing(add), T.StructType([*df.schema.fields, *fields]))
 
 
 IDS = T.ArrayType(T.IntegerType())

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm.tables import column, crc_remainder, free_name, materialize, read_table, worker_state
+from innsight.llm.tables import column, crc_remainder, free_name, materialize, read_table, releasing, worker_state
 
 MAX_GRAM = 4
 MIN_SHARE = 5e-5  # smallest share of a word or n-gram in some language
@@ -179,7 +179,7 @@ def fit(
                     )
 
     counts = materialize(
-        sample.mapInArrow(count_units, "lang string, size int, unit string, n long")
+        sample.mapInArrow(releasing(count_units), "lang string, size int, unit string, n long")
         .groupBy("lang", "size", "unit")
         .agg(F.sum("n").alias("n")),
         "language-units",
@@ -241,7 +241,10 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", into: str
 def keep_identified(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose text has a language, a missing language filled in.
 
-    Fitted on the rows of ``df`` that have one.
+    Fitted on the rows of ``df`` that have one. A language that is given is never
+    overruled; rows go whose text is null or has no letter, given language or not.
+    A text with letters of which no word or letter is known to any language stays,
+    under the first language if none is given.
     """
     found = free_name(df, "language")
     identified = with_language(df, fit(df, text_col, lang_col, id_col), text_col, found)

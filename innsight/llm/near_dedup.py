@@ -44,9 +44,11 @@ from innsight.llm.components import connected_components
 from innsight.llm.tables import (
     binary_values,
     column,
+    free_name,
     group_bounds,
     materialize,
     read_table,
+    releasing,
     sorted_groups,
     worker_state,
 )
@@ -175,7 +177,7 @@ def describe_sets(df: DataFrame, id_col: str, text_col: str, width: int, similar
     rows = df.select(
         column(df, id_col).cast("long").alias("id"), column(df, text_col).cast("binary").alias("text")
     )
-    return rows.mapInArrow(describe, "id long, n long, set_key binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(releasing(describe), "id long, n long, set_key binary, bands array<long>, sketch binary")
 
 
 def tile_pairs(members: Column, row: Column) -> Column:
@@ -270,7 +272,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     return (
         tiled.repartition(*keys)
         .sortWithinPartitions(*keys)
-        .mapInArrow(link, "a long, b long")
+        .mapInArrow(releasing(link), "a long, b long")
         .filter("a <> b")
         .distinct()
     )
@@ -341,7 +343,7 @@ def confirmed_links(
             )
 
     return (
-        tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm_all, "a long, b long")
+        tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(confirm_all), "a long, b long")
     )
 
 
@@ -379,10 +381,22 @@ def near_duplicates(
 def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """The rows of ``df`` without those whose id is not the smallest of its component."""
-    found = near_duplicates(df, id_col, text_col, width, percent)
-    gone = materialize(found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return df.join(gone, column(df, id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``df`` that stay: of each component the one with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, so ids may repeat, be null or be
+    texts; of rows with the smallest id one stays, and rows of one id whose texts
+    are unlike do not touch each other.
+    """
+    tag = free_name(df, "row")
+    tagged = materialize(df.select("*", F.monotonically_increasing_id().alias(tag)), "tagged")
+    found = near_duplicates(tagged.select(tag, column(tagged, text_col).alias("text")), tag, "text", width, percent)
+    id_value = tagged.select(F.col(tag), column(tagged, id_col).alias("id"))
+    members = materialize(
+        found.filter("n_shingles > 0").select(tag, "component_id").join(id_value, tag), "near-copies"
+    )
+    keeper = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", tag))[tag].alias("keeper"))
+    gone = members.join(keeper, "component_id").filter(F.col(tag) != F.col("keeper")).select(tag)
+    return tagged.join(gone, tag, "left_anti").drop(tag)
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

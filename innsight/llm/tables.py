@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -60,10 +62,34 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     kept = home.__dict__.setdefault("kept", {})
     if key not in kept:
         kept.clear()
+        release_memory()
         kept[key] = make()
     return kept[key]
 
 
+def release_memory() -> None:
+    """Give back to the system what this process has freed: Arrow's buffers and the heap.
+
+    Workers live as long as their executor; else each would keep the most that
+    any of its tasks has needed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, giving memory back at the end of each task."""
+
+    def and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return and_release
+
+
 def binary_values(column: pa.Array) -> list[bytes]:
     """The values of a binary or string array as bytes, null as empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

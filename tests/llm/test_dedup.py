@@ -169,5 +169,18 @@ def test_near_cases(spark):
     assert got == {(9, 4, False), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (3, 3, True), (12, 3, False), (None, None, True)}
     assert {r.doc_id: r.n_shingles for r in out}[5] == 1 and {r.doc_id: r.n_shingles for r in out}[6] == 0
     left = near_dedup.drop_near_copies(df)
-    assert left.columns == df.columns and left.count() == 8
+    # of equal texts one row stays, also of those without an id or with the same one
+    assert left.columns == df.columns
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 8]
     assert near_dedup.near_duplicates(df.filter("1 = 0")).count() == 0
+
+
+def test_near_copies_go_by_row_not_by_id(spark):
+    """Unlike texts under one id stay; ids may be texts."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (7, a), (7, b), (5, b + " more"), (None, a), (None, "alone one two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()}
+    assert left == {(3, a), (5, b + " more"), rows[-1]}
+    named = spark.createDataFrame([("x", a), ("w", a), ("x", b)], "doc_id string, text string")
+    assert {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(named).collect()} == {("w", a), ("x", b)}
