@@ -184,7 +184,7 @@ def mix_sizes(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return plan.withColumn("copies", copies).withColumn("taken", F.col("size") * copies)
 
 
-def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     id_value = column(df, id_col)
     return materialize(
         df.select(
@@ -192,7 +192,7 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, row_col:
             source_key(column(df, source_col)).alias("source"),
             word_count(column(df, text_col)).alias("size"),
             id_hash(id_value).alias("key"),
-            (F.monotonically_increasing_id() if row_col is None else column(df, row_col)).alias("tag"),
+            F.monotonically_increasing_id().alias("tag"),
         ),
         "sizes",
     )
@@ -255,17 +255,29 @@ def training_order(
 ) -> DataFrame:
     """The rows of ``df`` in the order of training: each as often as the mix takes it, by position.
 
-    The rows are written with a number of their own first, by which each finds its
-    plan, so rows that are alike do not meet. The result's files, in the order of
-    their names, hold the rows in order.
+    Rows are matched to their plan by id, source and size, and rows that agree in
+    all three by their number in the order of their texts' hashes, one to one. The
+    result's files, in the order of their names, hold the rows in order.
     """
-    row, place = (free_name(df, n) for n in ("mix_row", "mix_position"))
-    tagged = materialize(df.select("*", F.monotonically_increasing_id().alias(row)), "tagged")
-    plan = mix_sizes(_sizes(tagged, id_col, text_col, source_col, row), max_epochs)
-    planned = plan.filter("copies > 0").select(F.col("tag").alias(row), copy_positions(plan, schedule).alias(place))
+    row, twin, place = (free_name(df, n) for n in ("mix_row", "mix_twin", "mix_position"))
+    plan = mix_sizes(_sizes(df, id_col, text_col, source_col), max_epochs)
+    row_text = lambda *parts: F.concat_ws("\x01", *[p.cast("string") for p in parts])
+    planned = plan.select(
+        row_text(F.col("key"), F.col("source"), F.col("size")).alias(row),
+        "tag",
+        "copies",
+        copy_positions(plan, schedule).alias(place),
+    ).withColumn(twin, F.row_number().over(Window.partitionBy(row).orderBy("tag")))
+    rows = df.withColumn(
+        row,
+        row_text(
+            id_hash(column(df, id_col)), source_key(column(df, source_col)), word_count(column(df, text_col))
+        ),
+    )
+    rows = rows.withColumn(twin, F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(column(df, text_col)))))
     return (
-        tagged.join(planned, row)
-        .select(*[column(tagged, c) for c in df.columns], F.explode(place).alias(place))
+        rows.join(planned.filter("copies > 0").select(row, twin, place), [row, twin])
+        .select(*[column(df, c) for c in df.columns], F.explode(place).alias(place))
         .repartitionByRange(place)
         .sortWithinPartitions(place)
         .drop(place)
