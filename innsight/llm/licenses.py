@@ -1,16 +1,21 @@
 """Licence scan with a positional index of rare words.
 
-Licence notices are kept as templates: words with positions. From the document
-frequencies of all template words over the whole corpus each template gets its
-anchors, the words with the highest inverse document frequency. A file is read
-once: where an anchor word stands at position p, every posting (template,
-position q) votes for the template starting at p - q. Votes that agree on a
-start are the intersection of the postings by relative position. A start with
-enough votes is verified: each key phrase of the template must stand at its
-place, and the share of template words at their places is the match's coverage.
+Licence notices are kept as templates: words with positions. All words of all
+templates are indexed, word -> postings (template, position), and their inverse
+document frequency is taken over the whole corpus. A file looks up its own licence
+words, the one with the highest IDF first. Each posting met becomes an anchor of
+its template, until the template has as many as any match must agree on: a match
+holds a share ``MIN_COVERAGE`` of the template's words, so of the words that the
+file has, all but a known number stand at their places. A template that lacks too
+many words, or a word of a key phrase, is left out. Where an anchor of position q
+stands at p it votes for a start at p - q; the votes that agree are the
+intersection of the postings by relative position. A start with enough votes is
+verified: each key phrase of the template must stand at its place, and the share
+of template words at their places is the match's coverage. So no match is lost,
+whatever the frequencies are; they decide only how much is looked at.
 
 A short phrase that names a licence is a template whose only key phrase is the
-phrase itself, with one anchor, so every place of it is found.
+phrase itself, whose words must all be there: one anchor finds every place of it.
 
 Defined cases: a null text counts as empty and has no words and no matches;
 matches may overlap and repeat; rows repeated whole give the same result each;
@@ -24,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +37,6 @@ from pyspark.sql import functions as F
 
 from innsight.llm.tables import binary_values, column, read_table
 
-ANCHORS = 4  # rare words per notice
 MIN_VOTES = 2  # anchors that must agree on a notice's start
 MIN_COVERAGE = 0.7  # of a notice's words at their places
 
@@ -54,6 +59,21 @@ class Template:
     phrases: tuple[tuple[int, tuple[bytes, ...]], ...]  # (place in words, words)
     base: bool  # a phrase alone
 
+    @cached_property
+    def vital(self) -> frozenset[bytes]:
+        """Words without which there is no match."""
+        return frozenset(w for _, wanted in self.phrases for w in wanted)
+
+    @cached_property
+    def least_hits(self) -> int:
+        """Words that must stand at their places."""
+        n = len(self.words)
+        return n if self.base else next(h for h in range(1, n + 1) if h / n >= MIN_COVERAGE)
+
+    @property
+    def votes(self) -> int:
+        return min(1 if self.base else MIN_VOTES, self.least_hits)
+
 
 def notice(label: str, text: str, *key_phrases: str) -> Template:
     words = tuple(split_words(text.encode()))
@@ -135,34 +155,57 @@ def document_frequencies(df: DataFrame, text_col: str, vocabulary: set[bytes]) -
 
 def rare_word_index(
     templates: list[Template], rows: int, frequencies: dict[bytes, int]
-) -> tuple[dict[bytes, list[tuple[int, int]]], list[int]]:
-    """Postings of the anchors, word -> [(template, position)], and the votes each template needs."""
+) -> tuple[dict[bytes, list[tuple[int, int]]], dict[bytes, float]]:
+    """Postings of all template words, word -> [(template, position)], and the words' IDF."""
     postings: dict[bytes, list[tuple[int, int]]] = {}
-    votes = []
     for k, t in enumerate(templates):
-        idf = [math.log((rows + 1) / (frequencies.get(w, 0) + 1)) for w in t.words]
-        ranked = sorted(range(len(t.words)), key=lambda q: (-idf[q], q))
-        anchors = ranked[: 1 if t.base else ANCHORS]
-        for q in anchors:
-            postings.setdefault(t.words[q], []).append((k, q))
-        votes.append(min(1 if t.base else MIN_VOTES, len(anchors)))
-    return postings, votes
+        for q, w in enumerate(t.words):
+            postings.setdefault(w, []).append((k, q))
+    return postings, {w: math.log((rows + 1) / (frequencies.get(w, 0) + 1)) for w in postings}
+
+
+def file_anchors(
+    own: set[bytes], templates: list[Template], postings: dict, idf: dict[bytes, float]
+) -> dict[int, list[int]]:
+    """Anchor positions per template that a file with the licence words ``own`` can hold, its rarest words first."""
+    open_: dict[int, int] = {}  # template -> anchors still to be found
+    for k, t in enumerate(templates):
+        if t.vital <= own:
+            spare = sum(w in own for w in t.words) - t.least_hits  # words of the file that may stand elsewhere
+            if spare >= 0:
+                open_[k] = spare + t.votes
+    anchors: dict[int, list[int]] = {k: [] for k in open_}
+    if open_:
+        for w in sorted(own, key=lambda w: (-idf[w], w)):
+            for k, q in postings[w]:
+                if open_.get(k, 0) > 0:
+                    anchors[k].append(q)
+                    open_[k] -= 1
+            if not any(open_.values()):
+                break
+    return anchors
 
 
 def find_matches(
-    words: list[bytes], templates: list[Template], postings: dict, votes: list[int]
+    words: list[bytes], templates: list[Template], postings: dict, idf: dict[bytes, float]
 ) -> list[tuple[int, int, float]]:
     """Verified (template, start, coverage) in a file's words, by start."""
+    anchors = file_anchors(postings.keys() & set(words), templates, postings, idf)
+    if not anchors:
+        return []
+    wanted_by: dict[bytes, list[tuple[int, int]]] = {}
+    for k, at in anchors.items():
+        for q in at:
+            wanted_by.setdefault(templates[k].words[q], []).append((k, q))
     tally: Counter = Counter()
-    if not postings.keys().isdisjoint(words):
-        for p, w in enumerate(words):
-            if w in postings:
-                for k, q in postings[w]:
-                    tally[k, p - q] += 1
+    for p, w in enumerate(words):
+        if w in wanted_by:
+            for k, q in wanted_by[w]:
+                tally[k, p - q] += 1
     found = []
     for (k, start), n in tally.items():
         t = templates[k]
-        if n < votes[k]:
+        if n < t.votes:
             continue
         if any(
             start + at < 0 or tuple(words[start + at : start + at + len(wanted)]) != wanted
@@ -170,10 +213,9 @@ def find_matches(
         ):
             continue
         first = max(0, -start)  # a notice may be cut off at either end of the file
-        hits = sum(a == b for a, b in zip(t.words[first:], words[start + first :], strict=False))
-        coverage = hits / len(t.words)
-        if coverage >= MIN_COVERAGE:
-            found.append((k, start, coverage))
+        hits = sum(a == b for a, b in zip(t.words[first:], words[start + first : start + len(t.words)], strict=False))
+        if hits >= t.least_hits:
+            found.append((k, start, hits / len(t.words)))
     return sorted(found, key=lambda m: (m[1], m[0]))
 
 
@@ -189,7 +231,7 @@ def scan_licenses(
     cut off.
     """
     rows, frequencies = document_frequencies(df, text_col, template_vocabulary(templates))
-    postings, votes = rare_word_index(templates, rows, frequencies)
+    postings, idf = rare_word_index(templates, rows, frequencies)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(
@@ -211,7 +253,7 @@ def scan_licenses(
                 matches.append(
                     [
                         (templates[k].label, templates[k].base, start, len(templates[k].words), coverage)
-                        for k, start, coverage in find_matches(words, templates, postings, votes)
+                        for k, start, coverage in find_matches(words, templates, postings, idf)
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
