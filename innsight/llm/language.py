@@ -9,9 +9,10 @@ text.
 
 Fitting uses a sample of the labelled rows whose size is a parameter
 (``max_rows_per_language``), chosen by a fixed hash; the counting is a Spark
-job. An entry must have a share of at least ``MIN_SHARE`` of some language's
-words or n-grams, so a language has at most 1 / MIN_SHARE entries per table
-whatever the size of the input, and the broadcast model is bounded.
+job. All words and n-grams of the sample enter the model, as 64-bit hashes with
+sparse rows of the languages that have them, so the broadcast model grows with
+the sample's distinct words and not with words times languages. What a language
+lacks counts as half an occurrence in the largest language's sample.
 
 Defined cases: a null text, an empty one and one without a letter get ``und``
 and score 0; so does every text when no row is labelled; ties go to the first
@@ -29,15 +30,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm.tables import column, crc_remainder, free_name, materialize, read_table, releasing, worker_state
 
 MAX_GRAM = 4
-MIN_SHARE = 5e-5  # smallest share of a word or n-gram in some language
+UNSEEN = 0.5  # occurrences that stand in for none
 MAX_ROWS_PER_LANGUAGE = 2_000  # labelled rows that the model is fitted on, about
-CACHED_CHUNKS = 150_000  # runs of text whose scores a worker keeps, in each of two generations
+CACHED_BYTES = 24_000_000  # scored runs of text that a worker keeps, in each of two generations
+CHUNK_BYTES = 150  # of a run beside its letters and its scores
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -60,12 +63,36 @@ def grams(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+def unit_hash(unit: str) -> int:
+    """The hash that Spark's xxhash64 gives a string."""
+    h = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
 class Table:
-    """Log frequencies of units: a row of ``values`` per unit, a column per language."""
-
-    row: dict[str, int]
-    values: np.ndarray
+    """Sparse rows of log frequencies: unit ``units[i]`` has entries ``starts[i]`` to ``starts[i + 1]``."""
+
+    units: np.ndarray  # hashes in order
+    starts: np.ndarray
+    languages: np.ndarray  # of each entry, by number
+    gains: np.ndarray  # of each entry: log frequency above that of an unseen unit
+    unseen: float  # log frequency of what a language lacks
+
+    def find(self, units: list[str]) -> np.ndarray:
+        """Row numbers of those units that are known."""
+        if not len(self.units):
+            return np.zeros(0, np.int64)
+        hashes = np.fromiter(map(unit_hash, units), np.int64, len(units))
+        at = np.minimum(self.units.searchsorted(hashes), len(self.units) - 1)
+        return at[self.units[at] == hashes]
+
+    def mean(self, rows: np.ndarray, languages: int) -> np.ndarray:
+        """Mean log frequency per language of the units in ``rows``."""
+        out = np.full(languages, self.unseen)
+        for start, end in zip(self.starts[rows], self.starts[rows + 1], strict=True):
+            out[self.languages[start:end]] += self.gains[start:end] / len(rows)
+        return out
 
 
 @dataclass
@@ -77,14 +104,10 @@ class Model:
 
     def word(self, word: str) -> np.ndarray | None:
         """Log frequency of a word per language, from the longest unit known."""
-        known = self.tables[0].row.get(word)
-        if known is not None:
-            return self.tables[0].values[known]
-        for size in range(MAX_GRAM, 0, -1):
-            row = self.tables[size].row
-            hits = [row[g] for g in grams(word, size) if g in row]
-            if hits:
-                return self.tables[size].values[hits].sum(axis=0) / len(hits)
+        for size in (0, *range(MAX_GRAM, 0, -1)):
+            known = self.tables[size].find(grams(word, size) if size else [word])
+            if len(known):
+                return self.tables[size].mean(known, len(self.languages))
         return None
 
     def scores(self, text: str, cache: ChunkScores) -> np.ndarray | None:
@@ -104,25 +127,33 @@ class Model:
 class ChunkScores(dict):
     """Run of text without white space -> row of ``values``: its words' scores summed, and how many are scored.
 
-    Computed when asked for first. The table is bounded; when it is full, the
-    runs that were not asked for since it was last full go.
+    Computed when asked for first. The table is bounded in bytes; when it is full,
+    the runs that were not asked for since it was last full go. Only the runs of
+    one text may exceed the bound, while that text is scored.
     """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.values = np.zeros((CACHED_CHUNKS, len(model.languages) + 1))
+        width = len(model.languages) + 1
+        self.room = max(1, CACHED_BYTES // (8 * width + CHUNK_BYTES))
+        self.values = np.zeros((self.room, width))
+        self.letters = 0  # of the runs held
         self.older: tuple[dict, np.ndarray] = ({}, self.values)
 
     def make_room(self, wanted: int) -> None:
         """Room for ``wanted`` more runs."""
-        if len(self) + wanted > len(self.values):
+        if len(self) + wanted > len(self.values) or 4 * self.letters > CACHED_BYTES:
             self.older = (dict(self), self.values)
-            self.values = np.zeros((max(CACHED_CHUNKS, wanted), self.values.shape[1]))
+            if len(self.values) > self.room or 4 * self.letters > 2 * CACHED_BYTES:
+                self.older = ({}, self.values[:0])  # one text's excess is not kept
+            self.values = np.zeros((max(self.room, wanted), self.values.shape[1]))
+            self.letters = 0
             self.clear()
 
     def __missing__(self, chunk: str) -> int:
         row = self[chunk] = len(self)
+        self.letters += len(chunk)
         older, values = self.older
         known = older.get(chunk)
         if known is not None:
@@ -185,22 +216,22 @@ def fit(
         "language-units",
     )
     totals = {(r.lang, r.size): r.n for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(
-        *[F.lit(x) for (lang, size), n in totals.items() for x in (f"{lang} {size}", n * MIN_SHARE)]
-    )
-    kept = counts.filter(F.col("n") >= least[F.concat_ws(" ", "lang", F.col("size").cast("string"))])
-    # at most 1 / MIN_SHARE rows per language and size
-    found = kept.toPandas()
     languages = sorted(sizes, key=lambda s: s.encode())
+    number = F.array_position(F.array(*[F.lit(lang) for lang in languages]), F.col("lang")) - 1
+    # the distinct units of a bounded sample, as numbers
+    found = counts.select(
+        F.col("size"), F.xxhash64("unit").alias("unit"), number.cast("int").alias("lang"), F.col("n").cast("double").alias("n")
+    ).toArrow()
+    size_of, unit, lang_of, n = (found.column(c).to_numpy() for c in ("size", "unit", "lang", "n"))
     model = Model(languages)
     for size in range(MAX_GRAM + 1):
-        part = found[found["size"] == size].pivot_table(index="unit", columns="lang", values="n", fill_value=0)
-        part = part.reindex(columns=languages, fill_value=0)
-        total = np.array([totals.get((lang, size), 0) for lang in languages], dtype=float)
-        # an entry a language lacks has fewer than MIN_SHARE of it; half of that stands in
-        share_of = (part.to_numpy(dtype=float) + 0.0) / np.maximum(total, 1.0)
-        logs = np.log(np.maximum(share_of, MIN_SHARE / 2))
-        model.tables.append(Table({unit: i for i, unit in enumerate(part.index)}, logs))
+        total = np.array([max(1, totals.get((lang, size), 0)) for lang in languages], dtype=float)
+        unseen = float(np.log(UNSEEN / total.max()))
+        here = np.flatnonzero(size_of == size)
+        here = here[np.lexsort((lang_of[here], unit[here]))]
+        units, starts = np.unique(unit[here], return_index=True)
+        gains = np.log(n[here] / total[lang_of[here]]) - unseen
+        model.tables.append(Table(units, np.append(starts, len(here)), lang_of[here], gains, unseen))
     return model
 
 
