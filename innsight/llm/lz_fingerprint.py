@@ -2,8 +2,10 @@
 
 A text is parsed into phrases as the LZ78 compressor does: from the current
 place, the longest phrase already in the dictionary plus one more symbol becomes
-a new phrase. Symbols are words; a long run without white space is cut into
-pieces. The phrase set is what a compressor would know after the text, so texts
+a new phrase. Symbols are words, cut after every four code points whose hash
+says so: text written without spaces falls into pieces that depend on the letters
+around them and not on where the text begins, and a word is cut alike wherever it
+stands. The phrase set is what a compressor would know after the text, so texts
 with common passages have common phrases. The set's minimum hashes are the
 fingerprint, and the share of equal ones estimates the sets' similarity.
 
@@ -35,21 +37,41 @@ from innsight.llm.near_dedup import _mix, word_hashes
 from innsight.llm.tables import column, read_table, worker_state
 
 SAMPLES = 128  # minimum hashes per fingerprint, of which 16 bits are kept
-LONGEST_SYMBOL = 24  # code points; longer runs are cut
-PIECE = 8
+WINDOW = 4  # code points that decide on a cut after them
+CUT_ONE_IN = 16  # windows with a cut, a power of two
+BLOCK = 1 << 20  # code points looked through at a time
 _K, _M = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def cut_places(text: str) -> list[int]:
+    """Places inside words before which a new symbol begins: the WINDOW code points before hash to a cut."""
+    places: list[int] = []
+    for start in range(0, len(text), BLOCK):
+        part = text[start : start + BLOCK + WINDOW]
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        windows = len(codes) - WINDOW  # each with one code point after it
+        if windows <= 0:
+            break
+        hashed = np.zeros(windows, np.uint32)
+        for k in range(WINDOW):
+            hashed = (hashed ^ codes[k : k + windows]) * np.uint32(0x9E3779B1)
+            hashed ^= hashed >> np.uint32(15)
+        found = np.flatnonzero(hashed % np.uint32(CUT_ONE_IN) == 0)
+        around = codes[found[:, None] + np.arange(WINDOW + 1)]
+        found = found[~np.isin(around, _SPACES).any(axis=1)]
+        places.extend((found + (start + WINDOW)).tolist())
+    return places
+
+
 def symbols(text: str) -> list[bytes]:
-    """The words of a text; what is longer than LONGEST_SYMBOL in pieces."""
-    words = text.split()
-    if words and max(map(len, words)) > LONGEST_SYMBOL:
-        words = [
-            w[i : i + PIECE] if len(w) > LONGEST_SYMBOL else w
-            for w in words
-            for i in range(0, len(w) if len(w) > LONGEST_SYMBOL else 1, PIECE)
-        ]
-    return [w.encode("utf-8", "surrogatepass") for w in words]
+    """The words of a text, cut where their letters say so."""
+    places = cut_places(text)
+    if places:
+        text = " ".join([text[a:b] for a, b in zip([0, *places], [*places, len(text)], strict=True)])
+    return [w.encode("utf-8", "surrogatepass") for w in text.split()]
 
 
 def phrase_set(hashes: list[int]) -> set[int]:
