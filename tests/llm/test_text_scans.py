@@ -73,6 +73,59 @@ def test_license_base_places_do_not_depend_on_frequencies():
         assert len(base) == base_places(b" ".join(text).decode())[1]
 
 
+def plain_matches(words):
+    """(template, start) and coverage by trying every template at every place."""
+    found = {}
+    for k, t in enumerate(licenses.TEMPLATES):
+        n = len(t.words)
+        for start in range(1 - n, len(words)):
+            place = {q: words[start + q] for q in range(n) if 0 <= start + q < len(words)}
+            whole = all(place.get(at + i) == w for at, wanted in t.phrases for i, w in enumerate(wanted))
+            hits = sum(place.get(q) == w for q, w in enumerate(t.words))
+            if whole and hits / n >= (1 if t.base else licenses.MIN_COVERAGE):
+                found[k, start] = hits / n
+    return found
+
+
+def test_license_matches_equal_brute_force_whatever_the_frequencies():
+    rng = random.Random(5)
+    vocabulary = sorted(licenses.template_vocabulary(licenses.TEMPLATES))
+    some = 0
+    for _ in range(150):
+        text = []
+        for t in rng.sample(licenses.TEMPLATES, 4):
+            words = [w if rng.random() > 0.12 else rng.choice([b"font", *vocabulary]) for w in t.words]
+            text += words[rng.choice([0, 0, 1]) :] + [b"the"] * rng.randrange(3)
+        text = text[rng.choice([0, 0, 2]) : len(text) - rng.choice([0, 0, 2])]
+        frequencies = {w: rng.choice([0, 0, 1, 50]) for w in vocabulary}
+        index = licenses.rare_word_index(licenses.TEMPLATES, 60, frequencies)
+        got = {(k, s): c for k, s, c in licenses.find_matches(text, licenses.TEMPLATES, *index)}
+        assert got == plain_matches(text)
+        some += len(got)
+    assert some > 200
+
+
+def test_license_labels_and_score_on_documents(spark):
+    found = {r.doc_id: r for r in licenses.op1_license_scan(spark, LARGER).collect()}
+    for d in read_table(spark, LARGER, "documents").collect():
+        r = found[d.doc_id]
+        own = set(licenses.split_words((d.text or "").encode()))
+        if not any({w for _, wanted in t.phrases for w in wanted} <= own for t in licenses.TEMPLATES):
+            assert (r.labels, r.score) == ("", 0.0)  # no key phrase can stand
+            continue
+        matches = plain_matches(licenses.split_words((d.text or "").encode()))
+        strength = [0.5 if licenses.TEMPLATES[k].base else c for (k, _), c in matches.items()]
+        labels = {licenses.TEMPLATES[k].label for k, _ in matches}
+        assert (r.labels, r.score) == (",".join(sorted(labels)), max(strength, default=0.0))
+
+
+def test_license_notice_with_words_the_corpus_lacks(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    font = mit.replace("software and associated documentation", "font and its accompanying")
+    out = licenses.scan_licenses(table(spark, [(1, font), (2, "plain words"), (3, "a font")])).collect()
+    assert {r.doc_id: [m.label for m in r.matches] for r in out} == {1: ["mit"], 2: [], 3: []}
+
+
 def test_crc_remainder(spark):
     df = spark.createDataFrame([(i,) for i in (0, 7, 12345)] + [(None,)], "i long")
     got = [r.r for r in df.select(crc_remainder(F.col("i"), 4).alias("r")).collect()]
@@ -182,6 +235,62 @@ def test_likeness_estimates_phrase_overlap():
         assert abs(lz_fingerprint.likeness(a, b) - common / (2400 - common)) < 0.12
 
 
+def plain_phrases(text):
+    """LZ78 phrases of a text as tuples of symbols, cut letter by letter."""
+    found, phrase = set(), ()
+    for word in text.split():
+        pieces, start = [], 0
+        for i in range(lz_fingerprint.WINDOW, len(word)):
+            h = 0
+            for c in word[i - lz_fingerprint.WINDOW : i]:
+                h = ((h ^ ord(c)) * 0x9E3779B1) % 2**32
+                h ^= h >> 15
+            if h % lz_fingerprint.CUT_ONE_IN == 0:
+                pieces.append(word[start:i])
+                start = i
+        for piece in [*pieces, word[start:]]:
+            phrase += (piece,)
+            if phrase not in found:
+                found.add(phrase)
+                phrase = ()
+    return found
+
+
+def test_likenesses_of_the_query_are_near_the_plain_overlap(spark):
+    out = {r.doc_id: r for r in lz_fingerprint.op6_fingerprint(spark, SF).collect()}
+    documents = sorted(((r.doc_id, r.text or "") for r in read_table(spark, SF, "documents").collect()), reverse=True)
+    off = []
+    for k, (i, text) in enumerate(documents):
+        following = documents[(k + 1) % len(documents)][1]
+        half = len(text) // 2
+        a, b, c = map(plain_phrases, (text, text[: len(text) - half] + following[:half], following))
+        for got, x in ((out[i].near_edited, b), (out[i].near_next, c)):
+            overlap = len(a & x) / len(a | x) if a | x else 1.0
+            off.append(abs(got - overlap))
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.05  # 128 samples: five deviations are 0.22
+
+
+def test_symbols_do_not_depend_on_where_a_text_begins():
+    rng = random.Random(8)
+    multipliers = lz_fingerprint._multipliers()
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30_000))
+    for text in (chinese, letters):
+        a, b = (lz_fingerprint.symbols(t) for t in (text, "x" + text))
+        assert b"".join(a).decode() == text and len(a) > len(text) / 30
+        assert len(set(a) & set(b)) >= len(set(a)) - 2
+        prints = [lz_fingerprint.fingerprint(t, {}, multipliers) for t in (text, "x" + text, text[::-1])]
+        assert lz_fingerprint.likeness(prints[0], prints[1]) > 0.9 > 0.2 > lz_fingerprint.likeness(prints[0], prints[2])
+
+
+def test_cut_places_do_not_depend_on_the_block(monkeypatch):
+    text = "".join(random.Random(9).choice("abcdef \u3000\U0001f600") for _ in range(5000))
+    whole = lz_fingerprint.cut_places(text)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(lz_fingerprint, "BLOCK", block)
+        assert lz_fingerprint.cut_places(text) == whole
+
+
 def test_fingerprint_cases(spark):
     texts = [(1, None), (2, ""), (2, ""), (None, "x y"), (3, "a b c a b c"), (4, "日本語" * 3000), (5, " ")]
     out = lz_fingerprint.compare_with_next(table(spark, texts)).collect()
