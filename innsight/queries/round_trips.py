@@ -22,7 +22,7 @@ from innsight.queries import rates as rate_queries
 from innsight.sinks import read_partitioned, save_partitioned_table, write_partitioned, write_single_csv, write_sorted_csv
 from innsight.sources import fixtures as fx
 from innsight.sources.bookings import read_bookings_parquet, read_bookings_sql_file, read_bookings_table
-from innsight.sources.search_log import read_rate_lookup, read_search_log
+from innsight.sources.search_log import read_rate_lookup, read_search_log, read_search_log_checked
 
 CITY = "city_code"
 DIGITS = 6
@@ -54,6 +54,20 @@ def log_read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_read_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``log_read_window``, with a file of another column type among the first day's; it is left out and counted."""
+    path = _written_log(spark, sf_dir)
+    first = read_search_log(spark, path).filter(fx.FIXTURE_WINDOW.predicate())
+    numbered = first.withColumn("id", F.xxhash64("id")).coalesce(1)
+    day = F.make_date("year", "month", "day") == F.lit(fx.FIXTURE_WINDOW.first)
+    numbered.filter(day).write.mode("append").partitionBy(*DATE_PARTS).parquet(path)
+    log, left_out = read_search_log_checked(spark, path)
+    return log.filter(fx.FIXTURE_WINDOW.predicate()).select(
+        *rate_queries.FLAT_LOG, "id", F.size(LABELS_COLUMN).alias("label_count"), labels_text(LABELS_COLUMN).alias("labels_text"),
+        F.lit(left_out.count()).cast("long").alias("files_left_out"),
+    )
+
+
 def lookup_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookup, schema from the files."""
     return read_rate_lookup(spark, _written_lookup(spark, sf_dir))
@@ -149,6 +163,8 @@ _SUMMARY_ORDER = ", ".join(f'"{c}" nulls first' for c in SUMMARY_KEYS)
 ORACLE = {
     "log_read_window": f"""with {_LOG}
 select {_FLAT}, id, label_count, labels_text from win""",
+    "log_read_checked": f"""with {_LOG}
+select {_FLAT}, id, label_count, labels_text, cast(1 as bigint) files_left_out from win""",
     "lookup_read": rate_queries.ORACLE["scan_rate_lookup"],
     "rate_job_output": rate_queries.ORACLE["rate_frequency"],
     "rate_job_summary": f"""with t as ({rate_queries.ORACLE["rate_summary"]})

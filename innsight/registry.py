@@ -59,6 +59,7 @@ _COMPSET_QUERIES = [
 
 _ROUND_TRIPS = [
     "log_read_window",
+    "log_read_checked",
     "lookup_read",
     "rate_job_output",
     "rate_job_summary",

@@ -15,6 +15,7 @@ from innsight.sources.search_log import (
     SearchWindow,
     read_rate_lookup,
     read_search_log,
+    read_search_log_checked,
 )
 
 __all__ = [
@@ -30,4 +31,5 @@ __all__ = [
     "read_bookings_table",
     "read_rate_lookup",
     "read_search_log",
+    "read_search_log_checked",
 ]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.fixed_values import DATE_PARTS, LABEL_FIELDS, LABELS_COLUMN, SEARCH_LOG_FIELDS  # noqa: F401  (re-exported)
+from innsight.sources.footers import read_fitting
 
 LABEL_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in LABEL_FIELDS])
 _KINDS = {"int": T.IntegerType(), "string": T.StringType(), "labels": T.ArrayType(LABEL_TYPE)}
@@ -67,6 +68,11 @@ def read_search_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEARCH_LOG_SCHEMA).parquet(path)
 
 
+def read_search_log_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The search log without the files that the declared schema does not fit, and those with the reason."""
+    return read_fitting(spark, path, SEARCH_LOG_SCHEMA, DATE_PARTS)
+
+
 def read_rate_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Rate lookup (``rate_id``, ``new_rate_bucket``), schema from the file footers."""
     return spark.read.parquet(path)
