@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 from innsight.llm.tables import materialize
 
+HUBS = 256  # a node with over 1 / HUBS of all links is broadcast; fewer than HUBS can be
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+
+def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """One star step over (a, b) with a > b: link the neighbours of each node to the smallest of them.
 
     A large step does so with the neighbours above the node, a small step with
-    those below and the node itself. Joins are on the node; Spark splits the
-    side of a node with many neighbours.
+    those below and the node itself. The smallest neighbours are folded on the map
+    side. A node with over 1 / ``HUBS`` of ``most`` neighbours to be linked is a
+    hub; ``most`` is at least the number of edges, so there are fewer than HUBS
+    hubs. They are broadcast and their neighbours stay where they are; only
+    neighbours of other nodes meet by key.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.expr("b > a")).alias("n"))
+        pairs = both.filter("b > a")
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = (
-            edges.join(least, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-        )
-    return moved.filter("a > b").distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        pairs = edges
+    is_hub = F.col("n") > max(most / HUBS, 1)
+    hubs, others = least.filter(is_hub).select("a", "m"), least.filter(~is_hub).select("a", "m")
+    starred = (
+        pairs.join(F.broadcast(hubs.select("a")), "a", "left_anti")
+        .join(others, "a")
+        .unionByName(pairs.join(F.broadcast(hubs), "a"))
+        .select(F.col("b").alias("a"), F.col("m").alias("b"))
+    )
+    if not large:
+        starred = starred.unionByName(least.select("a", F.col("m").alias("b")))
+    return starred.filter("a > b").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -44,7 +55,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     before, now = None, mark(edges)
     while now != before and now[0]:
-        edges = materialize(_stars(_stars(edges, large=True), large=False), "stars")
+        most = now[0]  # a large step adds no edges
+        edges = materialize(_stars(_stars(edges, True, most), False, most), "stars")
         before, now = now, mark(edges)
     return (
         nodes.distinct()

@@ -20,8 +20,9 @@ made after the full sets were compared.
    the confirmed links give the components of the result.
 
 Buckets and blocks of more than ``TILE`` members are dealt into tiles, and the
-pairs of tiles go to different tasks, so a group of any size is split and no
-task holds more than two tiles.
+pairs of tiles go to different tasks, so no task holds more than two tiles (a
+member of a group of N is copied N / TILE times). Joins by bucket, block or class
+keep frequent keys apart.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its
 words; null texts and texts without words have an empty set and link with
@@ -52,6 +53,7 @@ from innsight.llm.tables import (
     sorted_groups,
     worker_state,
 )
+from innsight.plans.joins import join_split
 
 SAMPLES, ROWS = 192, 5
 MISS = 1e-6
@@ -235,7 +237,8 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     most = most_differing_bits(similarity - MARGIN)
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    mates = rows.join(shared, "bucket").join(classes.select("id", "sketch"), "id")
+    shared = materialize(shared, "buckets")
+    mates = join_split(rows, shared, "bucket").join(classes.select("id", "sketch"), "id")
     tiled = mates.select("bucket", "id", "sketch", F.explode(tile_pairs(F.col("members"), F.col("id"))).alias("t"))
     tiled = tiled.select("bucket", "t.lo", "t.hi", "t.own", "id", "sketch")
     keys = ["bucket", "lo", "hi"]
@@ -284,7 +287,7 @@ def confirmed_links(
     """Links (a, b) of rows in one block whose full sets reach ``percent`` of their union."""
     most = most_differing_bits(percent / 100 - MARGIN)
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = materialize(blocks.join(sizes, "component"), "blocks")
+    members = materialize(join_split(blocks, materialize(sizes, "sizes"), "component"), "blocks")
     texts = df.select(
         column(df, id_col).cast("long").alias("node"), column(df, text_col).cast("binary").alias("text")
     ).join(members, "node")
@@ -363,14 +366,15 @@ def near_duplicates(
         "classes",
     )
     candidates = materialize(candidate_links(classes, percent / 100), "candidates")
-    blocks = connected_components(candidates)
+    blocks = materialize(connected_components(candidates), "blocks-of-classes")
     links = materialize(confirmed_links(df, blocks, id_col, text_col, width, percent), "confirmed")
     components = connected_components(links)
     of_class = classes.join(components, F.col("id") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "id").alias("component")
     )
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return sets.select("id", "n", "set_key").join(of_class, "set_key", "left").select(
+    of_class = materialize(of_class, "of-class")
+    return join_split(sets.select("id", "n", "set_key"), of_class, "set_key", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -395,7 +399,8 @@ def drop_near_copies(
         found.filter("n_shingles > 0").select(tag, "component_id").join(id_value, tag), "near-copies"
     )
     keeper = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", tag))[tag].alias("keeper"))
-    gone = members.join(keeper, "component_id").filter(F.col(tag) != F.col("keeper")).select(tag)
+    keeper = materialize(keeper, "keepers")
+    gone = join_split(members, keeper, "component_id").filter(F.col(tag) != F.col("keeper")).select(tag)
     return tagged.join(gone, tag, "left_anti").drop(tag)
 
 
