@@ -256,28 +256,39 @@ def training_order(
     """The rows of ``df`` in the order of training: each as often as the mix takes it, by position.
 
     Rows are matched to their plan by id, source and size, and rows that agree in
-    all three by their number in the order of their texts' hashes, one to one. The
+    all three by their number in the order of their texts' hashes, one to one. Rows
+    and plan are dealt once by that key, and both numbering and matching are windows
+    over this deal, so texts are shuffled twice: for it and for the order. The
     result's files, in the order of their names, hold the rows in order.
     """
-    row, twin, place = (free_name(df, n) for n in ("mix_row", "mix_twin", "mix_position"))
     plan = mix_sizes(_sizes(df, id_col, text_col, source_col), max_epochs)
     row_text = lambda *parts: F.concat_ws("\x01", *[p.cast("string") for p in parts])
+    whole = F.struct(*[column(df, c) for c in df.columns])
+    empty = F.lit(None)
     planned = plan.select(
-        row_text(F.col("key"), F.col("source"), F.col("size")).alias(row),
-        "tag",
-        "copies",
-        copy_positions(plan, schedule).alias(place),
-    ).withColumn(twin, F.row_number().over(Window.partitionBy(row).orderBy("tag")))
-    rows = df.withColumn(
-        row,
+        row_text(F.col("key"), F.col("source"), F.col("size")).alias("row"),
+        F.col("tag").alias("turn"),
+        F.when(F.col("copies") > 0, copy_positions(plan, schedule)).alias("places"),
+        empty.cast(df.schema).alias("whole"),
+    )
+    rows = df.select(
         row_text(
             id_hash(column(df, id_col)), source_key(column(df, source_col)), word_count(column(df, text_col))
-        ),
+        ).alias("row"),
+        F.xxhash64(column(df, text_col)).alias("turn"),
+        empty.cast(planned.schema["places"].dataType).alias("places"),
+        whole.alias("whole"),
     )
-    rows = rows.withColumn(twin, F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(column(df, text_col)))))
+    is_row = F.col("whole").isNotNull()
+    dealt = rows.unionByName(planned).repartition("row").withColumn("is_row", is_row)
+    numbered = dealt.withColumn("twin", F.row_number().over(Window.partitionBy("row", "is_row").orderBy("turn")))
+    # of the two rows with a number, the plan's comes first
+    matched = numbered.withColumn("places", F.lag("places").over(Window.partitionBy("row", "twin").orderBy("is_row")))
+    place = free_name(df, "mix_position")
     return (
-        rows.join(planned.filter("copies > 0").select(row, twin, place), [row, twin])
-        .select(*[column(df, c) for c in df.columns], F.explode(place).alias(place))
+        matched.filter("is_row")
+        .select("whole", F.explode("places").alias(place))
+        .select("whole.*", place)
         .repartitionByRange(place)
         .sortWithinPartitions(place)
         .drop(place)
