@@ -48,6 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.fixed_values import COMP_SET_SIZE
+from innsight.operators.nearest import deal, nearest_at
 from innsight.plans.lineage import cut_lineage
 
 TARGET_ID = "target_property_harp_ID"
@@ -56,7 +57,9 @@ DISTANCE = "knn_distance_metric"
 RANK = "neighbour_rank"
 DEFAULT_K = COMP_SET_SIZE
 LEAF_SIZE = 96  # points of a leaf
+BLOCK_SIZE = 384  # points among which a target finds its reach: the leaves that came from one cut, or two
 FAN_OUT = 4  # pieces of one cut
+ASKING_LEAVES = 256  # leaves that ask at one desk of a leaf
 LEVELS = 3  # cuts of a cell, which so holds at most FAN_OUT ** LEVELS leaves
 CURVE_BITS = 4  # the curve tells 2 ** bits quantiles of a feature apart
 # LSH: points a bucket should hold on average, hash tables, neighbouring buckets looked into per table
@@ -96,15 +99,6 @@ def neighbour_pool(points: DataFrame, key: str, id_col: str, features: Sequence[
     return rows.withColumn("_place", place).filter(F.col("_place") <= k)
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """Deal rows into as many tasks as the session shuffles to.
-
-    Points are few bytes, by which Spark would merge them into a few tasks, but
-    each is sorted many times or becomes ``leaf_size`` pairs.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-
-
 def _curve(pool: DataFrame, key: str, n_features: int) -> DataFrame:
     """Add ``_code``: the place of a point along a curve that takes turns through the features' quantiles."""
     slices = 1 << CURVE_BITS
@@ -122,7 +116,7 @@ def _curve(pool: DataFrame, key: str, n_features: int) -> DataFrame:
 
 
 def leaf_layout(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> DataFrame:
-    """Add ``_cell`` and ``_leaf`` (numbers within the group) to the pool's points; written once.
+    """Add ``_cell``, ``_block`` and ``_leaf`` (numbers within the group) to the pool's points; written once.
 
     A point's place in its group along the curve is its place in a range
     partition plus the sizes of the group's earlier partitions, so a group of
@@ -148,7 +142,7 @@ def leaf_layout(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> D
     cells = F.ceil(F.col("_all") / F.lit(float(leaf_size * FAN_OUT**LEVELS)))
     cell = F.floor((F.col("_at") + F.col("_shift")) * cells / F.col("_all")).cast("long")
     rows = placed.join(pieces, [key, "_piece"]).select(*pool.columns, cell.alias("_cell"), F.lit(0).alias("_path"))
-    rows = _spread(rows, key, "_cell")
+    rows = deal(rows, key, "_cell")
     for _ in range(LEVELS):
         piece = Window.partitionBy(key, "_cell", "_path")
         spread = [F.max(v).over(piece) - F.min(v).over(piece) for v in vector]
@@ -163,7 +157,9 @@ def leaf_layout(pool: DataFrame, key: str, n_features: int, leaf_size: int) -> D
             *pool.columns, "_cell", (F.col("_path") * FAN_OUT + F.col("_child")).alias("_path")
         )
     leaf = F.col("_cell") * FAN_OUT**LEVELS + F.col("_path")
-    return cut_lineage(rows.select(*pool.columns, "_cell", leaf.alias("_leaf")), label="knn-leaves")
+    cuts = max([c for c in range(LEVELS + 1) if leaf_size * FAN_OUT**c <= BLOCK_SIZE], default=0)
+    rows = rows.select(*pool.columns, "_cell", leaf.alias("_leaf"))
+    return cut_lineage(rows.withColumn("_block", F.expr(f"_leaf div {FAN_OUT**cuts}")), label="knn-leaves")
 
 
 def _apart(n_features: int, low: str, high: str, other_low: str, other_high: str) -> Column:
@@ -187,62 +183,71 @@ def _near_pairs(reached: DataFrame, boxes: DataFrame, on: list[str], by: str, n_
 
 @dataclass
 class BlockSearch:
-    """What the own leaves give, and the other leaves each target must look into."""
+    """What the own blocks give, and the other leaves each target must look into."""
 
-    own: DataFrame  # key, _tid, _nid, _d2: the k nearest of the own leaf
-    visits: DataFrame  # key, _tid, _t<i>, _kth, _leaf
+    own: DataFrame  # key, _tid, _near: the k nearest of the own block
+    visits: DataFrame  # key, _tid, _t<i>, _kth, _leaf, _desk
+    desks: DataFrame  # key, _leaf, _desks: of the leaves asked, into how many desks the asking leaves are dealt
 
 
 def block_search(layout: DataFrame, targets: DataFrame, key: str, n_features: int, k: int) -> BlockSearch:
-    """Search the own leaves of ``targets`` (rows of the layout) and prune the others, box against box."""
+    """Search the own blocks of ``targets`` (rows of the layout) and prune the other leaves, box against box."""
     vector = [f"_t{i}" for i in range(n_features)]
     corners = [f"_{s}{i}" for s in ("lo", "hi") for i in range(n_features)]
     t = targets.select(
-        key, "_cell", "_leaf", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(v) for i, v in enumerate(vector)]
+        key, "_block", "_cell", "_leaf", F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(v) for i, v in enumerate(vector)],
+        F.lit(float("inf")).alias("_kth"),
     )
-    pairs = _spread(t.drop("_cell"), key, "_leaf").join(_spread(layout, key, "_leaf"), [key, "_leaf"])
-    pairs = pairs.select(key, "_cell", "_leaf", "_tid", *vector, "_nid", _squared_distance(n_features).alias("_d2"))
-    # a target has one leaf, so the join's partitioning serves the window too
-    place = F.row_number().over(Window.partitionBy(key, "_leaf", "_tid").orderBy("_d2", "_nid"))
-    own = cut_lineage(pairs.withColumn(RANK, place).filter(F.col(RANK) <= k), label="knn-own-leaf")
+    points = layout.select(key, "_block", "_nid", *[f"_n{i}" for i in range(n_features)])
+    near = nearest_at(points, t, [key, "_block"], n_features, k, keep=["_cell", "_leaf"])
     # a little more than the k-th distance, for the rounding of box distances
-    reach = F.when(F.count(F.lit(1)) >= k, F.max("_d2") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
-    t = own.groupBy(key, "_cell", "_leaf", "_tid", *vector).agg(reach.alias("_kth"))
+    reach = F.when(F.size("_near") >= k, F.element_at("_near", k)["_d2"] * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
+    own = cut_lineage(near.select(key, "_block", "_cell", "_leaf", "_tid", *vector, reach.alias("_kth"), "_near"), label="knn-own-block")
+    t = own.drop("_near")
 
     low, high = ([f(f"_n{i}").alias(f"_{s}{i}") for i in range(n_features)] for f, s in ((F.min, "lo"), (F.max, "hi")))
-    boxes = layout.groupBy(key, "_cell", "_leaf").agg(*low, *high)
+    boxes = layout.groupBy(key, "_cell", "_block", "_leaf").agg(*low, *high)
     leaves = boxes.join(t.groupBy(key, "_leaf").agg(F.max("_kth").alias("_reach")), [key, "_leaf"])
     low, high = ([f(c).alias(c) for c in corners if s in c] for f, s in ((F.min, "lo"), (F.max, "hi")))
     cells = boxes.groupBy(key, "_cell").agg(*low, *high)
     asking = cells.join(leaves.groupBy(key, "_cell").agg(F.max("_reach").alias("_reach")), [key, "_cell"])
     near_cells = _near_pairs(asking, cells, [key], "_cell", n_features)
     # the leaves of a cell against those of the cells near it
-    asking = leaves.join(near_cells, [key, "_cell"]).drop("_cell")
-    other = boxes.withColumnRenamed("_cell", "_other_cell")
+    asking = leaves.drop("_block").join(near_cells, [key, "_cell"]).drop("_cell")
+    other = boxes.drop("_block").withColumnRenamed("_cell", "_other_cell")
     near_leaves = _near_pairs(asking, other, [key, "_other_cell"], "_leaf", n_features)
-    looks = near_leaves.select(key, "_leaf", F.col("_other_leaf").alias("_look")).filter("_leaf <> _look")
-    looks = looks.join(boxes.select(key, F.col("_leaf").alias("_look"), *corners), [key, "_look"])
+    looks = near_leaves.select(key, "_leaf", F.col("_other_leaf").alias("_look"))
+    looks = cut_lineage(looks.filter("_leaf <> _look"), label="knn-near-leaves")
+    # a leaf that many others must look into has its points at several desks
+    desks = looks.groupBy(key, "_look").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ASKING_LEAVES))).cast("int").alias("_desks"))
+    looked = boxes.select(key, F.col("_leaf").alias("_look"), F.col("_block").alias("_other_block"), *corners).join(desks, [key, "_look"])
+    looks = looks.join(looked, [key, "_look"]).withColumn("_desk", F.pmod(F.xxhash64("_leaf"), F.col("_desks")).cast("int"))
     within = _apart(n_features, "_t", "_t", "_lo", "_hi") <= F.col("_kth")
-    visits = t.join(looks, [key, "_leaf"]).filter(within)
-    visits = visits.select(key, "_tid", *vector, "_kth", F.col("_look").alias("_leaf"))
-    return BlockSearch(own.select(key, "_tid", "_nid", "_d2"), visits)
+    visits = t.join(looks, [key, "_leaf"]).filter((F.col("_block") != F.col("_other_block")) & within)
+    visits = visits.select(key, "_tid", *vector, "_kth", F.col("_look").alias("_leaf"), "_desk")
+    return BlockSearch(own.select(key, "_tid", "_near"), visits, desks.withColumnRenamed("_look", "_leaf"))
 
 
-def search_pairs(search: BlockSearch, layout: DataFrame, key: str, n_features: int) -> DataFrame:
-    """(key, _tid, _nid, _d2) with every pair that can be among a target's k nearest."""
-    others = _spread(search.visits, key, "_leaf").join(_spread(layout, key, "_leaf"), [key, "_leaf"])
-    others = others.withColumn("_d2", _squared_distance(n_features))
-    others = others.filter(F.col("_d2") <= F.col("_kth")).select(key, "_tid", "_nid", "_d2")
-    return search.own.unionByName(others)
+def search_pairs(search: BlockSearch, layout: DataFrame, key: str, n_features: int, k: int) -> DataFrame:
+    """(key, _tid, _nid, _d2) with every pair that can be among a target's k nearest; the visits' ones are written."""
+    vector = [f"_n{i}" for i in range(n_features)]
+    points = layout.join(search.desks, [key, "_leaf"]).select(
+        key, "_leaf", "_nid", *vector, F.explode(F.sequence(F.lit(0), F.col("_desks") - 1)).alias("_desk")
+    )
+    others = nearest_at(points, search.visits, [key, "_leaf", "_desk"], n_features, k)
+    others = cut_lineage(others.select(key, "_tid", "_near"), label="knn-visits")
+    return search.own.unionByName(others).select(key, "_tid", F.inline("_near"))
 
 
 def candidate_pairs(layout: DataFrame, targets: DataFrame, key: str, n_features: int, k: int) -> int:
-    """Number of distances the search computes: leaf sizes summed over the leaves looked into."""
+    """Number of distances the search computes: points of the own blocks and of the leaves looked into, summed over targets."""
     search = block_search(layout, targets, key, n_features, k)
-    looks = targets.select(key, "_leaf").unionByName(search.visits.select(key, "_leaf"))
-    sizes = layout.groupBy(key, "_leaf").agg(F.count(F.lit(1)).alias("_n"))
-    looks = looks.groupBy(key, "_leaf").agg(F.count(F.lit(1)).alias("_looks")).join(sizes, [key, "_leaf"])
-    return looks.agg(F.sum(F.col("_looks") * F.col("_n"))).first()[0]
+    total = 0
+    for asking, place in ((targets.select(key, "_block"), "_block"), (search.visits.select(key, "_leaf"), "_leaf")):
+        sizes = layout.groupBy(key, place).agg(F.count(F.lit(1)).alias("_n"))
+        looks = asking.groupBy(key, place).agg(F.count(F.lit(1)).alias("_looks")).join(sizes, [key, place])
+        total += looks.agg(F.sum(F.col("_looks") * F.col("_n"))).first()[0] or 0
+    return total
 
 
 def knn_exact(
@@ -276,7 +281,7 @@ def knn_exact(
         wanted = wanted.join(targets.select(key, F.col(id_col).alias(TARGET_ID)), [key, TARGET_ID], "left_semi")
         searched = searched.join(wanted, vectors, "left_semi")
     search = block_search(layout, searched, key, nf, k)
-    found = top_k(search_pairs(search, layout, key, nf), key, k)
+    found = top_k(search_pairs(search, layout, key, nf, k), key, k)
     # a vector's first point stands for all points with that vector
     first = layout.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
     return (
