@@ -70,7 +70,8 @@ STEPS = 1024  # places told apart across a bucket
 
 
 def _squared_distance(n_features: int) -> Column:
-    terms = [F.pow(F.col(f"_t{i}") - F.col(f"_n{i}"), 2) for i in range(n_features)]
+    gaps = [F.col(f"_t{i}") - F.col(f"_n{i}") for i in range(n_features)]
+    terms = [gap * gap for gap in gaps]
     total = terms[0]
     for term in terms[1:]:
         total = total + term
@@ -292,16 +293,16 @@ def knn_exact(
     )
 
 
-def _probes(n_probes: int) -> Column:
+def _probes(at: Column, n_probes: int) -> Column:
     """Keys of a target's own bucket and of the ``n_probes`` neighbouring buckets nearest to it, in one table.
 
-    ``_at``: the target's places along the table's projections, in widths of a
+    ``at``: the target's places along the table's projections, in widths of a
     bucket. A neighbouring bucket is one step away along one projection; it is as
     far as the border in between.
     """
-    own = F.transform("_at", lambda v: F.floor(v))
+    own = F.transform(at, lambda v: F.floor(v))
     steps = F.transform(
-        "_at",
+        at,
         lambda v, i: F.array(
             F.struct((v - F.floor(v)).alias("far"), i.alias("i"), F.lit(-1).cast("long").alias("step")),
             F.struct((F.floor(v) + 1 - v).alias("far"), i.alias("i"), F.lit(1).cast("long").alias("step")),
@@ -315,19 +316,40 @@ def _probes(n_probes: int) -> Column:
     return F.concat(F.array(F.xxhash64(own)), moved)
 
 
-def _neighbours_of_neighbours(found: DataFrame, key: str, k: int, n_features: int) -> DataFrame:
-    """Add to each target's k nearest so far what its neighbours have found, and keep the k nearest."""
-    n, t = ([f"_{s}{i}" for i in range(n_features)] for s in ("n", "t"))
-    hop = found.select(key, F.col("_tid").alias("_via"), F.col("_nid").alias("_to"), *[F.col(c).alias(f"_to{c}") for c in n])
+def _reach(k: int) -> Column:
+    """The squared distance of a target's k-th neighbour so far."""
+    return F.when(F.size("_near") >= k, F.element_at("_near", k)["_d2"]).otherwise(F.lit(float("inf")))
+
+
+def _with_more(best: DataFrame, more: DataFrame, key: str, k: int) -> DataFrame:
+    """``best`` with ``_near`` the k nearest of its own and of all ``_near`` of ``more``, by (key, _tid)."""
+    more = more.groupBy(key, "_tid").agg(F.flatten(F.collect_list("_near")).alias("_more"))
+    both = F.array_distinct(F.concat("_near", F.coalesce("_more", F.slice("_near", 1, 0))))
+    rows = best.join(more, [key, "_tid"], "left")
+    return rows.withColumn("_near", F.slice(F.sort_array(both), 1, k)).select(*best.columns)
+
+
+def _neighbours_of_neighbours(best: DataFrame, key: str, k: int, n_features: int) -> DataFrame:
+    """Add to each target's k nearest so far what its neighbours have found, and keep the k nearest.
+
+    A target goes to its neighbours with its reach and the ids it has; only
+    what is new and within reach goes back.
+    """
+    t = [f"_t{i}" for i in range(n_features)]
+    asking = best.select(
+        key, "_tid", *t, _reach(k).alias("_kth"), F.col("_near._nid").alias("_has"), F.explode("_near._nid").alias("_via")
+    ).filter(F.col("_via") != F.col("_tid"))
+    lists = best.select(key, F.col("_tid").alias("_via"), F.col("_near").alias("_hop")).hint("shuffle_hash")
+    vector = [f"_n{i}" for i in range(n_features)]
     reached = (
-        found.select(key, "_tid", *t, F.col("_nid").alias("_via"))
-        .join(hop, [key, "_via"])
-        .select(key, "_tid", *t, F.col("_to").alias("_nid"), *[F.col(f"_to{c}").alias(c) for c in n])
-        .dropDuplicates([key, "_tid", "_nid"])
-        .join(found.select(key, "_tid", "_nid"), [key, "_tid", "_nid"], "left_anti")
+        asking.join(lists, [key, "_via"])
+        .select(key, "_tid", *t, "_kth", "_has", F.inline("_hop"))
+        .filter(~F.array_contains("_has", F.col("_nid")))
         .withColumn("_d2", _squared_distance(n_features))
+        .filter(F.col("_d2") <= F.col("_kth"))
+        .select(key, "_tid", F.array(F.struct("_d2", "_nid", *vector)).alias("_near"))
     )
-    return top_k(found.drop(RANK).unionByName(reached), key, k)
+    return _with_more(best, reached, key, k)
 
 
 def knn_lsh(
@@ -348,9 +370,10 @@ def knn_lsh(
     that a bucket holds about ``bucket_candidates`` points whatever the group's
     size, and as many projections are computed as the largest group needs.
     Candidates are the points in the target's bucket and, by the distance to the
-    border, in the ``probes`` nearest neighbouring buckets of each table; a pair
-    is kept in the first table that has it only. Then each target looks at the
-    neighbours of its neighbours. Targets with fewer than min(k, n) candidates go
+    border, in the ``probes`` nearest neighbouring buckets of each table; a bucket
+    gives a target its k nearest there within the reach it has so far, so
+    candidate pairs are never rows. Then each target looks at the neighbours of
+    its neighbours. Targets with fewer than min(k, n) candidates go
     to ``knn_exact``, so every target is complete. Same output columns as
     ``knn_exact``.
     """
@@ -389,32 +412,43 @@ def knn_lsh(
     places = F.transform("_hashes", lambda h: vector_to_array(h)[0] / STEPS)
     tables = F.array(*[F.slice(places, j * projections + 1, F.col("_m")) for j in range(num_hash_tables)])
     vector = [f"_n{i}" for i in range(nf)]
-    hashed = cut_lineage(model.transform(vec).select(key, "_nid", "_place", *vector, tables.alias("_tables")), label="lsh-places")
-    bucket = lambda at: F.xxhash64(F.transform(at, lambda v: F.floor(v)))
-    n = hashed.select(key, "_nid", *vector, F.transform("_tables", bucket).alias("_nb"))
-    n = n.select("*", F.posexplode("_nb").alias("_table", "_bucket"))
+    # per table the own bucket, then the neighbouring ones
+    looks = F.transform(tables, lambda at: _probes(at, probes)).alias("_looks")
+    hashed = cut_lineage(model.transform(deal(vec, key, "_nid")).select(key, "_nid", "_place", *vector, looks), label="lsh-places")
+    place, target = [key, "_table", "_bucket"], [f"_t{i}" for i in range(nf)]
+    own = F.transform("_looks", lambda b: b[0])
+    n = hashed.select(key, "_nid", *vector, F.posexplode(own).alias("_table", "_bucket"))
+    # The own bucket of the first table bounds a target's reach, those of the others narrow it;
+    # of the neighbouring buckets only what is within reach is given back.
     t = hashed.filter("_place = 1").select(
-        key, F.col("_nid").alias("_tid"), *[F.col(f"_n{i}").alias(f"_t{i}") for i in range(nf)], F.posexplode("_tables").alias("_table", "_at")
+        key, F.col("_nid").alias("_tid"), *[F.col(a).alias(b) for a, b in zip(vector, target)], "_looks",
+        F.lit(float("inf")).alias("_kth"), F.lit(0).alias("_table"), F.col("_looks")[0][0].alias("_bucket"),
     )
-    t = t.withColumn("_buckets", _probes(probes)).drop("_at")
-    # all buckets a target looks into, by table: a pair met in an earlier table is not met again
-    looks = t.groupBy(key, "_tid").agg(F.map_from_entries(F.collect_list(F.struct("_table", "_buckets"))).alias("_looks"))
-    t = t.select("*", F.explode("_buckets").alias("_bucket")).drop("_buckets").join(looks, [key, "_tid"])
-    met_before = F.exists(
-        F.sequence(F.lit(0), F.lit(num_hash_tables - 1)),
-        lambda j: (j < F.col("_table")) & F.array_contains(F.col("_looks")[j], F.get(F.col("_nb"), j)),
+    best = nearest_at(n.filter("_table = 0"), t, place, nf, k, keep=["_looks"], vectors=True)
+    best = cut_lineage(best.select(key, "_tid", *target, "_looks", "_near"), label="lsh-first-table")
+    if num_hash_tables > 1:
+        t = best.select(key, "_tid", *target, _reach(k).alias("_kth"), F.posexplode(own).alias("_table", "_bucket"))
+        more = nearest_at(n.filter("_table > 0"), t.filter("_table > 0"), place, nf, k, vectors=True)
+        best = cut_lineage(_with_more(best, more.select(key, "_tid", "_near"), key, k), label="lsh-own-buckets")
+    if probes:
+        t = best.select(key, "_tid", *target, _reach(k).alias("_kth"), F.posexplode("_looks").alias("_table", "_all"))
+        t = t.select("*", F.explode(F.slice("_all", 2, probes)).alias("_bucket")).drop("_all")
+        more = nearest_at(n, t, place, nf, k, vectors=True)
+        best = _with_more(best, more.select(key, "_tid", "_near"), key, k)
+    best = cut_lineage(best.drop("_looks"), label="lsh-found")
+    found = cut_lineage(
+        _neighbours_of_neighbours(best, key, k, nf).select(
+            key, "_tid", F.transform("_near", lambda p: F.struct(p["_d2"].alias("_d2"), p["_nid"].alias("_nid"))).alias("_near")
+        ),
+        label="lsh-neighbours",
     )
-    pairs = t.join(n, [key, "_table", "_bucket"]).filter(~met_before)
-    both = [key, "_tid", *[f"_t{i}" for i in range(nf)], "_nid", *vector]
-    found = cut_lineage(top_k(pairs.select(*both, _squared_distance(nf).alias("_d2")), key, k), label="lsh-found")
-    found = cut_lineage(_neighbours_of_neighbours(found, key, k, nf), label="lsh-neighbours")
     vectors = [key, *vector]
     first = hashed.filter("_place = 1").select(*vectors, F.col("_nid").alias("_tid"))
     wanted = points.select(
         key, F.col(id_col).alias(TARGET_ID), *[(F.col(f).cast("double") + F.lit(0.0)).alias(f"_n{i}") for i, f in enumerate(features)]
     )
     # a target is complete with k neighbours, or with all points of a small group
-    counts = found.groupBy(key, "_tid").agg(F.count(F.lit(1)).alias("_got"))
+    counts = found.select(key, "_tid", F.size("_near").alias("_got"))
     group_sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
     of_target = cut_lineage(
         wanted.join(first, vectors)
@@ -426,7 +460,10 @@ def knn_lsh(
     complete = (
         of_target.filter(~F.col("_short"))
         .join(found, [key, "_tid"])
-        .select(key, TARGET_ID, F.col("_nid").alias(NEIGHBOUR_ID), F.sqrt("_d2").alias(DISTANCE), RANK)
+        .select(key, TARGET_ID, F.posexplode("_near").alias("_at", "_p"))
+        .select(
+            key, TARGET_ID, F.col("_p._nid").alias(NEIGHBOUR_ID), F.sqrt("_p._d2").alias(DISTANCE), (F.col("_at") + 1).alias(RANK)
+        )
     )
     short = of_target.filter("_short").select(key, F.col(TARGET_ID).alias(id_col))
     return complete.unionByName(knn_exact(points, features, k, key, id_col, targets=short))

@@ -55,13 +55,15 @@ def _closest(targets: np.ndarray, points: np.ndarray, kth: np.ndarray, k: int) -
 
 
 def nearest_at(
-    points: DataFrame, asking: DataFrame, place: Sequence[str], n_features: int, k: int, keep: Sequence[str] = ()
+    points: DataFrame, asking: DataFrame, place: Sequence[str], n_features: int, k: int, keep: Sequence[str] = (),
+    vectors: bool = False,
 ) -> DataFrame:
     """(*place, *keep, _tid, _t<i>, _near) for each row of ``asking`` that finds something at its place.
 
     ``points``: ``place``, ``_nid``, ``_n<i>``; ``asking``: ``place``, ``keep``,
     ``_tid``, ``_t<i>`` and ``_kth``, the squared distance up to which it looks.
-    ``_near`` is an array of (_nid, _d2), the ``k`` nearest by distance, then id.
+    ``_near`` is an array of (_d2, _nid), the ``k`` nearest by distance, then id;
+    with ``vectors`` of (_d2, _nid, _n<i>).
     """
     place, keep = list(place), list(keep)
     x, t, n = ([f"_{s}{i}" for i in range(n_features)] for s in ("x", "t", "n"))
@@ -75,7 +77,13 @@ def nearest_at(
             "_kth", *keep,
         )
     )
-    near = T.ArrayType(T.StructType([T.StructField("_nid", points.schema["_nid"].dataType), T.StructField("_d2", T.DoubleType())]))
+    given_back = n if vectors else []
+    near = T.ArrayType(
+        T.StructType(
+            [T.StructField("_d2", T.DoubleType()), T.StructField("_nid", points.schema["_nid"].dataType)]
+            + [T.StructField(c, T.DoubleType()) for c in given_back]
+        )
+    )
     fields = [asking.schema[c] for c in [*place, *keep, "_tid"]] + [T.StructField(c, T.DoubleType()) for c in t]
     given = [*place, *keep, "_tid", *x]
 
@@ -92,14 +100,14 @@ def nearest_at(
             bounds = [0, *(np.flatnonzero(new) + 1).tolist(), size]
             kinds = batch.column("_kind").to_numpy()
             kth = batch.column("_kth").to_numpy(zero_copy_only=False)
-            vectors = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in x])
-            found: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+            coordinates = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in x])
+            found: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
             for low, high in zip(bounds[:-1], bounds[1:]):
                 here = tuple(batch.column(c)[low].as_py() for c in place)
                 if kinds[low] == 0:
                     if here != at:
                         at, held = here, []
-                    held.append((batch.column("_nid").slice(low, high - low), vectors[low:high]))
+                    held.append((batch.column("_nid").slice(low, high - low), coordinates[low:high]))
                     ids = None
                     continue
                 if here != at:
@@ -109,14 +117,19 @@ def nearest_at(
                 step = max(1, MATRIX // len(own))
                 for start in range(low, high, step):
                     end = min(high, start + step)
-                    a, p, d2 = _closest(vectors[start:end], own, kth[start:end], k)
-                    found.append((a + start, ids.take(pa.array(p)), d2))
+                    a, p, d2 = _closest(coordinates[start:end], own, kth[start:end], k)
+                    found.append((a + start, ids.take(pa.array(p)), d2, own[p] if vectors else d2))
             if not found:
                 continue
             counts = np.bincount(np.concatenate([f[0] for f in found]), minlength=size)
             rows_found = np.flatnonzero(counts)
             pairs = pa.StructArray.from_arrays(
-                [pa.concat_arrays([f[1] for f in found]), pa.array(np.concatenate([f[2] for f in found]))], names=["_nid", "_d2"]
+                [
+                    pa.array(np.concatenate([f[2] for f in found])),
+                    pa.concat_arrays([f[1] for f in found]),
+                    *[pa.array(np.concatenate([f[3][:, i] for f in found])) for i in range(len(given_back))],
+                ],
+                names=["_d2", "_nid", *given_back],
             )
             offsets = np.concatenate([[0], np.cumsum(counts[rows_found])]).astype(np.int32)
             asked = batch.take(pa.array(rows_found))

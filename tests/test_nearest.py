@@ -50,3 +50,20 @@ def test_leaves_asked_by_many_are_dealt_to_several_desks(spark, monkeypatch):
     assert _as_dict(got) == _numpy_knn(rows, 10)
     few, rows = _points(spark)
     assert _as_dict(knn.knn_exact(few, ["f0", "f1", "f2"], k=10)) == _brute_force(rows, 10)
+
+
+def test_lsh_candidates_are_not_rows(spark, monkeypatch):
+    """What buckets give is at most k per target and bucket; no window sorts candidate pairs."""
+    df, rows = _large_groups(spark)
+    big = df.filter("city_code = 'big'")
+    limited, looks = [], []
+    top_k, at = knn.top_k, knn.nearest_at
+    monkeypatch.setattr(knn, "top_k", lambda *a: limited.append(a) or top_k(*a))
+    monkeypatch.setattr(knn, "nearest_at", lambda *a, **o: looks.append(at(*a, **o)) or looks[-1])
+    nothing = "city_code string, target_property_harp_ID string, harp_property_id_no string, knn_distance_metric double, neighbour_rank int"
+    monkeypatch.setattr(knn, "knn_exact", lambda *a, **o: spark.createDataFrame([], nothing))
+    approx = _as_dict(knn.knn_lsh(big, ["f0", "f1", "f2", "f3"], k=10))
+    assert not limited and len(looks) == 3  # own bucket, own buckets of the other tables, neighbouring buckets
+    assert all(look.agg(F.max(F.size("_near"))).first()[0] <= 10 for look in looks)
+    exact = _numpy_knn([r for r in rows if r[0] == "big"], 10)
+    assert len(set(exact) & set(approx)) / len(exact) >= 0.9
