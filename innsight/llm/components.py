@@ -17,8 +17,9 @@ def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
     those below and the node itself. The smallest neighbours are folded on the map
     side. A node with over 1 / ``HUBS`` of ``most`` neighbours to be linked is a
     hub; ``most`` is at least the number of edges, so there are fewer than HUBS
-    hubs. They are broadcast and their neighbours stay where they are; only
-    neighbours of other nodes meet by key.
+    hubs. They are named by a job of its own, as most graphs have none and then
+    neither broadcast nor split is planned. They are broadcast and their neighbours
+    stay where they are; only neighbours of other nodes meet by key.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,14 +28,15 @@ def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         pairs = edges
-    is_hub = F.col("n") > max(most / HUBS, 1)
-    hubs, others = least.filter(is_hub).select("a", "m"), least.filter(~is_hub).select("a", "m")
-    starred = (
-        pairs.join(F.broadcast(hubs.select("a")), "a", "left_anti")
-        .join(others, "a")
-        .unionByName(pairs.join(F.broadcast(hubs), "a"))
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-    )
+    smallest = least.select("a", "m")
+    hubs = [r["a"] for r in least.filter(F.col("n") > max(most / HUBS, 1)).select("a").collect()]
+    if hubs:
+        is_hub = F.col("a").isin(hubs)
+        starred = pairs.filter(~is_hub).join(smallest.filter(~is_hub), "a")
+        starred = starred.unionByName(pairs.filter(is_hub).join(F.broadcast(smallest.filter(is_hub)), "a"))
+    else:
+        starred = pairs.join(smallest, "a")
+    starred = starred.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         starred = starred.unionByName(least.select("a", F.col("m").alias("b")))
     return starred.filter("a > b").distinct()
@@ -56,7 +58,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     before, now = None, mark(edges)
     while now != before and now[0]:
         most = now[0]  # a large step adds no edges
-        edges = materialize(_stars(_stars(edges, True, most), False, most), "stars")
+        # written in between: the small step reads its edges several times, each with the large step's whole plan
+        edges = materialize(_stars(edges, True, most), "large-stars")
+        edges = materialize(_stars(edges, False, most), "stars")
         before, now = now, mark(edges)
     return (
         nodes.distinct()

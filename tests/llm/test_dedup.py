@@ -184,3 +184,18 @@ def test_near_copies_go_by_row_not_by_id(spark):
     assert left == {(3, a), (5, b + " more"), rows[-1]}
     named = spark.createDataFrame([("x", a), ("w", a), ("x", b)], "doc_id string, text string")
     assert {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(named).collect()} == {("w", a), ("x", b)}
+
+
+def test_star_steps_are_planned_one_at_a_time(spark, monkeypatch):
+    """No frame that is written holds a star step's plan several times over, and none broadcasts hubs where there are none."""
+    from innsight.llm import components
+
+    plans, write = [], components.materialize
+    monkeypatch.setattr(
+        components, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label)
+    )
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 5)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.component for r in components.connected_components(frame).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 105), 100)}
+    assert max(plan.count("Join ") for plan in plans) <= 2
