@@ -19,8 +19,9 @@ One plan for all sizes, block against block:
    a leaf holds between half of ``leaf_size`` and ``leaf_size`` points whatever
    the group looks like. The cuts of a cell are windows over one partitioning, so
    the layout is two shuffles, however large the group.
-3. Each leaf is searched against itself. The k-th distance so found bounds a
-   target's reach, and the largest in a leaf the leaf's reach.
+3. Each block (the leaves that came from one cut, or two) is searched against
+   itself. The k-th distance so found bounds a target's reach, and the largest
+   in a leaf the leaf's reach.
 4. Boxes are held against boxes: cells first, then leaves of near cells. A leaf
    farther from the target's leaf than that leaf's reach is dropped for all its
    targets at once.
@@ -28,8 +29,9 @@ One plan for all sizes, block against block:
    own reach; the top-k window (a ``WindowGroupLimit``) keeps ``k`` per target
    before the shuffle.
 
-All steps are joins and aggregates keyed by (group, leaf); what is copied are
-targets, never the neighbours.
+Distances are computed in Arrow batches (``nearest_at``), so pairs are rows only
+where they are among the ``k`` nearest of a block or leaf. What is copied are
+targets; a leaf's points only where more than ``ASKING_LEAVES`` leaves ask it.
 
 ``knn_lsh`` is the approximate search: random projections (Spark ML's
 ``BucketedRandomProjectionLSH``), as many per bucket as the group's size asks
